@@ -18,6 +18,10 @@ NONSPACE = r"[^\t-\r\x1C-\x1F\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
 NONWORD = r"[^\p{L}\p{N}_]"
 
+#: The members of SPACE: controls, separators of lines and paragraphs, and all Unicode spaces.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+                           0x202F, 0x205F, 0x3000)))
+
 URL = rf"https?://{NONSPACE}+|www\.{NONSPACE}+"
 REPEAT_PREFIX = rf"(?i)^RT{SPACE}+@{WORD}+{SPACE}*:?{SPACE}*"
 LEADING_MENTION = rf"^@{WORD}+{SPACE}*"
@@ -29,7 +33,7 @@ TIMESTAMP_FORMAT = "MMM d HH:mm:ss Z yyyy"
 
 def strip(col: Column) -> Column:
     """Remove every kind of blank at both ends (SQL ``trim`` removes spaces only)."""
-    return F.regexp_replace(col, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def collapse(col: Column) -> Column:

@@ -33,14 +33,11 @@ def present_links(messages: DataFrame) -> DataFrame:
 def spread(seeds: DataFrame, links: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, bool]:
     """Breadth-first rounds over ``links`` from ``seeds (id)``: ``(id, round)`` and whether all was reached."""
     table = RoundTable(seeds.sparkSession, "visited", _VISIT)
-    table.append(seeds.select("id").distinct(), 0)
-    k = 0
-    while True:
+    rows = {"rows": F.count(F.lit(1))}
+    k, size = 0, table.append(seeds.select("id").distinct(), 0, **rows)["rows"]
+    while size:
         visited = table.read()
         frontier = visited.filter(F.col("round") == k).select(F.col("id").alias("src"))
-        size = frontier.count()
-        if size == 0:
-            return visited, True
         if size <= BROADCAST_ROWS:
             frontier = F.broadcast(frontier)
         reached = links.join(frontier, "src").select(F.col("dst").alias("id")).distinct()
@@ -48,7 +45,8 @@ def spread(seeds: DataFrame, links: DataFrame, max_rounds: int | None = None) ->
         if max_rounds is not None and k >= max_rounds:
             return visited, fresh.isEmpty()
         k += 1
-        table.append(fresh, k)
+        size = table.append(fresh, k, **rows)["rows"]
+    return table.read(), True
 
 
 def _two_way_groups(messages: DataFrame, hot_rows: int) -> DataFrame:

@@ -154,23 +154,21 @@ def reading_order(nodes: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
     ).withColumn("done", F.col("back").isNull())
 
     table = RoundTable(spark, "steps", _STEP, split="done")
-    table.append(start, 0)
-    k = 0
-    while True:
+    counters = {"open": F.count_if(~F.col("done")), "done": F.count_if("done")}
+    k, state = 0, table.append(start, 0, **counters)
+    # Distances have no gaps: a round in which nothing gets done leaves only steps without an end.
+    while state["open"] and state["done"]:
         steps = table.read()
-        open_steps = steps.filter(~F.col("done") & (F.col("round") == k)).drop("round", "done", "root")
-        waiting = open_steps.count()
-        if waiting == 0 or (k and steps.filter(F.col("done") & (F.col("round") == k)).isEmpty()):
-            break
+        waiting = steps.filter(~F.col("done") & (F.col("round") == k)).select("step", "back", "entries")
         known = steps.filter(F.col("done") | (F.col("round") == k)).select(
             F.col("step").alias("back"),
             F.col("back").alias("_back"),
             F.col("entries").alias("_entries"),
             F.col("root").alias("_root"),
         )
-        if waiting <= BROADCAST_ROWS:
-            open_steps = F.broadcast(open_steps)
-        moved = open_steps.join(known, "back").select(
+        if state["open"] <= BROADCAST_ROWS:
+            waiting = F.broadcast(waiting)
+        moved = waiting.join(known, "back").select(
             "step",
             F.col("_back").alias("back"),
             (F.col("entries") + F.col("_entries")).alias("entries"),
@@ -178,7 +176,7 @@ def reading_order(nodes: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
             F.col("_back").isNull().alias("done"),
         )
         k += 1
-        table.append(moved, k)
+        state = table.append(moved, k, **counters)
     return (
         table.read()
         .filter(F.col("done") & F.startswith("step", F.lit("+")))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replyloom.functions.tables import union_all
+from replyloom.functions.tables import union_all, unpivot
 from replyloom.operators.cleaning import cleaning_report, preprocess
 from replyloom.operators.closure import thread_closure
 from replyloom.operators.pairs import support_pairs
@@ -56,21 +56,15 @@ def prepare(messages: DataFrame, author: str, mode: str = "directed", hot_rows:
 
 
 def stage_status(report: DataFrame) -> DataFrame:
-    """OK or WARN per stage, from the report's own numbers."""
-    rules = F.array(
-        F.struct(F.lit("validate_schema").alias("name"), F.lit("empty").alias("s"), F.lit("%").alias("n")),
-        F.struct(F.lit("reconstruct").alias("name"), F.lit("rebuild").alias("s"), F.lit("cyclic_tweets_skipped").alias("n")),
-        F.struct(F.lit("validate_outputs").alias("name"), F.lit("violations").alias("s"), F.lit("%").alias("n")),
+    """``(stage, status)`` with OK or WARN, from the report's own numbers."""
+    section, name, some = F.col("section"), F.col("name"), F.col("value") > 0
+    flags = report.agg(
+        F.max((section == "empty") & some).alias("validate_schema"),
+        F.max((section == "rebuild") & (name == "cyclic_tweets_skipped") & some).alias("reconstruct"),
+        F.max((section == "violations") & some).alias("validate_outputs"),
     )
-    return (
-        report.select("section", "name", "value", F.explode(rules).alias("r"))
-        .groupBy(F.col("r.name").alias("stage"))
-        .agg(
-            F.max(
-                (F.col("section") == F.col("r.s")) & F.col("name").like(F.col("r.n")) & (F.col("value") > 0)
-            ).alias("_bad")
-        )
-        .select("stage", F.when(F.col("_bad"), "WARN").otherwise("OK").alias("status"))
+    return unpivot(flags, "boolean").select(
+        F.col("name").alias("stage"), F.when(F.col("value"), "WARN").otherwise("OK").alias("status")
     )
 
 

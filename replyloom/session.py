@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
 
 #: Settings the operators rely on; all are Spark defaults except the time zone.
@@ -79,11 +79,17 @@ class RoundTable:
         self.split = split
         self.schema = T.StructType(schema.fields + [T.StructField("round", T.IntegerType())])
 
-    def append(self, df: DataFrame, round_no: int) -> None:
-        writer = df.write
+    def append(self, df: DataFrame, round_no: int, **counters: Column) -> dict[str, int]:
+        """Write one round; ``counters`` are aggregates taken while writing.
+
+        A retried task may be counted twice, so use them only as bounds and for "is there any".
+        """
+        seen = Observation()
+        writer = df.observe(seen, *[c.alias(n) for n, c in counters.items()]).write
         if self.split:
             writer = writer.partitionBy(self.split)
         writer.parquet(f"{self.path}/round={round_no}")
+        return seen.get
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
