@@ -142,16 +142,16 @@ def exact_quantiles(df: DataFrame, value: str, points: Sequence[float], width: i
     buckets = counts.groupBy("_bucket").agg(F.sum("_c").alias("_size"))
     offsets = buckets.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     running = Window.partitionBy("_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = buckets.agg(F.sum("_size").alias("n")).scalar()
     spans = (
         counts.join(offsets, "_bucket")
         .withColumn("_hi", F.col("_offset") + F.sum("_c").over(running))
         .withColumn("_lo", F.col("_hi") - F.col("_c"))
-        .select("_v", "_lo", "_hi")
+        .select("_v", "_lo", "_hi", total.alias("_n"))
     )
-    total = buckets.agg(F.sum("_size").alias("n")).scalar()
     # Each value serves the quantiles whose lower or upper neighbour lies in its span.
     wanted = F.array(*[F.lit(float(q)) for q in points])
-    position = lambda q: q * (total - F.lit(1))
+    position = lambda q: q * (F.col("_n") - 1)
     hits = F.transform(
         wanted,
         lambda q: F.struct(
