@@ -74,13 +74,17 @@ def clean_text(col: Column, strip_leading_mention: bool = True, decode: bool = T
 
 def word_count(col: Column) -> Column:
     """Number of blank-separated words."""
-    return F.size(F.filter(F.split(col, rf"{SPACE}+"), lambda x: x != ""))
+    return F.regexp_count(col, F.lit(rf"{NONSPACE}+"))
 
 
 def tokens(col: Column, min_chars: int = 3) -> Column:
-    """Lower-cased, edge-trimmed, purely alphabetic words."""
-    words = F.transform(F.split(F.lower(col), rf"{SPACE}+"), lambda x: F.btrim(x, F.lit(TOKEN_EDGE_CHARS)))
-    return F.filter(words, lambda x: x.rlike(rf"^\p{{L}}{{{min_chars},}}\z"))
+    """Lower-cased words that are purely alphabetic once punctuation at their edges is off.
+
+    One pattern finds them in a single pass; the blank behind a word is left for the next match.
+    """
+    edge = "[" + re.escape(TOKEN_EDGE_CHARS) + "]"
+    word = rf"(?:^|{SPACE}){edge}*+(\p{{L}}{{{min_chars},}}+){edge}*+(?={SPACE}|\z)"
+    return F.regexp_extract_all(F.lower(col), F.lit(word), F.lit(1))
 
 
 def content_tokens(col: Column, stopwords: Sequence[str] = DISPLAY_STOPWORDS) -> Column:
@@ -90,14 +94,8 @@ def content_tokens(col: Column, stopwords: Sequence[str] = DISPLAY_STOPWORDS) ->
 
 def bigrams(words: Column) -> Column:
     """Adjacent pairs of an array of words, joined by a space."""
-    pairs = F.transform(
-        F.arrays_zip(
-            F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))).alias("a"),
-            F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("b"),
-        ),
-        lambda p: F.concat(p["a"], F.lit(" "), p["b"]),
-    )
-    return F.when(F.size(words) >= 2, pairs).otherwise(F.array().cast("array<string>"))
+    following = F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
+    return F.array_compact(F.zip_with(words, following, lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
 def keyword_pattern(keywords: Sequence[str], case_sensitive: bool = True) -> str:

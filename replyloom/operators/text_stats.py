@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from replyloom.constants import (
@@ -18,7 +18,7 @@ from replyloom.constants import (
 )
 from replyloom.functions.ranking import exact_quantiles
 from replyloom.functions.tables import union_all, unpivot
-from replyloom.functions.text import bigrams, content_tokens, topic_hits, word_count
+from replyloom.functions.text import bigrams, content_tokens, tokens, topic_hits, word_count
 
 LENGTH_QUANTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
@@ -34,7 +34,7 @@ def top_values(rows: DataFrame, column: str, n: int, name: str = "term") -> Data
 
 
 def top_terms(texts: DataFrame, column: str = "text", n: int = TOP_TERMS, stopwords: Sequence[str] = DISPLAY_STOPWORDS):
-    words = texts.select(F.explode(content_tokens(F.col(column), stopwords)).alias("term"))
+    words = texts.select(F.explode(tokens(F.col(column))).alias("term")).filter(~F.col("term").isin(*stopwords))
     return top_values(words, "term", n)
 
 
@@ -157,19 +157,30 @@ def pair_lengths(pairs: DataFrame) -> DataFrame:
 
 
 def topic_shares(texts: DataFrame, column: str = "text", topics=TOPICS) -> DataFrame:
-    """Matched texts and share per topic, most frequent first, with the share of multi-topic texts."""
-    hits = texts.select(topic_hits(F.col(column), topics).alias("h"))
-    total = F.count(F.lit(1))
+    """Matched texts and share per topic, most frequent first, with the share of multi-topic texts.
+
+    Texts are first counted by their set of topics, so every text is matched once.
+    """
+    hits = (
+        texts.select(topic_hits(F.col(column), topics).alias("h"))
+        .groupBy("h")
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+    total = F.sum("c")
+
+    def matching(condition):
+        return F.coalesce(F.sum(F.when(condition, F.col("c"))), F.lit(0))
+
     cells = [
         F.struct(
             F.lit(i).alias("priority"),
             F.lit(name).alias("topic"),
-            F.count_if(F.array_contains("h", name)).alias("matched"),
-            F.coalesce(F.try_divide(F.count_if(F.array_contains("h", name)), total), F.lit(0.0)).alias("share"),
+            matching(F.array_contains("h", name)).alias("matched"),
+            F.coalesce(F.try_divide(matching(F.array_contains("h", name)), total), F.lit(0.0)).alias("share"),
         )
         for i, (name, _, _) in enumerate(topics)
     ]
-    multi = F.coalesce(F.try_divide(F.count_if(F.size("h") >= 2), total), F.lit(0.0))
+    multi = F.coalesce(F.try_divide(matching(F.size("h") >= 2), total), F.lit(0.0))
     return (
         hits.agg(F.array(*cells).alias("cells"), multi.alias("multi_topic_share"))
         .select(F.inline("cells"), "multi_topic_share")
@@ -190,19 +201,18 @@ def topic_pairs(texts: DataFrame, column: str = "text", topics=TOPICS, n: int =
     """
     sets = (
         texts.select(F.array_sort(topic_hits(F.col(column), topics)).alias("h"))
-        .filter(F.size("h") >= 2)
         .groupBy("h")
-        .agg(F.count(F.lit(1)).alias("c"))
+        .agg(F.count(F.lit(1)).alias("c"), F.max(F.size("h")).alias("_k"))
+        .filter("_k >= 2")  # on an aggregate, so that the matching is not repeated below it
+        .withColumn("_multi", F.sum("c").over(Window.partitionBy()))  # at most one row per set of topics
     )
-    first = sets.select("h", "c", F.posexplode("h").alias("i", "topic_a"))
-    pairs = first.select("topic_a", "c", F.explode(F.expr("slice(h, i + 2, size(h))")).alias("topic_b"))
-    multi = sets.agg(F.sum("c").alias("n")).scalar()
+    first = sets.select("h", "c", "_multi", F.posexplode("h").alias("i", "topic_a"))
+    pairs = first.select("topic_a", "c", "_multi", F.explode(F.expr("slice(h, i + 2, size(h))")).alias("topic_b"))
     return (
         pairs.groupBy("topic_a", "topic_b")
-        .agg(F.sum("c").alias("count"))
+        .agg(F.sum("c").alias("count"), (F.sum("c") / F.max("_multi")).alias("share_of_multi"))
         .orderBy(F.desc("count"), "topic_a", "topic_b")
         .limit(n)
-        .withColumn("share_of_multi", F.col("count") / multi)
     )
 
 

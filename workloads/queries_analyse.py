@@ -71,12 +71,12 @@ _WORDS = rf"len(list_filter(string_split_regex(text, '{SPACE}+'), lambda w: w <>
 
 @query("tokenize", f"select doc_id, array_to_string({_tokens_sql('text')}, ' ') as tokens from documents")
 def tokenize(t: Tables) -> DataFrame:
-    return t.table("documents").select("doc_id", F.concat_ws(" ", tokens(F.col("text"))).alias("tokens"))
+    return t.documents.select("doc_id", F.concat_ws(" ", tokens(F.col("text"))).alias("tokens"))
 
 
 @query("stop_word_removal", f"select doc_id, array_to_string({_content_sql('text')}, ' ') as tokens from documents")
 def stop_word_removal(t: Tables) -> DataFrame:
-    return t.table("documents").select("doc_id", F.concat_ws(" ", content_tokens(F.col("text"))).alias("tokens"))
+    return t.documents.select("doc_id", F.concat_ws(" ", content_tokens(F.col("text"))).alias("tokens"))
 
 
 @query("decode_entities", f"with {V1D} select file_pos, replace(text, '&amp;', '&') as text from v1d")
@@ -86,22 +86,22 @@ def decode(t: Tables) -> DataFrame:
 
 @query("keyword_topics", f"with {HITS} select doc_id, array_to_string(h, '|') as topics from hits")
 def keyword_topics(t: Tables) -> DataFrame:
-    return t.table("documents").select("doc_id", F.concat_ws("|", topic_hits(F.col("text"), WORD_TOPICS)).alias("topics"))
+    return t.documents.select("doc_id", F.concat_ws("|", topic_hits(F.col("text"), WORD_TOPICS)).alias("topics"))
 
 
 @query("topic_match", f"with {HITS} select doc_id, unnest(h) as topic from hits")
 def topic_match(t: Tables) -> DataFrame:
-    return t.table("documents").select("doc_id", F.explode(topic_hits(F.col("text"), WORD_TOPICS)).alias("topic"))
+    return t.documents.select("doc_id", F.explode(topic_hits(F.col("text"), WORD_TOPICS)).alias("topic"))
 
 
 @query("keyword_label", f"select doc_id, {_KEYWORD_LABEL} as label from documents")
 def label_by_keyword(t: Tables) -> DataFrame:
-    return t.table("documents").select("doc_id", keyword_label(F.col("text"), WORD_TOPICS).alias("label"))
+    return t.documents.select("doc_id", keyword_label(F.col("text"), WORD_TOPICS).alias("label"))
 
 
 @query("content_key", "select doc_id, substring(sha256(text || chr(0) || 'm1'), 1, 16) as key from documents")
 def key_of_content(t: Tables) -> DataFrame:
-    return t.table("documents").select("doc_id", content_key(F.col("text"), "m1").alias("key"))
+    return t.documents.select("doc_id", content_key(F.col("text"), "m1").alias("key"))
 
 
 @query("date_format", f"with {V2} select tweet_id, strftime(ts, '%Y-%m-%d') as day from v2")
@@ -160,7 +160,7 @@ _QLIST = "[0.25::double, 0.5::double, 0.75::double, 0.9::double, 0.95::double, 0
  select measure, q, round(value, 6) as value from q""",
 )
 def quantiles(t: Tables) -> DataFrame:
-    return ts.length_quantiles(t.table("documents"), t.c2).select("measure", "q", _r("value"))
+    return ts.length_quantiles(t.documents, t.c2).select("measure", "q", _r("value"))
 
 
 @query("time_quantiles", "select unnest([0.1::double, 0.9::double]) as q, unnest(list_transform(quantile_cont(epoch_us(ts)::double, [0.1::double, 0.9::double]), lambda x: round(x / 1000))) as value from events")
@@ -180,7 +180,7 @@ def time_quantiles(t: Tables) -> DataFrame:
  select name, n as count, round(n / t, 6) as share from x""",
 )
 def threshold_shares(t: Tables) -> DataFrame:
-    return ts.threshold_shares(t.c2, t.table("documents")).select("name", "count", _r("share"))
+    return ts.threshold_shares(t.c2, t.documents).select("name", "count", _r("share"))
 
 
 @query(
@@ -223,7 +223,7 @@ def pair_lengths(t: Tables) -> DataFrame:
 
 @query("top_terms", f"select term, count(*) as count from (select unnest({_content_sql('text')}) as term from documents) group by 1 order by 2 desc, 1 limit 15")
 def top_terms(t: Tables) -> DataFrame:
-    return ts.top_terms(t.table("documents"))
+    return ts.top_terms(t.documents)
 
 
 _BIGRAMS = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
@@ -231,7 +231,7 @@ _BIGRAMS = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
 
 @query("top_bigrams", f"with d as (select {_content_sql('text')} as w from documents) select term, count(*) as count from (select unnest({_BIGRAMS}) as term from d) group by 1 order by 2 desc, 1 limit 10")
 def top_bigrams(t: Tables) -> DataFrame:
-    return ts.top_bigrams(t.table("documents"))
+    return ts.top_bigrams(t.documents)
 
 
 @query("topk_ties", f"with {V1} select term, count(*) as count from (select unnest({_content_sql('customer_message')}) as term from p1) group by 1 order by 2 desc, 1 limit 40")
@@ -252,20 +252,20 @@ def _topic_rows(total: str) -> str:
     f"with {HITS}, x as ({_topic_rows('count(*)')}) select x.*, (select round(count(*) filter (len(h) >= 2) / count(*), 6) from hits) as multi_topic_share from x",
 )
 def topic_shares(t: Tables) -> DataFrame:
-    out = ts.topic_shares(t.table("documents"), topics=WORD_TOPICS)
+    out = ts.topic_shares(t.documents, topics=WORD_TOPICS)
     return out.select("priority", "topic", "matched", _r("share"), _r("multi_topic_share"))
 
 
 @query("topic_order", f"with {HITS}, x as ({_topic_rows('count(*)')}) select row_number() over (order by matched desc, priority) as position, topic from x")
 def topic_order(t: Tables) -> DataFrame:
-    ordered = ts.topic_shares(t.table("documents"), topics=WORD_TOPICS)
+    ordered = ts.topic_shares(t.documents, topics=WORD_TOPICS)
     listed = ordered.agg(F.array_sort(F.collect_list(F.struct((-F.col("matched")).alias("m"), "priority", "topic"))).alias("l"))
     return listed.select(F.posexplode("l").alias("p", "x")).select((F.col("p") + 1).alias("position"), F.col("x.topic").alias("topic"))
 
 
 @query("topic_count_hist", f"with {HITS} select least(len(h), 4)::int as topics, count(*) as count from hits group by 1")
 def topic_count_hist(t: Tables) -> DataFrame:
-    return ts.topic_count_histogram(t.table("documents"), topics=WORD_TOPICS)
+    return ts.topic_count_histogram(t.documents, topics=WORD_TOPICS)
 
 
 @query(
@@ -275,7 +275,7 @@ def topic_count_hist(t: Tables) -> DataFrame:
  from e a join e b on a.doc_id = b.doc_id and a.x < b.x group by 1, 2 order by 3 desc, 1, 2 limit 8""",
 )
 def topic_cooccurrence(t: Tables) -> DataFrame:
-    out = ts.topic_pairs(t.table("documents"), topics=WORD_TOPICS)
+    out = ts.topic_pairs(t.documents, topics=WORD_TOPICS)
     return out.select("topic_a", "topic_b", "count", _r("share_of_multi"))
 
 
@@ -509,7 +509,7 @@ def confidence_preview(t: Tables) -> DataFrame:
     f"with {_CENTROIDS} select conversation_id, label as true_label, predicted as predicted_label, runner_up, case when length(text) > 160 then substring(text, 1, 160) || '…' else text end as text from pred join documents on conversation_id = doc_id::varchar where label <> predicted",
 )
 def error_analysis(t: Tables) -> DataFrame:
-    docs = t.table("documents").select(F.col("doc_id").cast("string").alias("conversation_id"), "text")
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("conversation_id"), "text")
     return metrics.error_analysis(_predicted(t).join(docs, "conversation_id")).drop("confidence", "runner_up_confidence")
 
 
@@ -585,7 +585,7 @@ def letter_encoder(texts) -> list[list[float]]:
 )
 def embedding_refresh(t: Tables) -> DataFrame:
     """The store holds the labelled documents; vectors of toxic ones have a wrong length and do not count."""
-    docs = t.table("documents")
+    docs = t.documents
     wanted = embeddings.keyed(docs, "m1")
     known = docs.join(t.table("labels"), "doc_id")
     stored = embeddings.encode(embeddings.keyed(known, "m1").dropDuplicates(["key", "toxic"]), letter_encoder)
@@ -603,5 +603,5 @@ def embedding_refresh(t: Tables) -> DataFrame:
 def embedded_texts(t: Tables) -> DataFrame:
     path = t.scratch("vectors")
     t.spark.createDataFrame([], "key string, vector array<float>").write.parquet(path)
-    full = embeddings.embedding_refresh(t.table("documents"), path, letter_encoder, "m1", 8)
+    full = embeddings.embedding_refresh(t.documents, path, letter_encoder, "m1", 8)
     return full.select("doc_id", F.size("vector").alias("dim"))

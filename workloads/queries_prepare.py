@@ -257,7 +257,7 @@ def openers(t: Tables) -> DataFrame:
 
 @query("valid_label", f"with {V4} select conversation_id, l as label, list_contains({list(LABELS)!r}, l) as valid from (select conversation_id, unnest([label, lang]) as l from v4 join documents using (doc_id))")
 def valid_label(t: Tables) -> DataFrame:
-    both = t.v4.join(t.table("documents").select("doc_id", "lang"), "doc_id")
+    both = t.v4.join(t.documents.select("doc_id", "lang"), "doc_id")
     stacked = both.select("conversation_id", F.explode(F.array("label", "lang")).alias("label"))
     return quality.valid_label(stacked)
 
@@ -265,7 +265,7 @@ def valid_label(t: Tables) -> DataFrame:
 @query("clip_text", "select doc_id, case when length(text) > 160 then substring(text, 1, 160) || '…' else text end as report_clip, case when length(text) > 240 then substring(text, 1, 239) || '…' else text end as display_clip from documents")
 def clip_text(t: Tables) -> DataFrame:
     text = F.col("text")
-    return t.table("documents").select(
+    return t.documents.select(
         "doc_id", clip(text, 160).alias("report_clip"), clip(text, 240, keep=239).alias("display_clip")
     )
 
@@ -431,7 +431,7 @@ def convs_with_author(t: Tables) -> DataFrame:
 
 @query("membership_filter", "select doc_id, lang from documents where doc_id in (select doc_id from labels)")
 def membership_filter(t: Tables) -> DataFrame:
-    return pairs.members(t.table("documents"), t.table("labels"), "doc_id").select("doc_id", "lang")
+    return pairs.members(t.documents, t.table("labels"), "doc_id").select("doc_id", "lang")
 
 
 @query("pair_conv_sizes", f"with recursive {V2T} select response_tweet_id, coalesce(c.tweets, p2.turn) as turns from p2 left join (select * from c2 where support_tweets > 5) c using (conversation_id)")
@@ -442,13 +442,13 @@ def pair_conv_sizes(t: Tables) -> DataFrame:
 
 @query("attach_labels", f"with {V4} select doc_id::varchar as conversation_id, length(d.text) as chars, v4.label from documents d join v4 using (doc_id)")
 def attach_labels(t: Tables) -> DataFrame:
-    sheet = t.table("documents").select(F.col("doc_id").cast("string").alias("conversation_id"), F.length("text").alias("chars"))
+    sheet = t.documents.select(F.col("doc_id").cast("string").alias("conversation_id"), F.length("text").alias("chars"))
     return pairs.attach_labels(sheet, t.v4)
 
 
 @query("golden_isolation", f"with {V4} select doc_id::varchar as conversation_id, text from documents where doc_id not in (select doc_id from v4)")
 def golden_isolation(t: Tables) -> DataFrame:
-    docs = t.table("documents").select(F.col("doc_id").cast("string").alias("conversation_id"), "text")
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("conversation_id"), "text")
     return pairs.without(docs, t.v4)
 
 
@@ -459,7 +459,7 @@ def golden_isolation(t: Tables) -> DataFrame:
  union all select 'unknown_id', conversation_id from v3 where conversation_id not in (select conversation_id from d)""",
 )
 def label_coverage(t: Tables) -> DataFrame:
-    docs = t.table("documents").select(F.col("doc_id").cast("string").alias("conversation_id"))
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("conversation_id"))
     return quality.label_coverage(docs, t.v3)
 
 
@@ -563,7 +563,7 @@ def quality_gate(t: Tables) -> DataFrame:
  union all select 'labels_valid', (select count(*) from lab where label = 'no such class'))""",
 )
 def golden_gate(t: Tables) -> DataFrame:
-    sheet = t.table("documents").select(F.col("doc_id").cast("string").alias("conversation_id"))
+    sheet = t.documents.select(F.col("doc_id").cast("string").alias("conversation_id"))
     named = t.v3.select("conversation_id", "label")
     odd = t.v4.filter("label = 'general_complaint'").join(named, "conversation_id", "left_anti")
     odd = odd.select("conversation_id", F.lit("no such class").alias("label"))

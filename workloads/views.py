@@ -45,6 +45,12 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """The documents; a folder of fewer files than cores is spread over them, as one file is read by one task."""
+        df, cores = self.table("documents"), self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
     # V1: linear threads --------------------------------------------------------------------------------
     def _linear(self) -> DataFrame:
         c = self.table("conversations")
@@ -182,8 +188,7 @@ class Tables:
             .otherwise("connectivity")
         )
         return (
-            self.table("documents")
-            .join(self.table("labels"), "doc_id")
+            self.documents.join(self.table("labels"), "doc_id")
             .select("doc_id", F.col("doc_id").cast("string").alias("conversation_id"), "text", label.alias("label"))
         )
 
