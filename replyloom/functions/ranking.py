@@ -19,13 +19,19 @@ def hash_order(unique: Column, seed: int | str = SEED) -> Column:
 
 
 def bucketed_rank(
-    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], out: str, up_to: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    bucket: Column,
+    order: Sequence[Column],
+    out: str,
+    up_to: int | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` in two levels.
 
     ``bucket`` must never decrease along ``order``. Rows are ranked inside (keys, bucket); the small table of
-    bucket sizes supplies how many rows come before each bucket. With ``up_to`` only the buckets that can hold
-    the first rows are ranked at all.
+    bucket sizes supplies how many rows come before each bucket and, as column ``total``, the size of the group.
+    With ``up_to`` only the buckets that can hold the first rows are ranked at all.
     """
     keys = list(keys)
     tagged = df.withColumn("_bucket", bucket)
@@ -33,7 +39,12 @@ def bucketed_rank(
     offsets = (
         tagged.groupBy(*keys, "_bucket")
         .agg(F.count(F.lit(1)).alias("_size"))
-        .select(*keys, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+        .select(
+            *keys,
+            "_bucket",
+            F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
+            *([F.sum("_size").over(Window.partitionBy(*keys)).alias(total)] if total else []),
+        )
     )
     if up_to is not None:
         offsets = offsets.filter(F.col("_offset") < up_to)
@@ -47,13 +58,19 @@ def bucketed_rank(
     return ranked if up_to is None else ranked.filter(F.col(out) <= up_to)
 
 
-def hash_rank(df: DataFrame, keys: Sequence[str], unique: str, out: str, seed: int = SEED, up_to: int | None = None):
+def hash_rank(
+    df: DataFrame,
+    keys: Sequence[str],
+    unique: str,
+    out: str,
+    seed: int = SEED,
+    up_to: int | None = None,
+    total: str | None = None,
+) -> DataFrame:
     """Rank of every row in the md5 order of its group; the hash prefix is an even bucket."""
     hashed = df.withColumn("_hash", hash_order(F.col(unique), seed))
-    ranked = bucketed_rank(
-        hashed, keys, F.substring("_hash", 1, HASH_PREFIX), [F.col("_hash"), F.col(unique)], out, up_to
-    )
-    return ranked.drop("_hash")
+    order = [F.col("_hash"), F.col(unique)]
+    return bucketed_rank(hashed, keys, F.substring("_hash", 1, HASH_PREFIX), order, out, up_to, total).drop("_hash")
 
 
 def hash_sample(df: DataFrame, n: int, unique: str, seed: int = SEED) -> DataFrame:

@@ -138,6 +138,7 @@ def _matrix(centroids: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def _cosines(matrix: np.ndarray, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Which vectors have the model's length, and the cosines of those to every class."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
     dim = matrix.shape[1]
     fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), dim), False)
     flat = vectors.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
@@ -184,18 +185,16 @@ class PrototypeModel:
             exps = np.exp((sims - sims.max(axis=1, keepdims=True)) / temperature)
             probs = exps / exps.sum(axis=1, keepdims=True)
             order = np.argsort(-sims, axis=1, kind="stable")[:, :2]
-            names = np.array(classes, dtype=object)
-            place = np.cumsum(fits) - 1
+            # Row of the result for each input row; NULL where the vector does not fit.
+            place = pa.array(np.cumsum(fits) - 1, mask=~fits)
+            names, rows_at = pa.array(classes, pa.string()), np.arange(len(order))
             columns = []
             for rank in range(2):
                 if rank < order.shape[1]:
                     at = order[:, rank]
-                    pick = [names[at], probs[np.arange(len(at)), at]]
+                    columns += [names.take(pa.array(at)).take(place), pa.array(probs[rows_at, at]).take(place)]
                 else:
-                    pick = [np.full(len(order), None, dtype=object), np.full(len(order), np.nan)]
-                for values, kind in zip(pick, (pa.string(), pa.float64())):
-                    cells = [values[p] if ok else None for p, ok in zip(place, fits)]
-                    columns.append(pa.array(cells, kind, from_pandas=True))
+                    columns += [pa.nulls(len(vectors), pa.string()), pa.nulls(len(vectors), pa.float64())]
             return pa.StructArray.from_arrays(columns, fields)
 
         return rows.withColumn("_best", best(F.col(vector))).select(*rows.columns, "_best.*")

@@ -53,6 +53,7 @@ def per_class(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         _ratio(F.col("tp"), F.col("support")).alias("recall"),
         _ratio(2 * F.col("tp"), F.col("support") + F.col("guessed")).alias("f1"),
         "support",
+        "tp",
     )
 
 
@@ -61,7 +62,7 @@ def class_report(predictions: DataFrame, labels=LABELS) -> DataFrame:
     seen = per_class(confusion_counts(predictions))
     return (
         label_table(predictions.sparkSession, labels)
-        .join(seen, "label", "left")
+        .join(seen.drop("tp"), "label", "left")
         .na.fill(0, ["precision", "recall", "f1", "support"])
     )
 
@@ -71,26 +72,20 @@ def headline(predictions: DataFrame, labels=LABELS, by: tuple[str, ...] = ()) ->
 
     With ``labels=None`` the macro average runs over the labels seen in each group instead.
     """
-    by = tuple(by)
-    counts = confusion_counts(predictions, by)
-    accuracy = counts.groupBy(*by).agg(
-        F.sum("n").alias("rows"),
-        (F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"),
-    )
-    scores = per_class(counts, by)
-    if labels is not None:
-        scores = scores.filter(F.col("label").isin(*labels))
+    counted = F.lit(True) if labels is None else F.col("label").isin(*labels)
     size = F.count(F.lit(1)) if labels is None else F.lit(len(labels))
-    averages = scores.groupBy(*by).agg(
-        (F.sum("f1") / size).alias("macro_f1"),
-        _ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"),
-    )
-    if by:
-        return accuracy.join(averages, list(by), "left").na.fill(0.0, ["macro_f1", "weighted_f1"])
-    return accuracy.select(
-        "*",
-        F.coalesce(averages.select("macro_f1").scalar(), F.lit(0.0)).alias("macro_f1"),
-        F.coalesce(averages.select("weighted_f1").scalar(), F.lit(0.0)).alias("weighted_f1"),
+    # Every row is in the support of exactly one label, so the sums over all labels seen are the row totals.
+    return (
+        per_class(confusion_counts(predictions, tuple(by)), tuple(by))
+        .groupBy(*by)
+        .agg(
+            F.coalesce(F.sum("support"), F.lit(0)).alias("rows"),
+            _ratio(F.sum("tp"), F.sum("support")).alias("accuracy"),
+            (F.coalesce(F.sum(F.when(counted, F.col("f1"))), F.lit(0.0)) / size).alias("macro_f1"),
+            _ratio(
+                F.sum(F.when(counted, F.col("f1") * F.col("support"))), F.sum(F.when(counted, F.col("support")))
+            ).alias("weighted_f1"),
+        )
     )
 
 

@@ -57,8 +57,7 @@ def stratified_split(
     test: float = TEST_RATIO,
 ) -> DataFrame:
     """Add ``split``: per label, half-even rounded shares for val and test, the rest for train."""
-    ranked = hash_rank(rows, [label], unique, "_rank", seed)
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = hash_rank(rows, [label], unique, "_rank", seed, total="_n")
     n_val = F.bround(F.col("_n") * F.lit(float(val))).cast("long")
     n_test = F.bround(F.col("_n") * F.lit(float(test))).cast("long")
     n_train = F.col("_n") - n_val - n_test
@@ -67,7 +66,7 @@ def stratified_split(
         .when(F.col("_rank") <= n_train + n_val, "val")
         .otherwise("test")
     )
-    return ranked.join(sizes, label).withColumn("split", split).drop("_rank", "_n")
+    return ranked.withColumn("split", split).drop("_rank", "_n")
 
 
 def kfold_assign(

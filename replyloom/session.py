@@ -54,8 +54,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the scratch folder."""
-    return f"{scratch_root(spark)}/replyloom-{uuid.uuid4().hex}-{name}"
+    """A new, unused path in the application's own part of the scratch folder, which can go when it has ended."""
+    app = spark.sparkContext.applicationId
+    return f"{scratch_root(spark)}/replyloom-{app}/{name}-{uuid.uuid4().hex}"
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from replyloom.constants import ID_COLUMNS, MESSAGE_COLUMNS, SEED
-from replyloom.functions.ranking import hash_sample
+from replyloom.functions.ranking import bucketed_rank, hash_sample
 from replyloom.functions.text import parse_created_at, split_ids, strip
 
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in MESSAGE_COLUMNS])
@@ -40,9 +40,8 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
         .select("*", F.col("_metadata.file_path").alias("_file"))
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).select(
-        F.col("path").alias("_file")
-    )
+    # Names only: the content column is pruned from this listing.
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_file"))
     numbered = files.withColumn("_no", F.row_number().over(Window.orderBy("_file")).cast("long"))
     filled = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in header.columns]
     return rows.join(numbered, "_file").select(
@@ -74,7 +73,10 @@ def ingest_messages(spark: SparkSession, csv_path: str, table_path: str) -> Data
 
 def first_rows(messages: DataFrame, n: int) -> DataFrame:
     """The first ``n`` rows of the file (development only: it cuts threads)."""
-    return messages.orderBy("file_pos").limit(n)
+    if n <= 10_000:
+        return messages.orderBy("file_pos").limit(n)
+    block = F.shiftright("file_pos", 16)
+    return bucketed_rank(messages, [], block, [F.col("file_pos")], "_rank", up_to=n).drop("_rank")
 
 
 def sample_rows(messages: DataFrame, n: int, seed: int = SEED) -> DataFrame:

@@ -128,3 +128,16 @@ def test_bigrams(spark, text, expected):
     from replyloom.functions.text import bigrams
 
     assert apply(spark, [text], lambda c: bigrams(F.split(c, " "))) == [expected]
+
+
+def test_row_expressions_on_a_stream(spark, tmp_path):
+    spark.createDataFrame([("@a the ios &amp; b",), ("wifi",)], "text string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("text string").parquet(str(tmp_path / "in"))
+    out = stream.select(clean_text(F.col("text")).alias("text"), keyword_label(F.col("text")).alias("label"))
+    query = (
+        out.writeStream.format("memory").queryName("cleaned").trigger(availableNow=True)
+        .option("checkpointLocation", str(tmp_path / "state")).start()
+    )
+    query.awaitTermination(120)
+    rows = {(r["text"], r["label"]) for r in spark.table("cleaned").collect()}
+    assert rows == {("the ios & b", "software_bug"), ("wifi", "connectivity")}

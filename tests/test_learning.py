@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from replyloom.constants import LABELS, VECTOR_GRID
 from replyloom.operators import embeddings, features, heads, metrics, quality, sampling, selection
+from replyloom.plans import evaluate
 from replyloom.plans.evaluate import build_golden
 
 # --- Fixed values: published confusion matrices (rows = true, in label order) with their headline metrics ----
@@ -215,6 +216,27 @@ def test_pooled_grid_search(spark, cloud):
         assert r["mean_score"] == pytest.approx((r["accuracy"] + r["macro_f1"]) / 2, abs=1e-4)
 
 
+def test_models_side_by_side(spark, cloud):
+    golden = sampling.stratified_split(cloud.withColumn("text", F.concat(F.lit("my ios "), "label")))
+    grid = ({"C": 1.0, "class_weight": None}, {"C": 10.0, "class_weight": "balanced"})
+    done = {
+        "keyword": evaluate.keyword_baseline(golden),
+        "majority": evaluate.majority_baseline(golden),
+        "text": evaluate.tfidf_head(golden, {"C": 10.0}),
+        "vector": evaluate.vector_head(golden, grid=grid),
+        "centroid": evaluate.prototype_head(golden),
+    }
+    # Fifteen test rows of three overlapping clouds say little, so the vector head is judged on its training rows.
+    compared = evaluate.compare(done)
+    scores = metrics.model_scores(sampling.split_rows(compared, "test"))
+    fitted = metrics.model_scores(sampling.split_rows(compared, "train")).filter("metric = 'accuracy'")
+    accuracy = {r["model"]: r["value"] for r in scores.filter("metric = 'accuracy'").collect()}
+    assert set(accuracy) == set(done)
+    assert {r["model"]: r["value"] for r in fitted.collect()}["vector"] > 0.6
+    assert accuracy["text"] == 1.0
+    assert accuracy["keyword"] == pytest.approx(3 / 15)  # the keyword rule names one of the classes
+
+
 def test_embedding_refresh(spark, tmp_path):
     calls = spark.sparkContext.accumulator(0)
 

@@ -35,6 +35,12 @@ def test_csv(spark, tmp_path):
     assert [r["tweet_id"] for r in ms.first_rows(table, 2).collect()] == ["902000000000000001", "2"]
 
 
+def test_first_rows_beyond_one_task(spark):
+    table = spark.range(0, 400_000, 7).withColumnRenamed("id", "file_pos").repartition(5)
+    out = ms.first_rows(table, 20_000)
+    assert (out.count(), out.agg(F.max("file_pos")).first()[0]) == (20_000, 19_999 * 7)
+
+
 def test_missing_column(spark, tmp_path):
     (tmp_path / "x.csv").write_text("tweet_id,text\n1,a\n")
     with pytest.raises(ms.SchemaError, match="author_id"):

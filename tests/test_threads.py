@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from replyloom.operators import closure, threads
 from replyloom.operators.pairs import support_pairs
+from replyloom.plans.explore import explore
 from replyloom.plans.prepare import prepare, run_report, stage_status
 from tests.conftest import as_dict
 
@@ -183,3 +184,9 @@ def test_whole_preparation(messages):
     assert report["outputs", "pairs"] == 1
     assert run.checks.filter("NOT passed").isEmpty() and run.checks.count() == 7
     assert {r["status"] for r in stage_status(run_report(run)).collect()} == {"OK"}
+    tables = explore(run)
+    assert {r["name"]: r["value"] for r in tables["summary"].collect()}["date_start"] == "Tue Oct 31 21:00:00 +0000 2017"
+    assert {r["bucket"]: r["count"] for r in tables["message_length_histogram"].collect()}["1-25"] == 3
+    assert [r["count"] for r in tables["funnel"].orderBy("step").collect()] == [5, 2, 3, 2, 1]
+    for name, table in tables.items():
+        assert table.count() >= (0 if name.startswith(("top", "topic_pairs")) else 1), name

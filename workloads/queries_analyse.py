@@ -285,9 +285,9 @@ def date_range(t: Tables) -> DataFrame:
 
 
 # --- Samples, splits, folds --------------------------------------------------------------------------------
-@query("sample_openers", f"with {V1}, o as (select * from t1 where turn = 1 and inbound) select conversation_id, tweet_id from o order by md5('42:' || conversation_id), conversation_id limit 25")
+@query("sample_openers", f"with {V1}, o as (select * from t1 where turn = 1 and inbound) select conversation_id, tweet_id from o order by md5('42:' || conversation_id), conversation_id limit 5")
 def sample_openers(t: Tables) -> DataFrame:
-    return sampling.sample_openers(t.t1, 25).select("conversation_id", "tweet_id")
+    return sampling.sample_openers(t.t1, 5).select("conversation_id", "tweet_id")
 
 
 @query(
