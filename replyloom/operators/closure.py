@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from replyloom.operators.cleaning import dedup_first
 from replyloom.operators.threads import listed_children, reading_order
 from replyloom.session import RoundTable, stash
 
@@ -84,6 +83,9 @@ def reachable_ids(messages: DataFrame, author: str, both_ways: bool = False, hot
 
     Links are followed as declared, or ``both_ways``. Only links between different groups need rounds.
     """
+    messages = stash(
+        messages.select("tweet_id", "author_id", "in_response_to_tweet_id", "response_ids"), "reply-links"
+    )
     groups = _two_way_groups(messages, hot_rows)
     lifted = (
         present_links(messages)
@@ -111,8 +113,15 @@ def thread_closure(messages: DataFrame, author: str, mode: str = "directed", hot
     both_ways = {"directed": False, "component": True}[mode]
     # A record without an id cannot be referred to; only the author's own leads anywhere.
     messages = messages.filter((F.col("tweet_id") != "") | (F.col("author_id") == author))
-    members = messages.join(reachable_ids(messages, author, both_ways, hot_rows), "tweet_id", "left_semi")
-    return dedup_first(members)
+    # Membership and "first record" are settled on two narrow columns; the wide rows are then matched once, by a
+    # key that is unique whatever the number of copies of an id.
+    first = (
+        messages.select("tweet_id", "file_pos")
+        .join(reachable_ids(messages, author, both_ways, hot_rows), "tweet_id", "left_semi")
+        .groupBy("tweet_id")
+        .agg(F.min("file_pos").alias("file_pos"))
+    )
+    return messages.join(first, ["tweet_id", "file_pos"], "left_semi")
 
 
 def thread_closure_bounded(messages: DataFrame, author: str, max_rounds: int) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from replyloom.constants import CONFIDENCE_THRESHOLD, ERROR_TEXT_CHARS, LABELS
-from replyloom.functions.tables import unpivot
 from replyloom.functions.text import clip
 from replyloom.operators.taxonomy import label_table
 
@@ -72,34 +71,40 @@ def headline(predictions: DataFrame, labels=LABELS, by: tuple[str, ...] = ()) ->
 
     With ``labels=None`` the macro average runs over the labels seen in each group instead.
     """
+    return per_class(confusion_counts(predictions, tuple(by)), tuple(by)).groupBy(*by).agg(*_averages(labels))
+
+
+def _averages(labels) -> list[Column]:
+    """Aggregates over all per-class rows. Every row of the data is in the support of exactly one label."""
     counted = F.lit(True) if labels is None else F.col("label").isin(*labels)
     size = F.count(F.lit(1)) if labels is None else F.lit(len(labels))
-    # Every row is in the support of exactly one label, so the sums over all labels seen are the row totals.
-    return (
-        per_class(confusion_counts(predictions, tuple(by)), tuple(by))
-        .groupBy(*by)
-        .agg(
-            F.coalesce(F.sum("support"), F.lit(0)).alias("rows"),
-            _ratio(F.sum("tp"), F.sum("support")).alias("accuracy"),
-            (F.coalesce(F.sum(F.when(counted, F.col("f1"))), F.lit(0.0)) / size).alias("macro_f1"),
-            _ratio(
-                F.sum(F.when(counted, F.col("f1") * F.col("support"))), F.sum(F.when(counted, F.col("support")))
-            ).alias("weighted_f1"),
-        )
-    )
+    weighted = F.sum(F.when(counted, F.col("f1") * F.col("support")))
+    return [
+        F.coalesce(F.sum("support"), F.lit(0)).alias("rows"),
+        _ratio(F.sum("tp"), F.sum("support")).alias("accuracy"),
+        (F.coalesce(F.sum(F.when(counted, F.col("f1"))), F.lit(0.0)) / size).alias("macro_f1"),
+        _ratio(weighted, F.sum(F.when(counted, F.col("support")))).alias("weighted_f1"),
+    ]
 
 
 def classification_report(predictions: DataFrame, labels=LABELS) -> DataFrame:
-    """Headline and per-class metrics in long form: ``(label, metric, value)``; label ``''`` is the whole set."""
-    whole = unpivot(headline(predictions, labels).drop("rows"), "double").select(
-        F.lit("").alias("label"), F.col("name").alias("metric"), "value"
+    """Headline and per-class metrics in long form: ``(label, metric, value)``; label ``''`` is the whole set.
+
+    Both come from one row that holds the averages and the taxonomy's classes, so predictions are read once.
+    """
+    fields = ("precision", "recall", "f1", "support")
+    known = F.when(F.col("label").isin(*labels), F.struct("label", F.struct(*fields).alias("scores")))
+    row = per_class(confusion_counts(predictions)).agg(
+        *_averages(labels), F.map_from_entries(F.collect_list(known)).alias("_classes")
     )
-    metrics = [
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-        for m in ("precision", "recall", "f1", "support")
-    ]
-    rows = class_report(predictions, labels).select("label", F.inline(F.array(*metrics)))
-    return whole.unionByName(rows)
+
+    def cell(label: str, metric: str, value: Column) -> Column:
+        value = F.coalesce(value.cast("double"), F.lit(0.0))
+        return F.struct(F.lit(label).alias("label"), F.lit(metric).alias("metric"), value.alias("value"))
+
+    whole = [cell("", m, F.col(m)) for m in ("accuracy", "macro_f1", "weighted_f1")]
+    classes = [cell(x, m, F.try_element_at("_classes", F.lit(x))[m]) for x in labels for m in fields]
+    return row.select(F.inline(F.array(*whole, *classes)))
 
 
 def fold_scores(predictions: DataFrame, labels=None, fold: str = "fold") -> DataFrame:
