@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from replyloom.operators.threads import listed_children, reading_order
+from replyloom.functions.tables import union_all
+from replyloom.operators.threads import forest_roots, listed_children
 from replyloom.session import RoundTable, stash
 
 BROADCAST_ROWS = 100_000  # frontier rows are single ids
@@ -48,48 +49,56 @@ def spread(seeds: DataFrame, links: DataFrame, max_rounds: int | None = None) ->
     return table.read(), True
 
 
-def _two_way_groups(messages: DataFrame, hot_rows: int) -> DataFrame:
-    """``(id, comp)``: messages joined by links that both ends declare share a group.
-
-    All members of a group reach each other, so a closure may treat the group as one node. Such links form a
-    forest, whose roots are found in a logarithmic number of rounds.
-    """
+def declared_pairs(messages: DataFrame) -> DataFrame:
+    """``(child, parent, up, down)``: which of the two ends declares the link."""
     up = messages.filter(F.col("in_response_to_tweet_id") != "").select(
-        F.col("tweet_id").alias("id"), F.col("in_response_to_tweet_id").alias("parent")
+        F.col("tweet_id").alias("child"), F.col("in_response_to_tweet_id").alias("parent"), F.lit(True).alias("up")
     )
-    down = listed_children(messages).select(F.col("child_id").alias("id"), F.col("tweet_id").alias("parent"))
-    mutual = (
-        up.filter("id <> parent")
-        .join(down.distinct(), ["id", "parent"], "left_semi")
-        .groupBy("id")
-        .agg(F.min("parent").alias("parent"))
+    down = listed_children(messages).select(
+        F.col("child_id").alias("child"), F.col("tweet_id").alias("parent"), F.lit(False).alias("up")
     )
-    nodes = messages.select(F.col("tweet_id").alias("id")).distinct().join(mutual, "id", "left")
-    nodes = nodes.select(
-        "id",
-        "parent",
-        F.lit(False).alias("no_time"),
-        F.lit(None).cast("timestamp").alias("ts"),
-        F.lit(0).cast("long").alias("file_pos"),
+    return (
+        up.unionByName(down)
+        .filter("child <> parent")
+        .groupBy("child", "parent")
+        .agg(F.max("up").alias("up"), F.max(~F.col("up")).alias("down"))
     )
-    found = reading_order(nodes, hot_rows).select("id", F.col("root").alias("comp"))
-    # Messages on a declared cycle have no root; they stay single and are handled by the rounds of `spread`.
-    ids = messages.select(F.col("tweet_id").alias("id")).distinct()
-    return stash(ids.join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "groups")
 
 
-def reachable_ids(messages: DataFrame, author: str, both_ways: bool = False, hot_rows: int = 1_000_000) -> DataFrame:
+def reachable_ids(messages: DataFrame, author: str, both_ways: bool = False) -> DataFrame:
     """Distinct ids of all present messages reachable from the author's.
 
-    Links are followed as declared, or ``both_ways``. Only links between different groups need rounds.
+    Messages joined by links that both ends declare reach each other, so such a group acts as one node. These
+    links form a forest, whose roots take a logarithmic number of rounds whatever the length of a thread. Only
+    links declared by one end are left for breadth-first rounds between groups, followed as declared or
+    ``both_ways``.
     """
     messages = stash(
         messages.select("tweet_id", "author_id", "in_response_to_tweet_id", "response_ids"), "reply-links"
     )
-    groups = _two_way_groups(messages, hot_rows)
+    ids = messages.select(F.col("tweet_id").alias("id")).distinct()
+    pairs = stash(declared_pairs(messages), "declared-pairs")
+    mutual = pairs.filter("up AND down")
+    tree = mutual.groupBy(F.col("child").alias("id")).agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("_n"))
+    nodes = stash(ids.join(tree, "id", "left"), "two-way-links")
+    roots = forest_roots(nodes).withColumnRenamed("root", "comp")
+    # Messages on a declared cycle have no root; they stay single and are handled by the rounds of `spread`.
+    groups = stash(nodes.join(roots, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "groups")
+
+    # Links outside the forest: declared by one end, second parents of repeated ids, and cycles.
+    second = mutual.join(nodes.filter("_n > 1").select(F.col("id").alias("child"), F.col("parent").alias("_kept")), "child")
+    ringed = nodes.join(roots, "id", "left_anti").filter("parent IS NOT NULL")
+    loose = union_all(
+        pairs.filter("up AND NOT down").select(F.col("child").alias("src"), F.col("parent").alias("dst")),
+        pairs.filter("down AND NOT up").select(F.col("parent").alias("src"), F.col("child").alias("dst")),
+        second.filter("parent <> _kept").select(F.col("child").alias("src"), F.col("parent").alias("dst")),
+        second.filter("parent <> _kept").select(F.col("parent").alias("src"), F.col("child").alias("dst")),
+        ringed.select(F.col("id").alias("src"), F.col("parent").alias("dst")),
+        ringed.select(F.col("parent").alias("src"), F.col("id").alias("dst")),
+    )
+    # The inner join to `groups` drops links to absent messages.
     lifted = (
-        present_links(messages)
-        .join(groups.select(F.col("id").alias("src"), F.col("comp").alias("_from")), "src")
+        loose.join(groups.select(F.col("id").alias("src"), F.col("comp").alias("_from")), "src")
         .join(groups.select(F.col("id").alias("dst"), F.col("comp").alias("_to")), "dst")
         .filter("_from <> _to")
     )
@@ -104,7 +113,7 @@ def reachable_ids(messages: DataFrame, author: str, both_ways: bool = False, hot
     )
 
 
-def thread_closure(messages: DataFrame, author: str, mode: str = "directed", hot_rows: int = 1_000_000) -> DataFrame:
+def thread_closure(messages: DataFrame, author: str, mode: str = "directed") -> DataFrame:
     """All messages of the threads the author took part in; the first record of each id.
 
     ``directed`` follows a message to its parent and its listed children, as declared. ``component`` follows
@@ -117,7 +126,7 @@ def thread_closure(messages: DataFrame, author: str, mode: str = "directed", hot
     # key that is unique whatever the number of copies of an id.
     first = (
         messages.select("tweet_id", "file_pos")
-        .join(reachable_ids(messages, author, both_ways, hot_rows), "tweet_id", "left_semi")
+        .join(reachable_ids(messages, author, both_ways), "tweet_id", "left_semi")
         .groupBy("tweet_id")
         .agg(F.min("file_pos").alias("file_pos"))
     )
@@ -134,9 +143,9 @@ def thread_closure_bounded(messages: DataFrame, author: str, max_rounds: int) ->
     return reached.select(F.col("id").alias("tweet_id"), "round", F.lit(converged).alias("converged"))
 
 
-def closure_in_frame(frame: DataFrame, author: str, hot_rows: int = 1_000_000) -> DataFrame:
+def closure_in_frame(frame: DataFrame, author: str) -> DataFrame:
     """Rows of a frame connected to the author by links within the frame; repeated ids are kept."""
-    return frame.join(reachable_ids(frame, author, hot_rows=hot_rows), "tweet_id", "left_semi")
+    return frame.join(reachable_ids(frame, author), "tweet_id", "left_semi")
 
 
 def dangling_refs(messages: DataFrame) -> DataFrame:

@@ -109,12 +109,57 @@ def sibling_rank(messages: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
     return rank_in_groups(kids, "parent", ["no_time", "ts", "file_pos", "id"], carry="id", hot_rows=hot_rows)
 
 
+def follow_back(start: DataFrame) -> DataFrame:
+    """Follow back pointers to their ends: ``(step, back, entries, root)`` to ``(step, entries, root)``.
+
+    Each round replaces a pointer by its target's pointer and adds up ``entries``, so the distance covered
+    doubles. A step whose pointer is NULL is an end and knows its ``root``; steps on a ring never get one and
+    are left out.
+    """
+    table = RoundTable(start.sparkSession, "steps", _STEP, split="done")
+    counters = {"open": F.count_if(~F.col("done")), "done": F.count_if("done")}
+    start = start.select("step", "back", "entries", "root", F.col("back").isNull().alias("done"))
+    k, state = 0, table.append(start, 0, **counters)
+    # Distances have no gaps: a round in which nothing gets done leaves only steps without an end.
+    while state["open"] and state["done"]:
+        steps = table.read()
+        waiting = steps.filter(~F.col("done") & (F.col("round") == k)).select("step", "back", "entries")
+        known = steps.filter(F.col("done") | (F.col("round") == k)).select(
+            F.col("step").alias("back"),
+            F.col("back").alias("_back"),
+            F.col("entries").alias("_entries"),
+            F.col("root").alias("_root"),
+        )
+        if state["open"] <= BROADCAST_ROWS:
+            waiting = F.broadcast(waiting)
+        moved = waiting.join(known, "back").select(
+            "step",
+            F.col("_back").alias("back"),
+            (F.col("entries") + F.col("_entries")).alias("entries"),
+            F.col("_root").alias("root"),
+            F.col("_back").isNull().alias("done"),
+        )
+        k += 1
+        state = table.append(moved, k, **counters)
+    return table.read().filter("done").select("step", "entries", "root")
+
+
+def forest_roots(nodes: DataFrame) -> DataFrame:
+    """``(id, root)`` of a forest ``(id, parent)``; nodes on or below a cycle are left out."""
+    start = nodes.select(
+        F.col("id").alias("step"),
+        F.col("parent").alias("back"),
+        F.lit(1).cast("long").alias("entries"),
+        F.when(F.col("parent").isNull(), F.col("id")).alias("root"),
+    )
+    return follow_back(start).select(F.col("step").alias("id"), "root")
+
+
 def reading_order(nodes: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
     """``(id, root, turn)`` for every node of a reply forest ``(id, parent, no_time, ts, file_pos)``.
 
     Nodes on a cycle, and all below one, have no first step and are left out.
     """
-    spark = nodes.sparkSession
     parents = nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("id")).distinct()
     tagged = stash(
         nodes.join(parents.withColumn("_parent", F.lit(True)), "id", "left").select(
@@ -151,35 +196,10 @@ def reading_order(nodes: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
             F.lit(0).cast("long").alias("entries"),
             F.lit(None).cast("string").alias("root"),
         ),
-    ).withColumn("done", F.col("back").isNull())
-
-    table = RoundTable(spark, "steps", _STEP, split="done")
-    counters = {"open": F.count_if(~F.col("done")), "done": F.count_if("done")}
-    k, state = 0, table.append(start, 0, **counters)
-    # Distances have no gaps: a round in which nothing gets done leaves only steps without an end.
-    while state["open"] and state["done"]:
-        steps = table.read()
-        waiting = steps.filter(~F.col("done") & (F.col("round") == k)).select("step", "back", "entries")
-        known = steps.filter(F.col("done") | (F.col("round") == k)).select(
-            F.col("step").alias("back"),
-            F.col("back").alias("_back"),
-            F.col("entries").alias("_entries"),
-            F.col("root").alias("_root"),
-        )
-        if state["open"] <= BROADCAST_ROWS:
-            waiting = F.broadcast(waiting)
-        moved = waiting.join(known, "back").select(
-            "step",
-            F.col("_back").alias("back"),
-            (F.col("entries") + F.col("_entries")).alias("entries"),
-            F.col("_root").alias("root"),
-            F.col("_back").isNull().alias("done"),
-        )
-        k += 1
-        state = table.append(moved, k, **counters)
+    )
     return (
-        table.read()
-        .filter(F.col("done") & F.startswith("step", F.lit("+")))
+        follow_back(start)
+        .filter(F.startswith("step", F.lit("+")))
         .select(F.substring("step", 2, 1 << 30).alias("id"), "root", F.col("entries").alias("turn"))
     )
 

@@ -45,7 +45,7 @@ def prepare(messages: DataFrame, author: str, mode: str = "directed", hot_rows:
     account's threads), the cleaned ones, and the rebuilt threads.
     """
     require_author(messages, author)
-    collected = stash(thread_closure(messages, author, mode, hot_rows), "collected")
+    collected = stash(thread_closure(messages, author, mode), "collected")
     cleaned = stash(preprocess(collected), "cleaned")
     rebuilt = stash(reconstruct_threads(cleaned, hot_rows), "rebuilt")
     threads = convs_with_author(rebuilt, author)

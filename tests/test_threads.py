@@ -143,7 +143,7 @@ def test_closure(messages, seed, mode):
         r[1] = "agent" if rng.random() < 0.03 else "1"
     expected = reach(rows, "agent", both=mode == "component")
     table = messages([tuple(r) for r in rows])
-    found = [r["tweet_id"] for r in closure.thread_closure(table.repartition(5), "agent", mode, hot_rows=10).collect()]
+    found = [r["tweet_id"] for r in closure.thread_closure(table.repartition(5), "agent", mode).collect()]
     assert sorted(found) == sorted(expected)
 
 
