@@ -19,7 +19,7 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it in ``body``; a lambda would otherwise redo it for every element."""
     return F.transform(F.array(value), body)[0]
 
@@ -27,7 +27,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def unit(a: Column) -> Column:
     """Vector scaled to length 1; a zero vector is left as it is."""
     scaled = lambda length: F.transform(a, lambda x: x.cast("double") / length)
-    return _let(F.when(norm(a) > 0, norm(a)).otherwise(F.lit(1.0)), scaled)
+    return let(F.when(norm(a) > 0, norm(a)).otherwise(F.lit(1.0)), scaled)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -38,5 +38,5 @@ def cosine(a: Column, b: Column) -> Column:
 def softmax(scores: Column, temperature: float = 1.0) -> Column:
     shifted = lambda top: F.transform(scores, lambda x: F.exp((x - top) / F.lit(float(temperature))))
     total = lambda exps: F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
-    normalised = lambda exps: _let(total(exps), lambda t: F.transform(exps, lambda x: x / t))
-    return _let(_let(F.array_max(scores), shifted), normalised)
+    normalised = lambda exps: let(total(exps), lambda t: F.transform(exps, lambda x: x / t))
+    return let(let(F.array_max(scores), shifted), normalised)

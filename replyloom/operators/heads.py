@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from replyloom.functions.vectors import NORM_FLOOR, unit
+from replyloom.functions.vectors import NORM_FLOOR, let, unit
 
 MAX_CLASSES = 10_000
 MAX_MODEL_FLOATS = 16_000_000
@@ -32,12 +32,14 @@ def top_two(scores: Column, labels: list[str]) -> Column:
     ranked = F.array_sort(
         F.zip_with(scores, names, lambda s, n: F.struct((-s).alias("s"), n.alias("n")))
     )
-    second = F.get(ranked, F.lit(1))
-    return F.struct(
-        ranked[0]["n"].alias("predicted"),
-        (-ranked[0]["s"]).alias("confidence"),
-        second["n"].alias("runner_up"),
-        (-second["s"]).alias("runner_up_confidence"),
+    return let(
+        ranked,
+        lambda r: F.struct(
+            r[0]["n"].alias("predicted"),
+            (-r[0]["s"]).alias("confidence"),
+            F.get(r, F.lit(1))["n"].alias("runner_up"),
+            (-F.get(r, F.lit(1))["s"]).alias("runner_up_confidence"),
+        ),
     )
 
 

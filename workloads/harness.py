@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -22,7 +20,7 @@ def connect(sf_dir: str):
 
 def _plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 9)
+        return repr(v)  # exact: both sides round what they report
     if isinstance(v, (list, tuple)):
         return tuple(_plain(x) for x in v)
     return v

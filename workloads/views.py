@@ -78,12 +78,13 @@ class Tables:
         )
 
     @staticmethod
-    def _typed(raw: DataFrame) -> DataFrame:
-        return with_types(normalise(raw.withColumn("inbound_raw", F.col("inbound"))))
+    def _ingested(raw: DataFrame, name: str) -> DataFrame:
+        """The typed message table, written once as an ingest would."""
+        return stash(with_types(normalise(raw.withColumn("inbound_raw", F.col("inbound")))), name)
 
     @cached_property
     def v1(self) -> DataFrame:
-        return self._typed(self._linear().drop("conv_id", "_turn"))
+        return self._ingested(self._linear().drop("conv_id", "_turn"), "v1")
 
     # V1d: V1 with planted noise ------------------------------------------------------------------------
     @cached_property
@@ -99,7 +100,7 @@ class Tables:
             .withColumn("tweet_id", F.when((conv % 31 == 0) & (turn == 2), "").otherwise(F.col("tweet_id")))
         )
         again = raw.filter(turn % 7 == 3).withColumn("file_pos", F.col("file_pos") + 10**9)
-        return self._typed(raw.unionByName(again).drop("conv_id", "_turn"))
+        return self._ingested(raw.unionByName(again).drop("conv_id", "_turn"), "v1d")
 
     # V2: branching trees with orphans, cycles, one-way and dangling links ------------------------------
     @cached_property
@@ -136,7 +137,7 @@ class Tables:
             F.coalesce(named(F.col("parent")), F.lit("")).alias("in_response_to_tweet_id"),
             (F.lit(10**12) - e).alias("file_pos"),
         )
-        return self._typed(raw)
+        return self._ingested(raw, "v2")
 
     # Rebuilt threads, written once ---------------------------------------------------------------------
     @cached_property
