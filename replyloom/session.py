@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import importlib
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +20,7 @@ REQUIRED_CONF = {
 }
 
 _local_roots: dict[str, str] = {}
+_shipped: set[tuple[str, str]] = set()
 
 
 def local_session(app: str = "replyloom", cores: int = 8, **conf: str) -> SparkSession:
@@ -36,6 +40,21 @@ def local_session(app: str = "replyloom", cores: int = 8, **conf: str) -> SparkS
     return spark
 
 
+def ship(spark: SparkSession, *packages: str) -> None:
+    """Send Python packages to the executors, whose workers import the helpers of the few Python functions.
+
+    Not needed where the packages are installed on every node.
+    """
+    app = spark.sparkContext.applicationId
+    for package in packages:
+        if (app, package) not in _shipped:
+            folder = os.path.dirname(os.path.abspath(importlib.import_module(package).__file__))
+            base = os.path.join(tempfile.mkdtemp(prefix="ship-"), package)
+            archive = shutil.make_archive(base, "zip", os.path.dirname(folder), package)
+            spark.sparkContext.addPyFile(archive)
+            _shipped.add((app, package))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder for intermediate tables.
 

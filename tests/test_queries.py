@@ -1,6 +1,8 @@
 """Every registered query against its SQL, and rules on plans and sources."""
 
 import pathlib
+import subprocess
+import sys
 
 import pytest
 
@@ -28,6 +30,19 @@ def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    root = pathlib.Path(entry_module.__file__).parent
+    code = (
+        f"import sys; sys.path.insert(0, {str(root)!r})\n"
+        "import __spark_entry__ as e\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        f"print('rows', len(e.queries()['prototype_predict'](s, {SF!r}).collect()))\n"
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "rows 500" in out.stdout, out.stderr[-2000:]
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
 

@@ -11,7 +11,7 @@ from replyloom.constants import LABELS
 from replyloom.operators.threads import conversation_totals, reconstruct_threads
 from replyloom.operators.pairs import support_pairs
 from replyloom.plans.prepare import Prepared, prepare
-from replyloom.session import scratch_path, stash
+from replyloom.session import scratch_path, ship, stash
 from replyloom.sources.messages import normalise, with_types
 
 SEED = 42
@@ -32,6 +32,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The views of one session and folder. Rebuilt threads are written once and shared, as a user would do."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
+        ship(spark, "replyloom", "workloads")
         _CACHE[key] = Tables(spark, sf_dir)
     return _CACHE[key]
 
