@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replyloom.constants import DISPLAY_STOPWORDS, LABELS, MESSAGE_BUCKETS, TOKEN_EDGE_CHARS
+from replyloom.constants import DISPLAY_STOPWORDS, MESSAGE_BUCKETS, TOKEN_EDGE_CHARS
 from replyloom.functions.text import content_key, content_tokens, decode_entities, keyword_label, tokens, topic_hits
 from replyloom.functions.vectors import cosine, softmax
 from replyloom.operators import embeddings, heads, metrics, profile, sampling, selection

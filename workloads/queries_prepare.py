@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from replyloom.constants import LABELS, MESSAGE_COLUMNS
 from replyloom.functions.tables import union_all, unpivot
-from replyloom.functions.text import clean_text, clip, split_ids
+from replyloom.functions.text import clip, split_ids
 from replyloom.operators import cleaning, closure, pairs, profile, quality, sampling, threads
 from replyloom.operators.taxonomy import signal_flags
 from replyloom.plans.prepare import run_report, stage_status
