@@ -10,8 +10,8 @@ import __spark_entry__ as entry_module
 from workloads.harness import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry_module.queries()
-SQL = entry_module.oracle_sql()
+QUERIES = {name: fn for name, fn in entry_module.queries().items() if name in entry_module._ALL}
+SQL = {name: sql for name, sql in entry_module.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
