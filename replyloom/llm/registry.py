@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from replyloom.llm import op6_hmm, op7_chat, op8_mixing
+from replyloom.llm import op3_toxicity, op6_hmm, op7_chat, op8_mixing
 
 Q = {
+    "op3_kneser_ney": (op3_toxicity.op3_kneser_ney, None),
     "op6_hidden_markov": (op6_hmm.op6_hidden_markov, None),
     "op7_chat_round_trip": (op7_chat.op7_chat_round_trip, op7_chat.SQL),
     "op8_fair_queue_mix": (op8_mixing.op8_fair_queue_mix, op8_mixing.SQL),
