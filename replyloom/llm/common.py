@@ -16,6 +16,7 @@ from replyloom.session import scratch_path, ship, stash
 
 #: Rows of one Arrow batch between Spark and Python; texts may be long, so batches are short.
 BATCH_ROWS = 500
+BATCH_BYTES = "8m"
 #: Text bytes that one numpy step works on.
 SLICE_BYTES = 2 << 20
 
@@ -24,6 +25,7 @@ def ready(spark: SparkSession) -> SparkSession:
     """Send the package to the workers and keep Arrow batches small enough for very long texts."""
     ship(spark, "replyloom")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
@@ -57,6 +59,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, np.uint8), offsets
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows one by one, so that only one large row is a Python object at a time."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def crc(column: Column) -> Column:
     """crc32 of a value's text, as the splits use it; NULL counts as an empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))

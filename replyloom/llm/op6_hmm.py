@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replyloom.llm.common import crc, slices, table, text_bytes
+from replyloom.llm.common import crc, rows_of, slices, table, text_bytes
 from replyloom.llm.words import prefix_sums, spans, word_bounds
 from replyloom.session import stash
 
@@ -34,6 +34,7 @@ STATES = 8
 CLASSES = 1024
 PASSES = 5
 SEGMENT = 128
+PIECES_AT_ONCE = 1024
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 END = 0
@@ -92,7 +93,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sender(n_buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 uniq = np.frombuffer(row["uniq"], np.uint64)
                 cls, n_train = np.frombuffer(row["cls"], np.uint16), np.frombuffer(row["n_train"], np.int64)
                 at = np.searchsorted(uniq, _bounds(n_buckets))
@@ -191,8 +192,8 @@ def expected_counts(seq, starts, sizes, start_p, move_p, emit_p) -> tuple[np.nda
     first, moves, emits, loglik = np.zeros(k), np.zeros((k, k)), np.zeros((k, emit_p.shape[1])), 0.0
     by_class = np.ascontiguousarray(emit_p.T)
     order = np.argsort(-sizes, kind="stable")
-    for at in range(0, len(order), 4096):
-        some = order[at : at + 4096]
+    for at in range(0, len(order), PIECES_AT_ONCE):
+        some = order[at : at + PIECES_AT_ONCE]
         s, z = starts[some], sizes[some]
         longest = int(z[0])
         active = np.searchsorted(-z, -np.arange(longest), side="left")  # pieces longer than t
@@ -246,7 +247,7 @@ def _counting_pass(params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start_p, move_p, emit_p = params.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 seq, starts, sizes = _segments(row)
                 if len(starts):
                     first, moves, emits, loglik = expected_counts(seq, starts, sizes, start_p, move_p, emit_p)
@@ -282,7 +283,7 @@ def _scoring_pass(params, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start_p, move_p, emit_p, class_log = params.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 parts = sorted(row["back"] or [], key=lambda r: r["bucket"])
                 total = np.frombuffer(b"".join(r["total"] for r in parts), np.int64)
                 inv, n_words = np.frombuffer(row["inv"], np.int32), np.array(row["n_words"], np.int64)
