@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from replyloom.session import scratch_path, ship, stash
 #: Rows of one Arrow batch between Spark and Python; texts may be long, so batches are short.
 BATCH_ROWS = 500
 BATCH_BYTES = "8m"
+_ZSTD = pa.Codec("zstd", compression_level=1)
 #: Text bytes that one numpy step works on.
 SLICE_BYTES = 2 << 20
 
@@ -65,6 +67,16 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
         yield batch.slice(k, 1).to_pylist()[0]
 
 
+def packed(**arrays) -> bytes:
+    """Arrays as one compressed value."""
+    raw = pickle.dumps(arrays, protocol=5)
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw).to_pybytes()
+
+
+def unpacked(value: bytes) -> dict:
+    return pickle.loads(_ZSTD.decompress(value[8:], int.from_bytes(value[:8], "little")).to_pybytes())
+
+
 def crc(column: Column) -> Column:
     """crc32 of a value's text, as the splits use it; NULL counts as an empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))

@@ -10,6 +10,7 @@ import numpy as np
 
 _RANDOM = np.random.default_rng(20_011)
 _CODE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_EXACT = _CODE.copy()
 _CODE[65:91] = _CODE[97:123]
 _BASE = 0x9E3779B97F4A7C15
 _STEP = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -35,11 +36,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """``s`` such that ``spans(s, a, b)`` is a hash of ``data[a:b]``."""
+def prefix_sums(data: np.ndarray, fold: bool = True) -> np.ndarray:
+    """``s`` such that ``spans(s, a, b)`` is a hash of ``data[a:b]``; ``fold`` takes A-Z as a-z."""
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_CODE[data] * powers(len(data))[0], out=total[1:])
+    np.cumsum((_CODE if fold else _EXACT)[data] * powers(len(data))[0], out=total[1:])
     return total
 
 
