@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from replyloom.llm import op3_toxicity, op5_suffix, op6_hmm, op7_chat, op8_mixing
+from replyloom.llm import op3_toxicity, op4_chosen_path, op5_suffix, op6_hmm, op7_chat, op8_mixing
 
 Q = {
     "op3_kneser_ney": (op3_toxicity.op3_kneser_ney, None),
+    "op4_chosen_path": (op4_chosen_path.op4_chosen_path, None),
     "op5_column_bwt": (op5_suffix.op5_column_bwt, None),
     "op6_hidden_markov": (op6_hmm.op6_hidden_markov, None),
     "op7_chat_round_trip": (op7_chat.op7_chat_round_trip, op7_chat.SQL),
