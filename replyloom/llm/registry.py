@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from replyloom.llm import op1_decontaminate, op3_toxicity, op4_chosen_path, op5_suffix, op6_hmm, op7_chat, op8_mixing
+from replyloom.llm import op1_decontaminate, op2_lines, op3_toxicity, op4_chosen_path, op5_suffix, op6_hmm, op7_chat, op8_mixing
 
 Q = {
     "op1_pigeonhole_leaks": (op1_decontaminate.op1_pigeonhole_leaks, None),
+    "op2_segment_lines": (op2_lines.op2_segment_lines, None),
     "op3_kneser_ney": (op3_toxicity.op3_kneser_ney, None),
     "op4_chosen_path": (op4_chosen_path.op4_chosen_path, None),
     "op5_column_bwt": (op5_suffix.op5_column_bwt, None),
