@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replyloom.llm.common import is_empty, table
+from replyloom.llm.common import is_empty, maybe_in, table
 from replyloom.llm.components import components
 from replyloom.session import stash
 
@@ -30,7 +30,6 @@ LEAST_CHARS = 24
 #: Occurrences of a segment at one place of one length from which on its lines are partitioned again.
 CROWDED = 512
 LETTERS = "etanoirs"
-BITMAP_WORDS = 1 << 17
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -39,20 +38,6 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return parts.filter(F.trim(F.regexp_replace("line", r"[\x09-\x0D]", " ")) != "").withColumn("id", F.xxhash64("line"))
 
 
-def bitmap(keys: DataFrame, column: str) -> DataFrame:
-    """A bitmap of a hash column with at most ``BITMAP_WORDS`` rows of 64 bits, so that it can be broadcast at any size of ``keys``."""
-    bit = F.pmod(F.xxhash64(column), F.lit(BITMAP_WORDS * 64))
-    marked = keys.select(F.expr("1L").alias("one"), bit.alias("bit"))
-    return marked.groupBy(F.shiftright("bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("_bits"))
-
-
-def maybe_in(df: DataFrame, column: str, keys: DataFrame, key_column: str, out: str) -> DataFrame:
-    """Adds ``out``: false only if the value is certainly not among ``keys``. No row is moved."""
-    bit = F.pmod(F.xxhash64(column), F.lit(BITMAP_WORDS * 64))
-    joined = df.withColumn("_bit", bit).join(F.broadcast(bitmap(keys, key_column)), F.shiftright("_bit", 6) == F.col("_word"), "left")
-    return joined.withColumn(out, F.coalesce(F.expr("(shiftrightunsigned(_bits, cast(_bit & 63 as int)) & 1) = 1"), F.lit(False))).drop("_bit", "_word", "_bits")
-
-
 def _cut(length: Column, i: int) -> Column:
     return F.floor(length * i / (EDITS + 1)).cast("int")
 

@@ -8,6 +8,9 @@ passages of a document that follow each other and share that substring form one
 smallest document's goes on, in each slice of texts before anything is moved and in each bucket again: in the other
 documents all of their passages are repeated. So a passage in every document costs one string per slice.
 
+Before any text is dealt out, the anchors alone are: 32 bits each, once per slice, come to the anchor's bucket, which answers
+which of them occur in more than one document. Strings whose anchor is in one document only stay where they are.
+
 In a bucket, the different strings around one anchor form a collection whose suffixes are sorted by column-wise
 construction: round j inserts for every string its suffix of length j, at the place that the symbols inserted before
 give (the number of smaller symbols, and of equal ones further up). The Burrows-Wheeler transform, the common prefixes
@@ -31,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replyloom.llm.common import packed, slices, table, text_bytes, unpacked
-from replyloom.llm.words import prefix_sums, spans
+from replyloom.llm.common import maybe_in, packed, slices, table, text_bytes, unpacked
+from replyloom.llm.words import mixed, powers, prefix_sums, spans
+from replyloom.session import stash
 
 LENGTH = 50
 ANCHOR = 16
@@ -62,19 +66,22 @@ def anchored_strings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     if len(data) < LENGTH:
         return none, none, none, none, none.astype(np.uint64)
     sums = prefix_sums(data, fold=False)
-    at = np.arange(len(data) - ANCHOR + 1)
-    anchors = spans(sums, at, at + ANCHOR)
-    least = _sliding_least((anchors & ~_POSITION) | at.astype(np.uint64), LENGTH - ANCHOR + 1)
-    chosen = (least & _POSITION).astype(np.int64)
-    part = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    windows = np.flatnonzero(np.arange(len(chosen)) + LENGTH <= offsets[part[: len(chosen)] + 1])
-    if not len(windows):
-        return none, none, none, none, none.astype(np.uint64)
-    picked, owner = chosen[windows], part[windows]
-    begins = np.flatnonzero(np.concatenate([[True], (picked[1:] != picked[:-1]) | (owner[1:] != owner[:-1])]))
-    lasts = np.append(begins[1:], len(windows)) - 1
-    start, end = windows[begins], windows[lasts] + LENGTH
-    return owner[begins], start, end, picked[begins] - start, anchors[picked[begins]]
+    n = len(data) - ANCHOR + 1
+    anchors = mixed((sums[ANCHOR:] - sums[:-ANCHOR]) * powers(n)[1])
+    least = _sliding_least((anchors & ~_POSITION) | np.arange(n, dtype=np.uint64), LENGTH - ANCHOR + 1)
+    # a string begins where the anchor changes or a text begins, and ends before the next one or with its text
+    sizes = np.diff(offsets)
+    texts = np.flatnonzero(sizes >= LENGTH)
+    begins = np.zeros(len(least), bool)
+    begins[1:] = least[1:] != least[:-1]
+    for a in offsets[1:-1]:
+        begins[max(0, a - LENGTH + 1) : a] = False
+    begins[offsets[texts]] = True
+    start = np.flatnonzero(begins)
+    owner = np.searchsorted(offsets, start, side="right") - 1
+    end = np.minimum(np.append(start[1:], len(data)) + LENGTH - 1, offsets[owner + 1])
+    picked = (least[start] & _POSITION).astype(np.int64)
+    return owner, start, end, picked - start, anchors[picked]
 
 
 def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -92,35 +99,137 @@ def _least_owner(codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nda
     return first, group, ids[first]
 
 
+def _parts(part: pa.RecordBatch) -> tuple:
+    """Bytes and offsets of a slice's texts, long ones in parts; each part's row and place in its text."""
+    data, offsets = text_bytes(part.column("text"))
+    rows, bases, cuts = [], [], []
+    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        for base in range(0, max(1, b - a - LENGTH + 1), PART - LENGTH + 1):
+            rows.append(k), bases.append(base), cuts.append((a + base, min(a + base + PART, b)))
+    if len(rows) > part.num_rows:
+        data = np.concatenate([data[a:b] for a, b in cuts])
+        offsets = np.concatenate([[0], np.cumsum([b - a for a, b in cuts])])
+    ids = part.column("doc_id").to_pylist()
+    id_of = np.array([_LOWEST if ids[k] is None else ids[k] for k in rows], np.int64)
+    return data, offsets, np.array(rows), np.array(bases, np.int64), ids, part.column("print").to_pylist(), id_of
+
+
+def _bucket(anchor: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (anchor >> np.uint64(32)) % np.uint64(n_buckets)
+
+
+def _print(anchor: np.ndarray) -> np.ndarray:
+    return anchor.astype(np.uint32)
+
+
+def _by_bucket(bucket: np.ndarray, n_buckets: int):
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
+    return [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _dealt(out: list, chunk: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([b for b, _ in out], pa.int32()), pa.array([chunk] * len(out), pa.string()), pa.array([v for _, v in out], pa.binary())],
+        names=["bucket", "chunk", "value"],
+    )
+
+
+def _deal_anchors(n_buckets: int):
+    """Each anchor of a slice once, to its bucket; those in several documents of the slice are known to be shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", SLICE):
+            data, offsets, rows, _, ids, prints, _ = _parts(part)
+            owner, _, _, _, anchor = anchored_strings(data, offsets)
+            row = rows[owner]
+            order = np.lexsort((row, anchor))
+            anchor, row = anchor[order], row[order]
+            fresh = np.ones(len(anchor), bool)
+            fresh[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+            anchor, row = anchor[fresh], row[fresh]
+            first = np.ones(len(anchor), bool)
+            first[1:] = anchor[1:] != anchor[:-1]
+            group = np.cumsum(first) - 1
+            known = np.bincount(group, minlength=1)[group] > 1 if len(group) else first
+            chunk = uuid.uuid4().hex
+            home = int(chunk[:8], 16) % n_buckets
+            sent_anchor, sent_row = anchor[first], row[first]
+            out = []
+            for b, mine in enumerate(_by_bucket(_bucket(sent_anchor, n_buckets), n_buckets)):
+                prints_here = _print(sent_anchor[mine])
+                by_print = np.argsort(prints_here, kind="stable")
+                value = dict(steps=np.diff(prints_here[by_print], prepend=np.uint32(0)), row=sent_row[mine][by_print].astype(np.int32))
+                if b == home:
+                    value |= dict(row_ids=ids, prints=prints, known_row=row[known].astype(np.int32), known=_print(anchor[known]))
+                if len(mine) or b == home:
+                    out.append((b, packed(**value)))
+            yield _dealt(out, chunk)
+
+    return run
+
+
+def _shared_anchors(group: pa.Table) -> pa.Table:
+    """The anchors of one bucket that several slices have, per slice."""
+    chunks = group.column("chunk").to_pylist()
+    values = [unpacked(v.as_py()) for v in group.column("value")]
+    prints = [np.cumsum(v["steps"], dtype=np.uint32) for v in values]
+    every = np.sort(np.concatenate(prints))
+    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    out_chunk, out_value = [], []
+    for chunk, v, mine in zip(chunks, values, prints, strict=True):
+        at = np.minimum(np.searchsorted(twice, mine), max(0, len(twice) - 1))
+        hit = twice[at] == mine if len(twice) else np.zeros(len(mine), bool)
+        row, shared = v["row"][hit], mine[hit]
+        extra = {}
+        if "row_ids" in v:
+            extra = {k: v[k] for k in ("row_ids", "prints")}
+            row, shared = np.concatenate([row, v["known_row"]]), np.concatenate([shared, v["known"]])
+        if len(row) or extra:
+            out_chunk.append(chunk), out_value.append(packed(row=row, shared=shared, **extra))
+    return pa.table({"chunk": pa.array(out_chunk, pa.string()), "value": pa.array(out_value, pa.binary())})
+
+
+def _shared_per_text(group: pa.Table) -> pa.Table:
+    values = [unpacked(v.as_py()) for v in group.column("value")]
+    home = next(v for v in values if "row_ids" in v)
+    row, shared = np.concatenate([v["row"] for v in values]), np.concatenate([v["shared"] for v in values])
+    order = np.argsort(row, kind="stable")
+    row, shared = row[order], shared[order]
+    edges = np.flatnonzero(np.diff(row, prepend=-1))
+    parts = [(int(row[a]), shared[a:b].tobytes()) for a, b in zip(edges, [*edges[1:], len(row)], strict=True)]
+    return pa.table(
+        {
+            "doc_id": pa.array([home["row_ids"][r] for r, _ in parts], pa.int64()),
+            "print": pa.array([home["prints"][r] for r, _ in parts], pa.int64()),
+            "shared": pa.array([x for _, x in parts], pa.binary()),
+        }
+    )
+
+
 def _deal(n_buckets: int):
+    """Strings around shared anchors, each slice's different ones once, to the anchors' buckets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE):
-            data, offsets = text_bytes(part.column("text"))
-            ids, prints = part.column("doc_id").to_pylist(), part.column("print").to_pylist()
-            rows, bases, cuts = [], [], []
-            for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-                for base in range(0, max(1, b - a - LENGTH + 1), PART - LENGTH + 1):
-                    rows.append(k), bases.append(base), cuts.append((a + base, min(a + base + PART, b)))
-            if len(rows) > len(ids):
-                data = np.concatenate([data[a:b] for a, b in cuts])
-                offsets = np.concatenate([[0], np.cumsum([b - a for a, b in cuts])])
+            data, offsets, rows, bases, ids, prints, id_of = _parts(part)
             owner, start, end, anchor_at, anchor = anchored_strings(data, offsets)
-            id_of = np.array([_LOWEST if ids[k] is None else ids[k] for k in rows], np.int64)
+            shared = [np.frombuffer(b"".join(x), np.uint32) for x in part.column("shared").to_pylist()]
+            shared = np.unique(np.concatenate([x.astype(np.uint64) | np.uint64(k << 32) for k, x in enumerate(shared)]))
+            mark = _print(anchor).astype(np.uint64) | (rows[owner].astype(np.uint64) << np.uint64(32))
+            keep = shared[np.minimum(np.searchsorted(shared, mark), max(0, len(shared) - 1))] == mark if len(shared) else np.zeros(len(mark), bool)
+            owner, start, end, anchor_at, anchor = (x[keep] for x in (owner, start, end, anchor_at, anchor))
             text_code = spans(prefix_sums(data, fold=False), start, end) if len(start) else anchor
             first, group, least = _least_owner(text_code, id_of[owner])
             covered = id_of[owner] > least[group]
-            bucket = (anchor >> np.uint64(24)) % np.uint64(n_buckets)
             start_in_part = start - offsets[owner]
             is_first = np.zeros(len(owner), bool)
             is_first[first] = True
             chunk = uuid.uuid4().hex
-            out = []
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
             home = int(chunk[:8], 16) % n_buckets
             number = np.full(len(first), -1, np.int64)
-            for b in range(n_buckets):
-                mine = order[edges[b] : edges[b + 1]]
+            out = []
+            for b, mine in enumerate(_by_bucket(_bucket(anchor, n_buckets), n_buckets)):
                 if not len(mine) and b != home:
                     continue
                 gone, kept, sent = mine[covered[mine]], mine[~covered[mine]], mine[is_first[mine]]
@@ -133,12 +242,9 @@ def _deal(n_buckets: int):
                     gone_start=start_in_part[gone].astype(np.int32), gone_size=(end - start)[gone].astype(np.uint8),
                 )
                 if b == home:
-                    value |= dict(row_ids=ids, prints=prints, rows=np.array(rows), bases=np.array(bases, np.int64))
+                    value |= dict(row_ids=ids, prints=prints, rows=rows, bases=bases)
                 out.append((b, packed(**value)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in out], pa.int32()), pa.array([chunk] * len(out)), pa.array([v for _, v in out], pa.binary())],
-                names=["bucket", "chunk", "value"],
-            )
+            yield _dealt(out, chunk)
 
     return run
 
@@ -329,16 +435,31 @@ def _per_text(group: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
+
+
+def _joined(marked: DataFrame, facts: DataFrame) -> DataFrame:
+    right = facts.withColumnsRenamed({"doc_id": "_id", "print": "_print"})
+    return marked.join(right, (F.col("print") == F.col("_print")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id", "_print")
+
+
 def removed_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, print, starts, ends`` (byte spans to remove) of the rows of ``docs(doc_id, text)`` that lose any."""
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
+    marked = _marked(docs)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, -(-n_bytes // BUCKET_BYTES))
-    dealt = marked.mapInArrow(_deal(n_buckets), "bucket int, chunk string, value binary")
-    settled = dealt.groupBy("bucket").applyInArrow(_settle, "chunk string, value binary")
+    dealt, packed_rows = "bucket int, chunk string, value binary", "chunk string, value binary"
+    anchors = marked.mapInArrow(_deal_anchors(n_buckets), dealt).groupBy("bucket").applyInArrow(_shared_anchors, packed_rows)
+    shared = anchors.groupBy("chunk").applyInArrow(_shared_per_text, "doc_id long, print long, shared binary")
+    # equal rows, and the parts of very long texts, may come from several slices
+    shared = stash(shared.groupBy("doc_id", "print").agg(F.collect_list("shared").alias("shared")), "suffix-anchors")
+    sharing = maybe_in(marked, "print", shared, "print", "hit").filter("hit").drop("hit")
+    strings = _joined(sharing, shared).filter("shared is not null").select("doc_id", "text", "print", "shared")
+    settled = strings.mapInArrow(_deal(n_buckets), dealt).groupBy("bucket").applyInArrow(_settle, packed_rows)
     found = settled.groupBy("chunk").applyInArrow(_per_text, "doc_id long, print long, starts array<long>, ends array<long>")
-    # the parts of a very long text come from different chunks
-    return found.groupBy("doc_id", "print").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    merged = found.groupBy("doc_id", "print").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    return stash(merged, "suffix-spans")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,11 +482,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` for every row of ``docs(doc_id, text)``."""
-    found = removed_spans(docs).withColumnsRenamed({"doc_id": "_id", "print": "_print"})
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
-    joined = marked.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_print")), "left")
+    found = removed_spans(docs)
+    told = maybe_in(_marked(docs), "print", found, "print", "hit")
+    none = F.lit(None).cast("array<long>")
+    whole = told.filter(~F.col("hit")).select("doc_id", "text", none.alias("starts"), none.alias("ends"))
+    cut = _joined(told.filter("hit"), found).select("doc_id", "text", "starts", "ends")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return joined.select("doc_id", "text", "starts", "ends").mapInArrow(_cut, schema)
+    return whole.unionByName(cut).mapInArrow(_cut, schema)
 
 
 def op5_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
