@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from replyloom.llm import op1_decontaminate, op2_lines, op3_toxicity, op4_chosen_path, op5_suffix, op6_hmm, op7_chat, op8_mixing, op9_itq
+from replyloom.llm import op1_decontaminate, op10_pii, op2_lines, op3_toxicity, op4_chosen_path, op5_suffix, op6_hmm, op7_chat, op8_mixing, op9_itq
 
 Q = {
     "op1_pigeonhole_leaks": (op1_decontaminate.op1_pigeonhole_leaks, None),
@@ -14,4 +14,5 @@ Q = {
     "op7_chat_round_trip": (op7_chat.op7_chat_round_trip, op7_chat.SQL),
     "op8_fair_queue_mix": (op8_mixing.op8_fair_queue_mix, op8_mixing.SQL),
     "op9_quantised_links": (op9_itq.op9_quantised_links, None),
+    "op10_boosted_pii": (op10_pii.op10_boosted_pii, None),
 }
