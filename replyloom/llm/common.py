@@ -124,6 +124,18 @@ def maybe_in(df: DataFrame, column: str, keys: DataFrame, key_column: str, out:
     return joined.withColumn(out, F.coalesce(F.expr("(shiftrightunsigned(_bits, cast(_bit & 63 as int)) & 1) = 1"), F.lit(False))).drop("_bit", "_word", "_bits")
 
 
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` less the rows named by ``keys(doc_id, print)``, print being xxhash64(text).
+
+    Rows that a bitmap of the keys excludes stay where they are; only possible hits are compared by a join.
+    """
+    right = keys.select(F.col("doc_id").alias("_id"), F.col("print").alias("_key")).distinct()
+    told = maybe_in(docs.withColumn("_print", F.xxhash64("text")), "_print", right, "_key", "_hit")
+    same = (F.col("_print") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    rest = told.filter("_hit").join(right, same, "left_anti")
+    return told.filter(~F.col("_hit")).unionByName(rest).drop("_print", "_hit")
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

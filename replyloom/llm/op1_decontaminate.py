@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replyloom.llm.common import Appended, table
+from replyloom.llm.common import Appended, table, without
 
 CHARS_PER_EDIT = 16
 #: Characters of the items of one block; a single longer item is a block of its own.
@@ -167,6 +167,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.read()
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows in which an item is found."""
+    return without(docs, contaminated(docs, benchmark).select("doc_id", "print"))
+
+
 def op1_pigeonhole_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "edits", "start", "end")

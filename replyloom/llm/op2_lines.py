@@ -180,5 +180,28 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def remove_repeated_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with every line class left only in its first occurrence.
+
+    A text left without any line goes as a whole; ``n_chars``, if there, follows the text. Only texts that may lose a line
+    are moved. Rows with equal ids lose the same lines.
+    """
+    classes = stash(dedup_lines(docs).filter((F.col("n_copies") > 1) | ~F.col("kept")).withColumnsRenamed({"doc_id": "first_id", "line_no": "first_no"}), "lines-repeated")
+    here = maybe_in(lines_of(docs), "id", classes, "id", "hit").filter("hit").select("doc_id", "line_no", "id")
+    stays = F.col("kept") & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("line_no") == F.col("first_no"))
+    gone = here.join(classes.select("id", "kept", "first_id", "first_no"), "id").filter(~stays)
+    words = gone.groupBy("doc_id", F.shiftright("line_no", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, line_no & 63)")).alias("bits"))
+    marks = stash(words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_gone")).withColumnRenamed("doc_id", "_id"), "lines-gone")
+    told = maybe_in(docs, "doc_id", marks, "_id", "_hit")
+    same = told.filter(~F.col("_hit")).select(*docs.columns)
+    cut = told.filter("_hit").join(marks, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> (shiftrightunsigned(coalesce(_gone[cast(floor(i / 64) as int)], 0L), cast(i % 64 as int)) & 1) = 0), '\\n')")
+    cut = cut.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
+    cut = cut.filter(F.col("_gone").isNull() | (F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")) != ""))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return same.unionByName(cut.select(*docs.columns))
+
+
 def op2_segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).drop("id")

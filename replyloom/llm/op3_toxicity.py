@@ -231,6 +231,28 @@ def score_texts(docs: DataFrame, fitted, keep: list[str], keep_schema: str) -> D
     return docs.select(*keep, "text").mapInArrow(_scorer(sent), f"{keep_schema}, score double")
 
 
+def _filter(fitted):
+    evidence = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, weights = fitted.value
+        if model is not None and not evidence:
+            evidence.append(Evidence(model))
+        for part in slices(batches, "text"):
+            if model is not None:
+                x = evidence[0].features(part.column("text"))
+                part = part.filter(pa.array(np.column_stack([x, np.ones(len(x))]) @ weights < math.log(THRESHOLD / (1 - THRESHOLD))))
+            yield part
+
+    return run
+
+
+def drop_toxic(docs: DataFrame, fitted) -> DataFrame:
+    """The rows of ``docs`` with a score below the threshold, all columns as they are; nothing is moved."""
+    sent = docs.sparkSession.sparkContext.broadcast(fitted)
+    return docs.mapInArrow(_filter(sent), docs.schema)
+
+
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fitted = fit(docs, table(spark, sf_dir, "labels"))

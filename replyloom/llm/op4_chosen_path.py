@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replyloom.llm.common import Appended, is_empty, slices, table, text_bytes
+from replyloom.llm.common import Appended, is_empty, maybe_in, slices, table, text_bytes, without
 from replyloom.llm.components import components
 from replyloom.llm.words import mixed, shingle_sets
 from replyloom.session import stash
@@ -184,7 +184,7 @@ class _Join:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``doc_id, print, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``; ``print`` is xxhash64(text)."""
+    """``doc_id, print, n_shingles, component, component_id, kept`` for every row of ``docs(doc_id, text)``; ``print`` is xxhash64(text)."""
     join = _Join(docs, words)
     groups = join.run()
     sets = join.sets.select("doc_id", "print", "n_shingles", "code")
@@ -194,8 +194,26 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
         named = sets.join(groups.withColumnRenamed("id", "code"), "code", "left").withColumn("component", F.coalesce("component", "code"))
     least = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")))
-    return out.select("doc_id", "print", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "print", "n_shingles", "component", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one of the smallest id that is not NULL.
+
+    Rows without words stay. Only rows that may go are moved.
+    """
+    named = stash(near_duplicates(docs, words).filter("component is not null").select("doc_id", "print", "component"), "cps-named")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "print")
+    first = named.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    grouped = stash(named.join(first, "component"), "cps-grouped")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("print") == F.col("first.print"))
+    rest = without(docs, grouped.filter(~stays).select("doc_id", "print"))
+    again = grouped.filter(stays).groupBy("doc_id", "print").count().filter("count > 1")
+    told = maybe_in(rest.withColumn("_print", F.xxhash64("text")), "_print", again, "print", "_hit")
+    repeated = told.filter("_hit").withColumn("_id", F.col("doc_id").cast("long"))
+    once = repeated.dropDuplicates(["_id", "_print"])
+    return told.filter(~F.col("_hit")).unionByName(once.drop("_id")).select(*docs.columns)
 
 
 def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=4).drop("print")
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4).drop("print", "component")
