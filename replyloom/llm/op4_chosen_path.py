@@ -6,8 +6,9 @@ pair of similarity 0.8 stays together along some path of a tree with probability
 survival of a branching process with two children that live with probability 0.8), so four trees lose less than one
 pair in 50,000. Small nodes are compared exhaustively, by minwise estimate and then on the full sets.
 
-In a larger node every document is compared with one leader, which is one row each; a node whose documents are all in
-one component by then is done, and only the others branch on. Exact copies of a set are one class from the start. So
+In a larger node every document is compared with one leader first, which is one row each, and a node whose documents are
+all in one component by then is done. In others of moderate size the documents of different components are compared,
+and only still larger ones branch on. Exact copies of a set are one class from the start. So
 a group of thousands of copies costs rows in proportion to its size, and links between different texts are found
 or implied by a chain of verified links.
 
@@ -33,7 +34,9 @@ from replyloom.session import stash
 TREES = 4
 BRANCHES = 2
 POSITIONS = 64
+#: Documents of a node up to which all are compared at once, and up to which those that leaders left apart are.
 SMALL_NODE = 16
+MIDDLE_NODE = 256
 PERCENT = 80
 #: Pairs whose minwise estimate is below this are not compared in full: four and a half deviations under 0.8.
 LEAST_ESTIMATE = 0.575
@@ -136,14 +139,30 @@ class _Join:
             F.least("code", "leader.code").alias("a"), F.col("n").alias("na"), F.greatest("code", "leader.code").alias("b"), F.col("leader.n").alias("nb")
         )
         near = pairs.unionByName(stars).filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT).select("a", "b").distinct()
-        if self.tested.rounds:
-            near = near.join(self.tested.read().select("a", "b"), ["a", "b"], "left_anti")
         sig = self.classes.select("code", "sig")
-        signed = near.join(sig.withColumnsRenamed({"code": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"code": "b", "sig": "sb"}), "b")
+        signed = self.untested(near).join(sig.withColumnsRenamed({"code": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"code": "b", "sig": "sb"}), "b")
         return stash(signed.filter(_estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE).select("a", "b"), "cps-candidates")
 
+    def across(self, nodes: DataFrame) -> DataFrame:
+        """Pairs of a node whose documents are not connected yet, by size and minwise estimate; no other pair leaves the join."""
+        signed = nodes.join(self.classes.select("code", "sig"), "code")
+        other = signed.select("node", *[F.col(c).alias(f"b_{c}") for c in ("code", "n", "component", "sig")])
+        near = (
+            (F.col("code") < F.col("b_code"))
+            & (F.col("component") != F.col("b_component"))
+            & (F.least("n", "b_n") * 100 >= F.greatest("n", "b_n") * PERCENT)
+            & (_estimate(F.col("sig"), F.col("b_sig")) >= LEAST_ESTIMATE)
+        )
+        pairs = signed.join(other, "node").filter(near).select(F.col("code").alias("a"), F.col("b_code").alias("b")).distinct()
+        return stash(self.untested(pairs), "cps-candidates")
+
+    def untested(self, pairs: DataFrame) -> DataFrame:
+        return pairs.join(self.tested.read().select("a", "b"), ["a", "b"], "left_anti") if self.tested.rounds else pairs
+
     def verify(self, pairs: DataFrame) -> None:
         """Compare full sets; they are made from the texts once for every class that needs them."""
+        if is_empty(pairs):
+            return
         wanted = pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))).distinct()
         if self.full.rounds:
             wanted = wanted.join(self.full.read().select("code"), "code", "left_anti")
@@ -160,38 +179,44 @@ class _Join:
     def links(self) -> DataFrame:
         return self.tested.read().filter("linked").select("a", "b")
 
-    def run(self) -> DataFrame:
+    def groups(self) -> DataFrame | None:
+        return components(self.tested.read().filter("linked").select("a", "b")) if self.tested.rounds else None
+
+    def run(self) -> DataFrame | None:
+        """``id, component`` of every class with a link, or None if there is none."""
         nodes = self.first_nodes()
         while True:
             live = self.live(nodes)
-            pairs = self.candidates(live)
+            self.verify(self.candidates(live))
+            groups, larger = self.groups(), live.filter(F.col("size") > SMALL_NODE)
+            if is_empty(larger):
+                return groups
+            named = with_component(larger.select("node", "code", "n", "size"), groups)
+            open_ = named.groupBy("node").agg((F.min("component") != F.max("component")).alias("open")).filter("open").select("node")
+            named = stash(named.join(open_, "node"), "cps-open")
+            pairs = self.across(named.filter(F.col("size") <= MIDDLE_NODE))
             if not is_empty(pairs):
                 self.verify(pairs)
-            large = live.filter(F.col("size") > SMALL_NODE)
-            groups = components(self.links()) if self.tested.rounds else None
+                groups = self.groups()
+            large = named.filter(F.col("size") > MIDDLE_NODE)
             if is_empty(large):
                 return groups
-            named = large.select("node", "code", "n")
-            if groups is not None:
-                named = named.join(groups.withColumnRenamed("id", "code"), "code", "left")
-                named = named.withColumn("component", F.coalesce("component", "code"))
-            else:
-                named = named.withColumn("component", F.col("code"))
-            open_ = named.groupBy("node").agg((F.min("component") != F.max("component")).alias("open")).filter("open").select("node")
-            nodes = stash(self.children(named.join(open_, "node").select("node", "code", "n")), "cps-children")
-            if is_empty(nodes):
-                return groups
+            nodes = self.children(large.select("node", "code", "n"))
+
+
+def with_component(classes: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Adds ``component``; a class without links is its own."""
+    if groups is None:
+        return classes.withColumn("component", F.col("code"))
+    named = classes.join(groups.withColumnRenamed("id", "code"), "code", "left")
+    return named.withColumn("component", F.coalesce("component", "code"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """``doc_id, print, n_shingles, component, component_id, kept`` for every row of ``docs(doc_id, text)``; ``print`` is xxhash64(text)."""
     join = _Join(docs, words)
     groups = join.run()
-    sets = join.sets.select("doc_id", "print", "n_shingles", "code")
-    if groups is None:
-        named = sets.withColumn("component", F.col("code"))
-    else:
-        named = sets.join(groups.withColumnRenamed("id", "code"), "code", "left").withColumn("component", F.coalesce("component", "code"))
+    named = with_component(join.sets.select("doc_id", "print", "n_shingles", "code"), groups)
     least = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", "print", "n_shingles", "component", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
