@@ -27,70 +27,59 @@ from replyloom.session import stash
 
 EDITS = 2
 LEAST_CHARS = 24
-#: Occurrences of a segment at one place of one length from which on its lines are partitioned again.
+#: Different lines with one segment at one place and of one length from which on they are partitioned again.
 CROWDED = 512
-LETTERS = "etanoirs"
+LETTERS = "etanor"
+NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no, line, id`` of all lines that are not blank."""
     parts = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return parts.filter(F.trim(F.regexp_replace("line", r"[\x09-\x0D]", " ")) != "").withColumn("id", F.xxhash64("line"))
-
-
-def _cut(length: Column, i: int) -> Column:
-    return F.floor(length * i / (EDITS + 1)).cast("int")
+    return parts.filter(F.col("line").rlike(NOT_BLANK)).withColumn("id", F.xxhash64("line"))
 
 
 def _without(text: Column, start: Column, size: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), start), F.substring(text, start + size + 1, F.length(text)))
 
 
-def index_entries(text: Column, group: Column, with_rest: bool = False) -> Column:
-    """The line's own segments: ``key`` and, if asked for, the line without the segment."""
-    length, out = F.length(text), []
-    for i in range(EDITS + 1):
-        start = _cut(length, i)
-        size = _cut(length, i + 1) - start
-        key = F.xxhash64(group, length, F.lit(i), F.substring(text, start + 1, size))
-        out.append(F.struct(key.alias("key"), *([_without(text, start, size).alias("rest")] if with_rest else [])))
-    return F.array(*out)
+#: Every way to meet a segment: how much shorter the indexed line is, which segment, and its shift in the probing line.
+#: With i segments before and EDITS - i behind, at most so many edits lie on either side, which bounds the shift.
+PROBES = [
+    (less, i, shift)
+    for less in range(EDITS + 1)
+    for i in range(EDITS + 1)
+    for shift in range(max(-i, less - (EDITS - i)), min(i, less + (EDITS - i)) + 1)
+]
+#: The line's own segments are among them.
+OWN = [(0, i, 0) for i in range(EDITS + 1)]
 
 
-def probe_entries(text: Column, group: Column, with_rest: bool = False) -> Column:
-    """Substrings that may equal a segment of a line of the same length or up to ``EDITS`` shorter.
-
-    With s segments before and EDITS - s behind, at most so many edits lie on either side, which bounds the shift.
-    """
-    length, out = F.length(text), []
-    for less in range(EDITS + 1):
-        indexed = length - less
-        for i in range(EDITS + 1):
-            start = _cut(indexed, i)
-            size = _cut(indexed, i + 1) - start
-            for shift in range(max(-i, less - (EDITS - i)), min(i, less + (EDITS - i)) + 1):
-                at = start + shift
-                key = F.xxhash64(group, indexed, F.lit(i), F.substring(text, at + 1, size))
-                fits = (at >= 0) & (at + size <= length)
-                out.append(
-                    F.struct(F.when(fits, key).alias("key"), F.lit(less == 0).alias("same_length"), *([_without(text, at, size).alias("rest")] if with_rest else []))
-                )
-    return F.array(*out)
+def entries(lines: DataFrame, text: str, ways: list[tuple[int, int, int]]) -> DataFrame:
+    """One row per way: ``key``, and where the substring stands; ``lines`` has ``text``, its ``length`` and ``group``."""
+    way = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(b).alias("i"), F.lit(c).alias("shift")) for a, b, c in ways])
+    rows = lines.select("*", F.explode(way).alias("w")).withColumn("indexed", F.col("length") - F.col("w.less"))
+    start = F.expr(f"cast(floor(indexed * w.i / {EDITS + 1}) as int)")
+    stop = F.expr(f"cast(floor(indexed * (w.i + 1) / {EDITS + 1}) as int)")
+    rows = rows.withColumn("at", start + F.col("w.shift")).withColumn("size", stop - start)
+    rows = rows.filter((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("length")))
+    key = F.xxhash64("group", "indexed", "w.i", F.substring(F.col(text), F.col("at") + 1, F.col("size")))
+    return rows.withColumn("key", key).withColumn("same_length", F.col("w.less") == 0)
 
 
 def letter_counts(text: Column) -> Column:
-    """Counts of eight letters modulo 256, packed into 64 bits."""
-    length = F.length(text)
+    """Counts of some frequent letters modulo 256, a byte each."""
+    size = F.octet_length(text)
     packed = F.lit(0).cast("long")
     for k, letter in enumerate(LETTERS):
-        count = (length - F.length(F.replace(text, F.lit(letter)))).cast("long") % 256
+        count = (size - F.octet_length(F.replace(text, F.lit(letter)))).cast("long") % 256
         packed = packed.bitwiseOR(F.shiftleft(count, 8 * k))
     return packed
 
 
 def _near_counts(a: str, b: str) -> Column:
-    """Eight byte-wise differences, taken modulo 256 and summed, within two per edit."""
-    terms = [f"least(pmod((shiftrightunsigned({a}, {8 * k}) & 255) - (shiftrightunsigned({b}, {8 * k}) & 255), 256), pmod((shiftrightunsigned({b}, {8 * k}) & 255) - (shiftrightunsigned({a}, {8 * k}) & 255), 256))" for k in range(8)]
+    """Byte-wise differences, taken modulo 256 and summed, within two per edit."""
+    terms = [f"least(pmod((shiftrightunsigned({a}, {8 * k}) & 255) - (shiftrightunsigned({b}, {8 * k}) & 255), 256), pmod((shiftrightunsigned({b}, {8 * k}) & 255) - (shiftrightunsigned({a}, {8 * k}) & 255), 256))" for k in range(len(LETTERS))]
     return F.expr(" + ".join(terms) + f" <= {2 * EDITS}")
 
 
@@ -100,7 +89,8 @@ def banded_distance(a: str, b: str) -> Column:
     ``a`` has ``EDITS`` characters at least, and the sizes differ by ``EDITS`` at most.
 
     Bit k of a step stands for row j - EDITS + k of the distance table; the band moves down one row with each column. The
-    distance is followed along the lower edge of the band to the last row, then along that row.
+    distance is followed along the lower edge of the band, where it never falls, to the last row, then along that row, where
+    it can fall by twice the band at most; so beyond three times ``EDITS`` the rest is not computed.
     """
     t, w = EDITS, 2 * EDITS + 1
     mask = (1 << w) - 1
@@ -117,7 +107,7 @@ def banded_distance(a: str, b: str) -> Column:
     """
     start = ((1 << (t + 1)) - 1) << t
     return F.expr(f"""aggregate(case when size({b}) > 0 then sequence(1, size({b})) else array() end,
-        named_struct('vp', {start}L, 'vn', 0L, 'dist', {t}L), (s, j) -> {step}, s -> s.dist)""")
+        named_struct('vp', {start}L, 'vn', 0L, 'dist', {t}L), (s, j) -> case when s.dist > {3 * t}L then s else {step} end, s -> s.dist)""")
 
 
 def _paired(index: DataFrame, probe: DataFrame) -> DataFrame:
@@ -136,22 +126,27 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     long = lines.filter(F.length("line") >= LEAST_CHARS).select("id", "line")
     told = maybe_in(long, "id", facts.filter("n_copies > 1"), "id", "copied")
     single = told.filter(~F.col("copied")).select("id", "line")
-    different = single.unionByName(told.filter("copied").groupBy("id").agg(F.any_value("line").alias("line")))
-    text, none = F.col("line"), F.lit(0).cast("long")
-    counted = different.select("id", "line", letter_counts(text).alias("counts"))
-    keyed = long.select(F.explode(index_entries(text, none)).alias("e")).select("e.key")
-    crowded = stash(keyed.groupBy("key").count().filter(F.col("count") > CROWDED).select("key"), "lines-crowded")
-    index = counted.select("id", "counts", F.inline(index_entries(text, none)))
-    probe = counted.select("id", "counts", F.inline(probe_entries(text, none))).filter("key is not null")
-    pairs = _paired(index.join(crowded, "key", "left_anti"), probe)
-    if not is_empty(crowded):
-        rest_index = counted.select("id", "counts", F.inline(index_entries(text, none, True)))
-        rest_probe = counted.select("id", "counts", F.inline(probe_entries(text, none, True))).filter("key is not null")
+    copied = stash(told.filter("copied").groupBy("id").agg(F.any_value("line").alias("line")), "lines-copied")
+    different = single.unionByName(copied).withColumn("length", F.length("line"))
+    none = F.lit(0).cast("long")
+    grouped = different.withColumn("group", none)
+    keyed = entries(grouped.drop("id"), "line", OWN).groupBy("key").count()
+    crowded = stash(keyed.filter(F.col("count") > CROWDED).select("key"), "lines-crowded")
+    counted = grouped.withColumn("counts", letter_counts(F.col("line")))
+    index = entries(counted, "line", OWN).select("key", "id", "counts")
+    probe = entries(counted, "line", PROBES).select("key", "id", "counts", "same_length")
+    if is_empty(crowded):
+        pairs = _paired(index, probe)
+    else:
+        # inside a crowded segment's group, the rest of the line is partitioned and probed again
         inside = lambda df: maybe_in(df, "key", crowded, "key", "hit").filter("hit").drop("hit").join(crowded, "key", "left_semi")
-        rest, group = F.col("rest"), F.col("group")
-        again_index = inside(rest_index).withColumnRenamed("key", "group").select("id", "counts", F.inline(index_entries(rest, group)))
-        again_probe = inside(rest_probe).withColumnRenamed("key", "group").select("id", "counts", F.inline(probe_entries(rest, group)).alias("key", "same_length"))
-        pairs = pairs.unionByName(_paired(again_index.distinct(), again_probe.filter("key is not null").distinct()))
+        rest = lambda df: df.select("id", "counts", F.col("key").alias("group"), _without(F.col("line"), F.col("at"), F.col("size")).alias("rest")).distinct().withColumn("length", F.length("rest"))
+        again_index, again_probe = (rest(inside(entries(counted, "line", ways))) for ways in (OWN, PROBES))
+        again = _paired(
+            entries(again_index, "rest", OWN).select("key", "id", "counts").distinct(),
+            entries(again_probe, "rest", PROBES).select("key", "id", "counts", "same_length").distinct(),
+        )
+        pairs = _paired(index.join(crowded, "key", "left_anti"), probe).unionByName(again)
     pairs = stash(pairs.distinct(), "lines-pairs")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     picked = maybe_in(long, "id", wanted, "id", "hit").filter("hit").groupBy("id").agg(F.any_value("line").alias("line"))
@@ -197,7 +192,7 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     cut = told.filter("_hit").join(marks, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> (shiftrightunsigned(coalesce(_gone[cast(floor(i / 64) as int)], 0L), cast(i % 64 as int)) & 1) = 0), '\\n')")
     cut = cut.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    cut = cut.filter(F.col("_gone").isNull() | (F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")) != ""))
+    cut = cut.filter(F.col("_gone").isNull() | F.col("text").rlike(NOT_BLANK))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return same.unionByName(cut.select(*docs.columns))
