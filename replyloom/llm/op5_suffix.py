@@ -250,24 +250,38 @@ def _deal(n_buckets: int):
 
 
 class _SequentialFiles:
-    """The growing columns of a collection; every round reads each file from front to back and writes its successor."""
+    """The growing columns of a collection; every round reads each file from front to back and writes it anew.
+
+    Files only grow, so they stay open and are written over in place; cutting them first would force them to disk.
+    """
 
     def __init__(self, folder: str, **columns: np.ndarray):
-        self.folder, self.kinds = folder, {n: x.dtype for n, x in columns.items()}
+        self.kinds = {n: x.dtype for n, x in columns.items()}
+        self.files = {n: open(os.path.join(folder, n), "w+b", buffering=0) for n in columns}
         for name, x in columns.items():
-            x.tofile(os.path.join(folder, name))
+            self.write(name, x)
 
     def read(self, name: str) -> np.ndarray:
-        return np.fromfile(os.path.join(self.folder, name), self.kinds[name])
+        self.files[name].seek(0)
+        return np.frombuffer(self.files[name].read(), self.kinds[name])
 
-    def merge(self, name: str, keep: np.ndarray, places: np.ndarray, values, old: np.ndarray | None = None) -> np.ndarray:
-        old = self.read(name) if old is None else old
+    def write(self, name: str, x: np.ndarray) -> None:
+        self.files[name].seek(0)
+        rest = memoryview(np.ascontiguousarray(x)).cast("B")
+        while len(rest):
+            rest = rest[self.files[name].write(rest) :]
+
+    def merge(self, name: str, keep: np.ndarray, places: np.ndarray, values) -> np.ndarray:
+        """The column with ``values`` put in at ``places``."""
         new = np.empty(len(keep), self.kinds[name])
-        new[keep] = old
+        new[keep] = self.read(name)
         new[places] = values
-        new.tofile(os.path.join(self.folder, name))
         return new
 
+    def close(self) -> None:
+        for f in self.files.values():
+            f.close()
+
 
 def _range_least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """min(values[low:high + 1]) for many ranges at once, from minima over powers of two."""
@@ -316,18 +330,19 @@ def column_wise(text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
             common[n + joined] = np.minimum(254, _range_least(lcp, by_symbol[joined - 1] + 1, by_symbol[joined])) + 1
             left = ends[active] - j - 1
             before = np.where(sizes[active] > j, text[np.maximum(left, 0)], 0)
-            merged = files.merge("lcp", keep, n + new, 0, lcp)
-            merged[n + touched] = common[n + touched]
-            merged.tofile(os.path.join(folder, "lcp"))
-            files.merge("bwt", keep, n + new, before, bwt)
-            files.merge("string", keep, n + new, active)
-            files.merge("length", keep, n + new, j)
+            prefixes = files.merge("lcp", keep, n + new, 0)
+            prefixes[n + touched] = common[n + touched]
+            files.write("lcp", prefixes)
+            for name, values in (("bwt", before), ("string", active), ("length", j)):
+                files.write(name, files.merge(name, keep, n + new, values))
             place[active] = n + new
             old = np.flatnonzero(sizes < j)
             if len(old):
                 moved = np.flatnonzero(keep)
                 place[old] = moved[place[old]]
-        return files.read("string"), files.read("length"), files.read("lcp")
+        out = files.read("string"), files.read("length"), files.read("lcp")
+        files.close()
+        return out
 
 
 def repeated_passages(text: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
