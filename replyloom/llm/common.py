@@ -114,14 +114,14 @@ def bitmap(keys: DataFrame, column: str) -> DataFrame:
     """A bitmap of a hash column with at most ``BITMAP_WORDS`` rows of 64 bits, so that it can be broadcast at any size of ``keys``."""
     bit = F.pmod(F.xxhash64(column), F.lit(BITMAP_WORDS * 64))
     marked = keys.select(F.expr("1L").alias("one"), bit.alias("bit"))
-    return marked.groupBy(F.shiftright("bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("_bits"))
+    return marked.groupBy(F.shiftright("bit", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("__bits"))
 
 
 def maybe_in(df: DataFrame, column: str, keys: DataFrame, key_column: str, out: str) -> DataFrame:
     """Adds ``out``: false only if the value is certainly not among ``keys``. No row is moved."""
     bit = F.pmod(F.xxhash64(column), F.lit(BITMAP_WORDS * 64))
-    joined = df.withColumn("_bit", bit).join(F.broadcast(bitmap(keys, key_column)), F.shiftright("_bit", 6) == F.col("_word"), "left")
-    return joined.withColumn(out, F.coalesce(F.expr("(shiftrightunsigned(_bits, cast(_bit & 63 as int)) & 1) = 1"), F.lit(False))).drop("_bit", "_word", "_bits")
+    joined = df.withColumn("__bit", bit).join(F.broadcast(bitmap(keys, key_column)), F.shiftright("__bit", 6) == F.col("__word"), "left")
+    return joined.withColumn(out, F.coalesce(F.expr("(shiftrightunsigned(__bits, cast(__bit & 63 as int)) & 1) = 1"), F.lit(False))).drop("__bit", "__word", "__bits")
 
 
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -129,11 +129,11 @@ def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
     Rows that a bitmap of the keys excludes stay where they are; only possible hits are compared by a join.
     """
-    right = keys.select(F.col("doc_id").alias("_id"), F.col("print").alias("_key")).distinct()
-    told = maybe_in(docs.withColumn("_print", F.xxhash64("text")), "_print", right, "_key", "_hit")
-    same = (F.col("_print") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    rest = told.filter("_hit").join(right, same, "left_anti")
-    return told.filter(~F.col("_hit")).unionByName(rest).drop("_print", "_hit")
+    right = keys.select(F.col("doc_id").alias("__id"), F.col("print").alias("__key")).distinct()
+    told = maybe_in(docs.withColumn("__print", F.xxhash64("text")), "__print", right, "__key", "__hit")
+    same = (F.col("__print") == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+    rest = told.filter("__hit").join(right, same, "left_anti")
+    return told.filter(~F.col("__hit")).unionByName(rest).drop("__print", "__hit")
 
 
 def is_empty(df: DataFrame) -> bool:

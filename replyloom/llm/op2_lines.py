@@ -186,15 +186,15 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     stays = F.col("kept") & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("line_no") == F.col("first_no"))
     gone = here.join(classes.select("id", "kept", "first_id", "first_no"), "id").filter(~stays)
     words = gone.groupBy("doc_id", F.shiftright("line_no", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, line_no & 63)")).alias("bits"))
-    marks = stash(words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_gone")).withColumnRenamed("doc_id", "_id"), "lines-gone")
-    told = maybe_in(docs, "doc_id", marks, "_id", "_hit")
-    same = told.filter(~F.col("_hit")).select(*docs.columns)
-    cut = told.filter("_hit").join(marks, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> (shiftrightunsigned(coalesce(_gone[cast(floor(i / 64) as int)], 0L), cast(i % 64 as int)) & 1) = 0), '\\n')")
-    cut = cut.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    cut = cut.filter(F.col("_gone").isNull() | F.col("text").rlike(NOT_BLANK))
+    marks = stash(words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("__gone")).withColumnRenamed("doc_id", "__id"), "lines-gone")
+    told = maybe_in(docs, "doc_id", marks, "__id", "__hit")
+    same = told.filter(~F.col("__hit")).select(*docs.columns)
+    cut = told.filter("__hit").join(marks, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> (shiftrightunsigned(coalesce(__gone[cast(floor(i / 64) as int)], 0L), cast(i % 64 as int)) & 1) = 0), '\\n')")
+    cut = cut.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
+    cut = cut.filter(F.col("__gone").isNull() | F.col("text").rlike(NOT_BLANK))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        cut = cut.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return same.unionByName(cut.select(*docs.columns))
 
 

@@ -234,10 +234,10 @@ def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("print") == F.col("first.print"))
     rest = without(docs, grouped.filter(~stays).select("doc_id", "print"))
     again = grouped.filter(stays).groupBy("doc_id", "print").count().filter("count > 1")
-    told = maybe_in(rest.withColumn("_print", F.xxhash64("text")), "_print", again, "print", "_hit")
-    repeated = told.filter("_hit").withColumn("_id", F.col("doc_id").cast("long"))
-    once = repeated.dropDuplicates(["_id", "_print"])
-    return told.filter(~F.col("_hit")).unionByName(once.drop("_id")).select(*docs.columns)
+    told = maybe_in(rest.withColumn("__print", F.xxhash64("text")), "__print", again, "print", "__hit")
+    repeated = told.filter("__hit").withColumn("__id", F.col("doc_id").cast("long"))
+    once = repeated.dropDuplicates(["__id", "__print"])
+    return told.filter(~F.col("__hit")).unionByName(once.drop("__id")).select(*docs.columns)
 
 
 def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from replyloom.llm import op1_decontaminate, op10_pii, op2_lines, op3_toxicity, op4_chosen_path, op5_suffix, op6_hmm, op7_chat, op8_mixing, op9_itq
 
 Q = {
@@ -14,5 +16,6 @@ Q = {
     "op7_chat_round_trip": (op7_chat.op7_chat_round_trip, op7_chat.SQL),
     "op8_fair_queue_mix": (op8_mixing.op8_fair_queue_mix, op8_mixing.SQL),
     "op9_quantised_links": (op9_itq.op9_quantised_links, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op10_boosted_pii": (op10_pii.op10_boosted_pii, None),
 }
