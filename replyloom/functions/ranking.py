@@ -10,137 +10,71 @@ from pyspark.sql import functions as F
 from replyloom.constants import SEED
 from replyloom.session import stash
 
-HASH_PREFIX = 3  # hex digits: 4,096 even buckets per group
-
-
 def hash_order(unique: Column, seed: int | str = SEED) -> Column:
     """A repeatable random order: md5 of the seed and a unique key."""
     return F.md5(F.concat(F.lit(f"{seed}:"), unique.cast("string")))
 
 
-def bucketed_rank(
+def rank_in_groups(
     df: DataFrame,
-    keys: Sequence[str],
-    bucket: Column,
-    order: Sequence[Column],
-    out: str,
-    up_to: int | None = None,
+    keys: str | Sequence[str],
+    order: Sequence[str],
+    carry: str | None = None,
+    rank: str = "rank",
+    prev: str = "prev",
     total: str | None = None,
 ) -> DataFrame:
-    """``row_number() over (partition by keys order by order)`` in two levels.
+    """``row_number() over (partition by keys order by order)``, for groups of any size.
 
-    ``bucket`` must never decrease along ``order``. Rows are ranked inside (keys, bucket); the small table of
-    bucket sizes supplies how many rows come before each bucket and, as column ``total``, the size of the group.
-    With ``up_to`` only the buckets that can hold the first rows are ranked at all.
+    Adds ``rank``; with ``carry`` also ``prev``, its value in the row before; with ``total`` also the group's size.
+    ``order`` must be unique within a group. Rows are range-partitioned by (keys, order), written once so that
+    the cut points stay fixed, and ranked per range. Only a group that a cut goes through needs more: the rows in
+    the ranges before. Each range has two such groups at most, its first and its last, so their table is broadcast.
     """
-    keys = list(keys)
-    tagged = df.withColumn("_bucket", bucket)
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        tagged.groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .select(
-            *keys,
-            "_bucket",
-            F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
-            *([F.sum("_size").over(Window.partitionBy(*keys)).alias(total)] if total else []),
-        )
-    )
-    if up_to is not None:
-        offsets = offsets.filter(F.col("_offset") < up_to)
-    within = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
-    ranked = (
-        tagged.join(offsets, [*keys, "_bucket"])
-        .withColumn("_within", within)
-        .withColumn(out, F.col("_offset") + F.col("_within"))
-        .drop("_bucket", "_offset", "_within")
-    )
-    return ranked if up_to is None else ranked.filter(F.col(out) <= up_to)
+    keys, cols = [keys] if isinstance(keys, str) else list(keys), df.columns
+    ranged = df.repartitionByRange(*[F.col(c) for c in (*keys, *order)])
+    pieces = stash(ranged.withColumn("_piece", F.spark_partition_id()), "ranges")
+    last = [F.max_by(carry, F.struct(*order)).alias("_last")] if carry else []
+    sizes = pieces.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_size"), *last)
+    group, along = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_piece")
+    offset = F.coalesce(F.sum("_size").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = sizes.select(
+        *[F.col(k).alias(f"_{k}") for k in keys],
+        F.col("_piece").alias("_at"),
+        offset.alias("_offset"),
+        F.sum("_size").over(group).alias("_total"),
+        F.count(F.lit(1)).over(group).alias("_parts"),
+        *([F.lag("_last").over(along).alias("_before")] if carry else []),
+    ).filter("_parts > 1")
+    own = Window.partitionBy(*keys, "_piece")
+    within = F.row_number().over(own.orderBy(*order))
+    ranked = pieces.withColumn("_within", within)
+    if carry:
+        ranked = ranked.withColumn("_lag", F.lag(carry).over(own.orderBy(*order)))
+    if total:
+        ranked = ranked.withColumn("_own", F.count(F.lit(1)).over(own))
+    same = F.col("_piece") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = [(F.coalesce("_offset", F.lit(0)) + F.col("_within")).cast("long").alias(rank)]
+    if carry:
+        out.append(F.when(F.col("_within") == 1, F.col("_before")).otherwise(F.col("_lag")).alias(prev))
+    if total:
+        out.append(F.coalesce("_total", "_own").alias(total))
+    return ranked.join(F.broadcast(cut), same, "left").select(*cols, *out)
 
 
 def hash_rank(
-    df: DataFrame,
-    keys: Sequence[str],
-    unique: str,
-    out: str,
-    seed: int = SEED,
-    up_to: int | None = None,
-    total: str | None = None,
+    df: DataFrame, keys: Sequence[str], unique: str, out: str, seed: int = SEED, total: str | None = None
 ) -> DataFrame:
-    """Rank of every row in the md5 order of its group; the hash prefix is an even bucket."""
+    """Rank of every row in the md5 order of its group."""
     hashed = df.withColumn("_hash", hash_order(F.col(unique), seed))
-    order = [F.col("_hash"), F.col(unique)]
-    return bucketed_rank(hashed, keys, F.substring("_hash", 1, HASH_PREFIX), order, out, up_to, total).drop("_hash")
+    return rank_in_groups(hashed, keys, ["_hash", unique], rank=out, total=total).drop("_hash")
 
 
 def hash_sample(df: DataFrame, n: int, unique: str, seed: int = SEED) -> DataFrame:
-    """Exactly ``n`` rows (or all, if there are fewer), uniform and repeatable, for any ``n``."""
-    return hash_rank(df, [], unique, "_rank", seed, up_to=n).drop("_rank")
-
-
-def rank_in_groups(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    carry: str,
-    rank: str = "rank",
-    prev: str = "prev",
-    hot_rows: int = 1_000_000,
-    max_hot_keys: int = 10_000,
-) -> DataFrame:
-    """Row number within ``key`` and the ``carry`` value of the row before, for groups of any size.
-
-    ``order`` must be unique within a group. Groups up to the threshold use a plain window. Larger groups are
-    range-partitioned by (key, order), written once so that the cut points stay fixed, ranked per piece, and
-    joined to the few piece boundaries. The threshold grows with the table so that there are never more than
-    ``max_hot_keys`` hot groups, which is what makes their broadcast safe.
-    """
-    cols = df.columns
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
-    total = df.count()
-    limit = max(hot_rows, total // max_hot_keys)
-    window = Window.partitionBy(key).orderBy(*order)
-    plain = [F.row_number().over(window).cast("long").alias(rank), F.lag(carry).over(window).alias(prev)]
-    if total <= limit:
-        return df.select(*cols, *plain)
-
-    hot = stash(sizes.filter(F.col("_size") > limit).select(key), "hot-groups")
-    if hot.isEmpty():
-        return df.select(*cols, *plain)
-
-    cold = df.join(F.broadcast(hot), key, "left_anti").select(*cols, *plain)
-    pieces = stash(
-        df.join(F.broadcast(hot), key, "left_semi")
-        .repartitionByRange(F.col(key), *[F.col(c) for c in order])
-        .withColumn("_piece", F.spark_partition_id()),
-        "hot-pieces",
-    )
-    by_piece = Window.partitionBy(key).orderBy("_piece")
-    bounds = (
-        pieces.groupBy(key, "_piece")
-        .agg(F.count(F.lit(1)).alias("_size"), F.max_by(carry, F.struct(*order)).alias("_last"))
-        .select(
-            key,
-            "_piece",
-            F.coalesce(F.sum("_size").over(by_piece.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(
-                "_offset"
-            ),
-            F.lag("_last").over(by_piece).alias("_before"),
-        )
-    )
-    local = Window.partitionBy(key, "_piece").orderBy(*order)
-    # At most one boundary row per hot group and range partition.
-    warm = (
-        pieces.withColumn("_within", F.row_number().over(local))
-        .withColumn("_lag", F.lag(carry).over(local))
-        .join(F.broadcast(bounds), [key, "_piece"])
-        .select(
-            *cols,
-            (F.col("_offset") + F.col("_within")).cast("long").alias(rank),
-            F.when(F.col("_within") == 1, F.col("_before")).otherwise(F.col("_lag")).alias(prev),
-        )
-    )
-    return cold.unionByName(warm)
+    """Exactly ``n`` rows (or all, if there are fewer), uniform and repeatable."""
+    return df.orderBy(hash_order(F.col(unique), seed), unique).limit(n)
 
 
 def exact_quantiles(df: DataFrame, value: str, points: Sequence[float], width: int = 1) -> DataFrame:

@@ -103,10 +103,10 @@ def reply_nodes(messages: DataFrame) -> DataFrame:
     )
 
 
-def sibling_rank(messages: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
+def sibling_rank(messages: DataFrame) -> DataFrame:
     """Position of every reply among the replies to the same message: by time, unparsed last, then file order."""
     kids = stash(reply_nodes(messages).filter("parent IS NOT NULL AND parent <> id"), "replies")
-    return rank_in_groups(kids, "parent", ["no_time", "ts", "file_pos", "id"], carry="id", hot_rows=hot_rows)
+    return rank_in_groups(kids, "parent", ["no_time", "ts", "file_pos", "id"], carry="id")
 
 
 def follow_back(start: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def forest_roots(nodes: DataFrame) -> DataFrame:
     return follow_back(start).select(F.col("step").alias("id"), "root")
 
 
-def reading_order(nodes: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
+def reading_order(nodes: DataFrame) -> DataFrame:
     """``(id, root, turn)`` for every node of a reply forest ``(id, parent, no_time, ts, file_pos)``.
 
     Nodes on a cycle, and all below one, have no first step and are left out.
@@ -172,7 +172,6 @@ def reading_order(nodes: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
         "parent",
         ["no_time", "ts", "file_pos", "id"],
         carry="last_step",
-        hot_rows=hot_rows,
     )
     kids = stash(kids.select("id", "parent", "last_step", "rank", "prev"), "ranked-replies")
     start = union_all(
@@ -204,9 +203,9 @@ def reading_order(nodes: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
     )
 
 
-def reconstruct_threads(messages: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
+def reconstruct_threads(messages: DataFrame) -> DataFrame:
     """Messages with ``conversation_id`` (the root's id) and 1-based ``turn`` in reading order."""
-    order = reading_order(reply_nodes(messages), hot_rows)
+    order = reading_order(reply_nodes(messages))
     return messages.join(
         order.select(F.col("id").alias("tweet_id"), F.col("root").alias("conversation_id"), "turn"), "tweet_id"
     )
@@ -247,23 +246,24 @@ def conversation_totals(threads: DataFrame) -> DataFrame:
     )
 
 
-def conversations_summary(threads: DataFrame, part_size: int = 4096) -> DataFrame:
-    """:func:`conversation_totals` with the ids in reading order.
+def conversation_ids(threads: DataFrame) -> DataFrame:
+    """The messages of each conversation in reading order, one row each: ``conversation_id, turn, tweet_id``."""
+    return threads.select("conversation_id", "turn", "tweet_id")
 
-    One row per conversation, up to ``part_size`` messages; a larger one has several rows, numbered by
-    ``part``, that repeat the totals and each hold the next ids. No row or task ever holds a whole giant thread.
+
+def conversations_summary(threads: DataFrame) -> DataFrame:
+    """:func:`conversation_totals` with ``tweet_ids``, the ids in reading order: the row of a flat conversation file.
+
+    A row holds all ids of its conversation at any size, as that format has it. Work on :func:`conversation_totals` and
+    :func:`conversation_ids` instead, whose rows have a fixed size.
     """
-    part = F.floor((F.col("turn") - 1) / part_size).alias("part")
-    ids = (
-        threads.groupBy("conversation_id", part)
-        .agg(F.array_sort(F.collect_list(F.struct("turn", "tweet_id"))).alias("_ids"))
-        .select("conversation_id", "part", F.transform("_ids", lambda x: x["tweet_id"]).alias("tweet_ids"))
-    )
-    return conversation_totals(threads).join(ids, "conversation_id")
+    ids = threads.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("turn", "tweet_id"))).alias("_ids"))
+    listed = ids.select("conversation_id", F.transform("_ids", lambda x: x["tweet_id"]).alias("tweet_ids"))
+    return conversation_totals(threads).join(listed, "conversation_id")
 
 
-def explode_threads(conversations: DataFrame, part_size: int = 4096) -> DataFrame:
-    """Back from :func:`conversations_summary` to one ``(conversation_id, turn, tweet_id)`` row per message."""
-    return conversations.select("conversation_id", "part", F.posexplode("tweet_ids").alias("_pos", "tweet_id")).select(
-        "conversation_id", (F.col("part") * part_size + F.col("_pos") + 1).alias("turn"), "tweet_id"
+def explode_threads(conversations: DataFrame) -> DataFrame:
+    """Back from :func:`conversations_summary` to :func:`conversation_ids`."""
+    return conversations.select("conversation_id", F.posexplode("tweet_ids").alias("_pos", "tweet_id")).select(
+        "conversation_id", (F.col("_pos") + 1).cast("long").alias("turn"), "tweet_id"
     )

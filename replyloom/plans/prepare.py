@@ -37,7 +37,7 @@ class Prepared:
     checks: DataFrame
 
 
-def prepare(messages: DataFrame, author: str, mode: str = "directed", hot_rows: int = 1_000_000) -> Prepared:
+def prepare(messages: DataFrame, author: str, mode: str = "directed") -> Prepared:
     """Closure, cleaning, rebuilding, account filter, pairs and checks - in this order.
 
     Cleaning comes before rebuilding, so the replies to a message that was emptied become partial roots. Three
@@ -47,7 +47,7 @@ def prepare(messages: DataFrame, author: str, mode: str = "directed", hot_rows:
     require_author(messages, author)
     collected = stash(thread_closure(messages, author, mode), "collected")
     cleaned = stash(preprocess(collected), "cleaned")
-    rebuilt = stash(reconstruct_threads(cleaned, hot_rows), "rebuilt")
+    rebuilt = stash(reconstruct_threads(cleaned), "rebuilt")
     threads = convs_with_author(rebuilt, author)
     conversations = conversation_totals(threads)
     pairs = support_pairs(threads, author)

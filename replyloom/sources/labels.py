@@ -18,45 +18,42 @@ MANIFEST_SCHEMA = T.StructType(
 )
 
 
-def label_rows(documents: DataFrame, json_col: str = "value") -> DataFrame:
-    """JSON objects ``{id: label}``, one per row, to ``(conversation_id, label)`` rows."""
-    parsed = F.from_json(json_col, "map<string,string>")
-    return documents.select(F.explode(parsed).alias("conversation_id", "label"))
+def _only_object(spark: SparkSession, path: str, schema: T.DataType) -> DataFrame:
+    """The JSON object of each file as ``value``; a file with more than one object is an error."""
+    text = spark.read.text(path, wholetext=True)
+    listed = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), T.ArrayType(schema), {"mode": "FAILFAST"})
+    objects = text.select(listed.alias("objects"))
+    one = F.when(F.size("objects") == 1, F.col("objects")[0])
+    return objects.select(F.coalesce(one, F.raise_error(F.lit("a file must hold one JSON object")).cast(schema)).alias("value"))
 
 
-def read_label_map(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per file."""
-    return label_rows(spark.read.text(path, wholetext=True))
+def read_label_map(spark: SparkSession, path: str, fmt: str = "lines") -> DataFrame:
+    """``(conversation_id, label)`` rows of JSON objects ``{id: label}``: one per line, or ``fmt="object"``, one per file."""
+    pairs = T.MapType(T.StringType(), T.StringType())
+    if fmt == "object":
+        maps = _only_object(spark, path, pairs)
+    else:
+        maps = spark.read.text(path).filter(F.trim("value") != "").select(F.from_json("value", pairs, {"mode": "FAILFAST"}).alias("value"))
+    return maps.select(F.explode("value").alias("conversation_id", "label"))
 
 
-def manifest_rows(documents: DataFrame, json_col: str = "value") -> DataFrame:
-    """Manifest objects, one per row, to ``conversation_id`` rows."""
-    parsed = F.from_json(json_col, MANIFEST_SCHEMA)
-    return documents.select(F.explode(parsed["conversation_ids"]).alias("conversation_id"))
+def write_label_map(labels: DataFrame, path: str) -> None:
+    """One JSON object of one id per line, so that no line grows with the table."""
+    entry = F.map_from_arrays(F.array("conversation_id"), F.array("label"))
+    labels.select(F.to_json(entry).alias("value")).write.text(path)
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return manifest_rows(spark.read.text(path, wholetext=True)).distinct()
-
-
-def manifest_parts(golden: DataFrame, purpose: str, per_part: int = 10_000) -> DataFrame:
-    """Manifest objects of a bounded number of ids each: ``(part, purpose, conversation_ids, count)``.
-
-    Ids are sorted within a part; all parts together hold every id once.
-    """
-    ids = golden.select("conversation_id").distinct()
-    parts = (ids.count() + per_part - 1) // per_part
-    part = F.pmod(F.xxhash64("conversation_id"), F.lit(max(parts, 1)))
-    return (
-        ids.groupBy(part.alias("part"))
-        .agg(F.sort_array(F.collect_list("conversation_id")).alias("conversation_ids"))
-        .select("part", F.lit(purpose).alias("purpose"), "conversation_ids",
-                F.size("conversation_ids").cast("long").alias("count"))
-    )
+def read_manifest(spark: SparkSession, path: str, fmt: str = "lines") -> DataFrame:
+    """The ids of a manifest: one row per id, or ``fmt="object"``, one object ``{purpose, conversation_ids, count}`` per file."""
+    if fmt == "object":
+        ids = _only_object(spark, path, MANIFEST_SCHEMA).select(F.explode("value.conversation_ids").alias("conversation_id"))
+    else:
+        ids = spark.read.schema("purpose string, conversation_id string").json(path).select("conversation_id")
+    return ids.distinct()
 
 
 def write_manifest(golden: DataFrame, path: str, purpose: str = "exclude from evidence corpora") -> None:
-    manifest_parts(golden, purpose).drop("part").write.json(path)
+    golden.select(F.lit(purpose).alias("purpose"), "conversation_id").distinct().write.json(path)
 
 
 def read_worksheet(spark: SparkSession, path: str) -> DataFrame:

@@ -15,12 +15,20 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k string, t int, i int, v string").withColumn("nt", F.col("t").isNull()).repartition(6)
 
 
-@pytest.mark.parametrize("hot_rows", [10, 200, 10_000])
-def test_rank_in_groups(skewed, hot_rows):
+@pytest.mark.parametrize("parts", [1, 8, 60])
+def test_rank_in_groups(spark, skewed, parts):
     w = Window.partitionBy("k").orderBy("nt", "t", "i")
     plain = skewed.select("k", "v", F.row_number().over(w).cast("long").alias("rank"), F.lag("v").over(w).alias("prev"))
-    out = rank_in_groups(skewed, "k", ["nt", "t", "i"], carry="v", hot_rows=hot_rows).select("k", "v", "rank", "prev")
-    assert out.count() == 3000
+    plain = plain.withColumn("n", F.count("*").over(Window.partitionBy("k")))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = rank_in_groups(skewed, "k", ["nt", "t", "i"], carry="v", total="n").select("k", "v", "rank", "prev", "n")
+        assert out.count() == 3000
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
     assert out.exceptAll(plain).isEmpty()
 
 

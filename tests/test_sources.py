@@ -70,13 +70,19 @@ def test_timestamps(spark):
 
 def test_label_files(spark, tmp_path):
     (tmp_path / "l.json").write_text('{\n "10": "other",\n "11": "software_bug"\n}')
-    assert {tuple(r) for r in labels.read_label_map(spark, str(tmp_path / "l.json")).collect()} == {
-        ("10", "other"), ("11", "software_bug")
-    }
+    expected = {("10", "other"), ("11", "software_bug")}
+    assert {tuple(r) for r in labels.read_label_map(spark, str(tmp_path / "l.json"), "object").collect()} == expected
+    labels.write_label_map(spark.createDataFrame(sorted(expected), "conversation_id string, label string"), str(tmp_path / "lines"))
+    assert {tuple(r) for r in labels.read_label_map(spark, str(tmp_path / "lines")).collect()} == expected
     (tmp_path / "m.json").write_text('{"purpose": "p",\n "conversation_ids": ["3", "1"], "count": 2}')
-    assert {r[0] for r in labels.read_manifest(spark, str(tmp_path / "m.json")).collect()} == {"1", "3"}
-    ids = spark.range(100).selectExpr("cast(id as string) conversation_id")
-    parts = labels.manifest_parts(ids, "p", per_part=30)
-    assert parts.count() == 4 and parts.agg(F.sum("count")).first()[0] == 100
+    assert {r[0] for r in labels.read_manifest(spark, str(tmp_path / "m.json"), "object").collect()} == {"1", "3"}
+    ids = spark.range(25_000).selectExpr("cast(id as string) conversation_id")
     labels.write_manifest(ids, str(tmp_path / "out"))
-    assert labels.manifest_rows(spark.read.text(str(tmp_path / "out"))).count() == 100
+    assert labels.read_manifest(spark, str(tmp_path / "out")).count() == 25_000
+
+
+@pytest.mark.parametrize("read", [labels.read_label_map, labels.read_manifest])
+def test_second_object_of_a_file_is_an_error(spark, tmp_path, read):
+    (tmp_path / "two.json").write_text('{"a": "x"}\n{"b": "y"}')
+    with pytest.raises(Exception, match="MALFORMED|one JSON object"):
+        read(spark, str(tmp_path / "two.json"), "object").collect()

@@ -63,13 +63,9 @@ def row_sample(t: Tables) -> DataFrame:
 
 @query("src_label_map", f"with {V4} select conversation_id, label from v4")
 def src_label_map(t: Tables) -> DataFrame:
-    entry = F.struct(F.col("conversation_id"), F.col("label"))
-    files = t.v4.groupBy(F.floor(F.col("doc_id") / 500).alias("part")).agg(
-        F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")
-    )
     path = t.scratch("label-maps")
-    files.select("value").repartition(4).write.option("lineSep", "\n").text(path)
-    return label_sources.label_rows(t.spark.read.text(path))
+    label_sources.write_label_map(t.v4, path)
+    return label_sources.read_label_map(t.spark, path)
 
 
 @query("src_jsonl", f"with {V1} select conversation_id, tweet_id, created_at, author_id, text from t1 where turn = 1 and inbound")
@@ -83,7 +79,7 @@ def src_jsonl(t: Tables) -> DataFrame:
 def src_manifest(t: Tables) -> DataFrame:
     path = t.scratch("manifest")
     label_sources.write_manifest(t.v4, path)
-    return label_sources.manifest_rows(t.spark.read.text(path)).distinct()
+    return label_sources.read_manifest(t.spark, path)
 
 
 @query(
@@ -521,7 +517,7 @@ def dedup_first(t: Tables) -> DataFrame:
 # --- Conversations -----------------------------------------------------------------------------------------
 @query(
     "conversations_summary",
-    f"""with recursive {V2T} select conversation_id, 0 as part, c2.tweets, customer_tweets, support_tweets, first_created_at, last_created_at,
+    f"""with recursive {V2T} select conversation_id, c2.tweets, customer_tweets, support_tweets, first_created_at, last_created_at,
  (select string_agg(tweet_id, ';' order by turn) from t2 where t2.conversation_id = c2.conversation_id) as tweet_ids from c2""",
 )
 def conversations_summary(t: Tables) -> DataFrame:
@@ -530,7 +526,7 @@ def conversations_summary(t: Tables) -> DataFrame:
 
 @query("explode_threads", f"with recursive {V2T} select conversation_id, turn, tweet_id from t2")
 def explode_threads(t: Tables) -> DataFrame:
-    return threads.explode_threads(threads.conversations_summary(t.t2, part_size=16), part_size=16)
+    return threads.explode_threads(threads.conversations_summary(t.t2))
 
 
 # --- Checks ------------------------------------------------------------------------------------------------
