@@ -7,8 +7,8 @@ survival of a branching process with two children that live with probability 0.8
 pair in 50,000. Small nodes are compared exhaustively, by minwise estimate and then on the full sets.
 
 In a larger node every document is compared with one leader first, which is one row each, and a node whose documents are
-all in one component by then is done. In others of moderate size the documents of different components are compared,
-and only still larger ones branch on. Exact copies of a set are one class from the start. So
+all in one component by then is done. Of the others, those that resemble their leader on average are a family: what is
+outside their largest component is compared with all of the node, block by block; the rest branch on and shrink. Exact copies of a set are one class from the start. So
 a group of thousands of copies costs rows in proportion to its size, and links between different texts are found
 or implied by a chain of verified links.
 
@@ -27,16 +27,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replyloom.llm.common import Appended, is_empty, maybe_in, slices, table, text_bytes, without
-from replyloom.llm.components import components
+from replyloom.llm.components import components, spanning_forest
 from replyloom.llm.words import mixed, shingle_sets
 from replyloom.session import stash
 
 TREES = 4
 BRANCHES = 2
 POSITIONS = 64
-#: Documents of a node up to which all are compared at once, and up to which those that leaders left apart are.
+#: Documents of a node up to which all are compared at once.
 SMALL_NODE = 16
-MIDDLE_NODE = 256
+#: Mean minwise similarity to the leader from which on a node is one family, which branching would only copy.
+FAMILY = 0.5
+#: Documents of one block of a family; a task compares two blocks.
+BLOCK = 256
 PERCENT = 80
 #: Pairs whose minwise estimate is below this are not compared in full: four and a half deviations under 0.8.
 LEAST_ESTIMATE = 0.575
@@ -88,6 +91,31 @@ def _estimate(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / POSITIONS
 
 
+def _compare_blocks(group: pa.Table) -> pa.Table:
+    """Links between a block of outsiders and a block of the node, counted on the sets' shared shingles; a forest of them."""
+    side, code, component = (group.column(c).to_numpy() for c in ("side", "code", "component"))
+    column = group.column("shingles").combine_chunks()
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(code)), sizes)
+    shingles, at, times = np.unique(column.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = times[at] > 1
+    row, at = row[shared], (np.cumsum(times > 1) - 1)[at[shared]]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    common = np.zeros((len(left), len(right)), np.float32)
+    n_columns = int((times > 1).sum())
+    for low in range(0, n_columns, 4096):
+        some = (at >= low) & (at < low + 4096)
+        hits = np.zeros((len(code), min(4096, n_columns - low)), np.float32)
+        hits[row[some], at[some] - low] = 1
+        common += hits[left] @ hits[right].T
+    union = sizes[left][:, None] + sizes[right][None, :] - common
+    linked = (100 * common >= PERCENT * union) & (component[left][:, None] != component[right][None, :])
+    i, j = np.nonzero(linked)
+    forest = spanning_forest(code[left[i]], code[right[j]])
+    a, b = [min(x) for x in forest], [max(x) for x in forest]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "linked": pa.array([True] * len(a), pa.bool_())})
+
+
 class _Join:
     def __init__(self, docs: DataFrame, words: int):
         self.spark, self.words = docs.sparkSession, words
@@ -143,42 +171,54 @@ class _Join:
         signed = self.untested(near).join(sig.withColumnsRenamed({"code": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"code": "b", "sig": "sb"}), "b")
         return stash(signed.filter(_estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE).select("a", "b"), "cps-candidates")
 
-    def across(self, nodes: DataFrame) -> DataFrame:
-        """Pairs of a node whose documents are not connected yet, by size and minwise estimate; no other pair leaves the join."""
-        signed = nodes.join(self.classes.select("code", "sig"), "code")
-        other = signed.select("node", *[F.col(c).alias(f"b_{c}") for c in ("code", "n", "component", "sig")])
-        near = (
-            (F.col("code") < F.col("b_code"))
-            & (F.col("component") != F.col("b_component"))
-            & (F.least("n", "b_n") * 100 >= F.greatest("n", "b_n") * PERCENT)
-            & (_estimate(F.col("sig"), F.col("b_sig")) >= LEAST_ESTIMATE)
-        )
-        pairs = signed.join(other, "node").filter(near).select(F.col("code").alias("a"), F.col("b_code").alias("b")).distinct()
-        return stash(self.untested(pairs), "cps-candidates")
+    def families(self, named: DataFrame) -> DataFrame:
+        """The nodes of ``named`` whose documents resemble their leader on average."""
+        sig = self.classes.select("code", "sig")
+        signed = named.join(sig, "code").join(sig.withColumnsRenamed({"code": "leader", "sig": "l_sig"}), "leader")
+        return signed.groupBy("node").agg(F.avg(_estimate(F.col("sig"), F.col("l_sig"))).alias("mean")).filter(F.col("mean") >= FAMILY).select("node")
+
+    def across(self, named: DataFrame) -> None:
+        """Compare the full sets of documents in different components of a family, in pairs of blocks.
+
+        All outside the node's largest component meet all of the node; what leaves a task is a spanning forest of links.
+        """
+        main = named.groupBy("node", "component").count().groupBy("node").agg(
+            F.max_by("component", F.struct("count", "component")).alias("main"), F.sum(F.col("count")).alias("size"))
+        outside = named.join(main, "node").withColumn("out", F.col("component") != F.col("main"))
+        outs = outside.groupBy("node").agg(F.count_if("out").alias("n_out"))
+        placed = outside.join(outs, "node").select(
+            "node", "code", "component", "out",
+            F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n_out") / BLOCK).cast("int").alias("out_blocks"),
+        )
+        own = lambda n: F.pmod(F.xxhash64("code", "node"), F.col(n)).cast("int")
+        left = placed.filter("out").select("node", "code", "component", own("out_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
+        right = placed.select("node", "code", "component", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("i"), own("blocks").alias("j"), F.lit(1).alias("side"))
+        tasks = left.unionByName(right).join(self.full.read(), "code")
+        self.tested.add(tasks.groupBy("node", "i", "j").applyInArrow(_compare_blocks, "a long, b long, linked boolean"))
 
     def untested(self, pairs: DataFrame) -> DataFrame:
         return pairs.join(self.tested.read().select("a", "b"), ["a", "b"], "left_anti") if self.tested.rounds else pairs
 
-    def verify(self, pairs: DataFrame) -> None:
-        """Compare full sets; they are made from the texts once for every class that needs them."""
-        if is_empty(pairs):
-            return
-        wanted = pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))).distinct()
+    def fill(self, codes: DataFrame) -> None:
+        """Make the full sets of these classes from the texts, once for each."""
         if self.full.rounds:
-            wanted = wanted.join(self.full.read().select("code"), "code", "left_anti")
-        wanted = stash(wanted.join(self.classes.select("code", "print"), "code"), "cps-wanted")
+            codes = codes.join(self.full.read().select("code"), "code", "left_anti")
+        wanted = stash(codes.distinct().join(self.classes.select("code", "print"), "code"), "cps-wanted")
         if not is_empty(wanted):
-            texts = self.marked.select("print", "text").join(wanted, "print")
+            texts = maybe_in(self.marked.select("print", "text"), "print", wanted, "print", "hit").filter("hit").join(wanted, "print")
             self.full.add(texts.select("code", "text").mapInArrow(_to_full(self.words), "code long, shingles array<long>").dropDuplicates(["code"]))
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Compare the full sets of pairs."""
+        if is_empty(pairs):
+            return
+        self.fill(pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))))
         full = self.full.read()
         both = pairs.join(full.withColumnsRenamed({"code": "a", "shingles": "x"}), "a").join(full.withColumnsRenamed({"code": "b", "shingles": "y"}), "b")
         common = F.size(F.array_intersect("x", "y"))
         linked = common * 100 >= (F.size("x") + F.size("y") - common) * PERCENT
         self.tested.add(both.select("a", "b", linked.alias("linked")))
 
-    def links(self) -> DataFrame:
-        return self.tested.read().filter("linked").select("a", "b")
-
     def groups(self) -> DataFrame | None:
         return components(self.tested.read().filter("linked").select("a", "b")) if self.tested.rounds else None
 
@@ -191,17 +231,18 @@ class _Join:
             groups, larger = self.groups(), live.filter(F.col("size") > SMALL_NODE)
             if is_empty(larger):
                 return groups
-            named = with_component(larger.select("node", "code", "n", "size"), groups)
+            named = with_component(larger.select("node", "code", "n", F.col("leader.code").alias("leader")), groups)
             open_ = named.groupBy("node").agg((F.min("component") != F.max("component")).alias("open")).filter("open").select("node")
             named = stash(named.join(open_, "node"), "cps-open")
-            pairs = self.across(named.filter(F.col("size") <= MIDDLE_NODE))
-            if not is_empty(pairs):
-                self.verify(pairs)
-                groups = self.groups()
-            large = named.filter(F.col("size") > MIDDLE_NODE)
-            if is_empty(large):
-                return groups
-            nodes = self.children(large.select("node", "code", "n"))
+            families = stash(self.families(named), "cps-families")
+            if not is_empty(families):
+                members = named.join(families, "node")
+                self.fill(members.select("code"))
+                self.across(members)
+            others = named.join(families, "node", "left_anti")
+            if is_empty(others):
+                return self.groups()
+            nodes = stash(self.children(others.select("node", "code", "n")), "cps-children")
 
 
 def with_component(classes: DataFrame, groups: DataFrame | None) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replyloom.llm.common import table
-from replyloom.llm.components import components
+from replyloom.llm.components import components, spanning_forest
 from replyloom.session import stash
 
 COSINE = 0.9
@@ -103,25 +103,6 @@ def _coder(sent):
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of links."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            parent[rx] = ry
-            out.append((x, y))
-    return out
-
-
 def _compare(group: pa.Table) -> pa.Table:
     """One pair of blocks of one bucket: links whose first common table is this one, as counts and a spanning forest."""
     side = group.column("side").to_numpy()
@@ -145,7 +126,7 @@ def _compare(group: pa.Table) -> pa.Table:
     np.add.at(n_links, a, copies[b])
     np.add.at(n_links, b, copies[a])
     some = np.flatnonzero(n_links)
-    forest = _forest(code[a], code[b])
+    forest = spanning_forest(code[a], code[b])
     n = len(some)
     return pa.table(
         {
