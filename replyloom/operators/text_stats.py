@@ -101,15 +101,17 @@ def message_length_histogram(texts: DataFrame, column: str = "text", buckets=MES
 
 
 def length_quantiles(texts: DataFrame, conversations: DataFrame, points: Sequence[float] = LENGTH_QUANTILES) -> DataFrame:
-    """Exact quantiles of thread length, characters and words as ``(measure, q, value)``."""
-    measures = {
-        "thread_length": conversations.select(F.col("tweets").alias("v")),
-        "chars": texts.select(F.length("text").alias("v")),
-        "words": texts.select(word_count(F.col("text")).alias("v")),
-    }
-    return union_all(
-        *[exact_quantiles(t, "v", points).select(F.lit(m).alias("measure"), "q", "value") for m, t in measures.items()]
-    )
+    """Exact quantiles of thread length, characters and words as ``(measure, q, value)``.
+
+    Each table is read once; quantiles come from the counts of distinct lengths, which stay few.
+    """
+    measure = lambda name, v: F.struct(F.lit(name).alias("measure"), v.cast("long").alias("v"))
+    of_texts = F.array(measure("chars", F.length("text")), measure("words", word_count(F.col("text"))))
+    lengths = conversations.select(F.lit("thread_length").alias("measure"), F.col("tweets").cast("long").alias("v"))
+    counted = texts.select(F.inline(of_texts)).unionByName(lengths).groupBy("measure", "v").agg(F.count(F.lit(1)).alias("n"))
+    wanted = F.array(*[F.lit(float(q)) for q in points])
+    values = counted.filter("v is not null").groupBy("measure").agg(F.percentile("v", wanted, F.col("n")).alias("_values"))
+    return values.select("measure", F.inline(F.arrays_zip(wanted.alias("q"), F.col("_values").alias("value"))).alias("q", "value"))
 
 
 def time_quantiles(messages: DataFrame, points: Sequence[float] = (0.1, 0.9)) -> DataFrame:
