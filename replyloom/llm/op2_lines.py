@@ -29,7 +29,7 @@ EDITS = 2
 LEAST_CHARS = 24
 #: Different lines with one segment at one place and of one length from which on they are partitioned again.
 CROWDED = 512
-LETTERS = "etanor"
+LETTERS = "etanoris"
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
