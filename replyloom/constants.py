@@ -204,12 +204,16 @@ TOPICS = (
 # --- Fixed values: characters stripped from token edges, and words left out of the term lists ---------------
 TOKEN_EDGE_CHARS = ".,!?;:'\"()[]{}…—-"
 DISPLAY_STOPWORDS = (
-    "the and for are but not you your youre youve with that this have from they them their there here what when "
-    "where which while will just would could should than then been being were was has had does did doing into "
-    "onto over under again more most some such only very much many also because about after before between "
-    "through during above below both each few other same own too can cant cannot how why who whom its it's im "
-    "ive id ill my me we our ours us he him his she her hers get got getting go going want wants need needs like "
-    "know really still even ever never always please pls plz thanks thank thx hey hi hello sorry help back one "
-    "two let lets try tried trying see look looks way thing things stuff anyone anybody someone somebody guys "
-    "via dm pms now all any anything something nothing everything else without within per"
-).split()
+    "the", "and", "for", "are", "but", "not", "you", "your", "youre", "youve", "with", "that", "this", "have",
+    "from", "they", "them", "their", "there", "here", "what", "when", "where", "which", "while", "will", "just",
+    "would", "could", "should", "than", "then", "been", "being", "were", "was", "has", "had", "does", "did",
+    "doing", "into", "onto", "over", "under", "again", "more", "most", "some", "such", "only", "very", "much",
+    "many", "also", "because", "about", "after", "before", "between", "through", "during", "above", "below", "both",
+    "each", "few", "other", "same", "own", "too", "can", "cant", "cannot", "how", "why", "who", "whom", "its",
+    "it's", "im", "ive", "id", "ill", "my", "me", "we", "our", "ours", "us", "he", "him", "his", "she", "her",
+    "hers", "get", "got", "getting", "go", "going", "want", "wants", "need", "needs", "like", "know", "really",
+    "still", "even", "ever", "never", "always", "please", "pls", "plz", "thanks", "thank", "thx", "hey", "hi",
+    "hello", "sorry", "help", "back", "one", "two", "let", "lets", "try", "tried", "trying", "see", "look", "looks",
+    "way", "thing", "things", "stuff", "anyone", "anybody", "someone", "somebody", "guys", "via", "dm", "pms",
+    "now", "all", "any", "anything", "something", "nothing", "everything", "else", "without", "within", "per",
+)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replyloom.constants import DISPLAY_STOPWORDS, MESSAGE_BUCKETS, TOKEN_EDGE_CHARS
+from replyloom.constants import DISPLAY_STOPWORDS, MESSAGE_BUCKETS, TOKEN_EDGE_CHARS, VECTOR_GRID
 from replyloom.functions.text import content_key, content_tokens, decode_entities, keyword_label, tokens, topic_hits
 from replyloom.functions.vectors import cosine, softmax
 from replyloom.operators import embeddings, heads, metrics, profile, sampling, selection
@@ -519,7 +517,7 @@ def tfidf_sql() -> str:
     return f"""with {V4}, w as (select doc_id, {words} as w from v4),
  e as (select doc_id, unnest(list_concat(w, {_BIGRAMS})) as term from w),
  tf as (select doc_id, term, count(*) as tf from e group by 1, 2),
- df as (select term, count(*) as df from tf group by 1 having count(*) >= 2),
+ df as (select term, count(*) as df from tf group by 1 having count(*) >= 1),
  x as (select doc_id, term, (1 + ln(tf)) * (ln((1.0::double + (select count(*) from v4)) / (1.0::double + df)) + 1) as raw from tf join df using (term))
  select doc_id, term, round(raw / sqrt(sum(raw * raw) over (partition by doc_id)), 6) as weight from x"""
 
@@ -527,12 +525,12 @@ def tfidf_sql() -> str:
 @query("tfidf_weights", tfidf_sql())
 def tfidf(t: Tables) -> DataFrame:
     counts = term_counts(t.v4, DISPLAY_STOPWORDS)
-    return tfidf_weights(counts, vocabulary(t.v4, counts, min_df=2)).select("doc_id", "term", _r("weight"))
+    return tfidf_weights(counts, vocabulary(t.v4, counts, min_df=1)).select("doc_id", "term", _r("weight"))
 
 
 @query("tfidf_logreg")
 def tfidf_logreg(t: Tables) -> DataFrame:
-    done = evaluate.tfidf_head(sampling.stratified_split(t.v4), {"C": 10.0, "class_weight": "balanced", "min_df": 2})
+    done = evaluate.tfidf_head(sampling.stratified_split(t.v4), {"C": 10.0, "class_weight": "balanced", "min_df": 1})
     return metrics.headline(done, by=("split",))
 
 
@@ -542,16 +540,12 @@ def embed_logreg(t: Tables) -> DataFrame:
     return done.select("conversation_id", "split", "label", "predicted", "confidence", "runner_up", "runner_up_confidence")
 
 
-GRID = ({"C": 1.0, "class_weight": None}, {"C": 1.0, "class_weight": "balanced"}, {"C": 100.0, "class_weight": None}, {"C": 100.0, "class_weight": "balanced"})
-
-
 def _grid(t: Tables) -> DataFrame:
     if "grid" not in t.memo:
         train = sampling.split_rows(_split3(t), "train").withColumn("features", array_to_vector("vector"))
-        folded = stash(sampling.kfold_assign(train).select("conversation_id", "label", "fold", "vector"), "folds")
-        rows = folded.withColumn("features", array_to_vector("vector")).persist()
-        t.memo["grid"] = stash(selection.grid_search(rows, GRID, selection.vector_fit_predict), "grid")
-        rows.unpersist()
+        folded = sampling.kfold_assign(train).withColumn("features", array_to_vector("vector"))
+        rows = stash(folded.select("conversation_id", "label", "fold", "features"), "folds")
+        t.memo["grid"] = stash(selection.grid_search(rows, VECTOR_GRID, selection.vector_fit_predict), "grid")
     return t.memo["grid"]
 
 
@@ -574,8 +568,8 @@ def model_store(t: Tables) -> DataFrame:
 
 
 def letter_encoder(texts) -> list[list[float]]:
-    """A stand-in encoder: eight repeatable numbers per text."""
-    return [[(zlib.crc32(f"{i}{x}".encode()) % 1000) / 1000 for i in range(8)] for x in texts]
+    """A stand-in encoder that SQL can repeat: a text's length and its first seven characters as numbers."""
+    return [[float(len(x)), *[float(ord(c)) for c in x[:7].ljust(7, "\0")]] for x in texts]
 
 
 @query(
@@ -599,9 +593,12 @@ def embedding_refresh(t: Tables) -> DataFrame:
     return before
 
 
-@query("embedded_texts", "select doc_id, 8 as dim from documents")
+@query(
+    "embedded_texts",
+    "select doc_id, length(text) || ',' || array_to_string([case when length(text) >= i then unicode(substr(text, i, 1)) else 0 end for i in [1, 2, 3, 4, 5, 6, 7]], ',') as vector from documents",
+)
 def embedded_texts(t: Tables) -> DataFrame:
     path = t.scratch("vectors")
     t.spark.createDataFrame([], "key string, vector array<float>").write.parquet(path)
     full = embeddings.embedding_refresh(t.documents, path, letter_encoder, "m1", 8)
-    return full.select("doc_id", F.size("vector").alias("dim"))
+    return full.select("doc_id", F.concat_ws(",", F.transform("vector", lambda v: v.cast("int").cast("string"))).alias("vector"))

@@ -171,10 +171,16 @@ def _rebuild_sql(src: str, thr: str) -> str:
  union all select 'dangling_child_links', dangling from diag union all select 'parent_link_mismatches', mismatches from diag"""
 
 
+# Names of the checks, in report order.
 _CHECKS = (
-    "pair_ids_exist_in_tweets pair_conversations_exist pair_messages_non_empty pair_response_ids_unique "
-    "pair_responses_by_support_author conversation_ids_unique tweets_have_conversation_id"
-).split()
+    "pair_ids_exist_in_tweets",
+    "pair_conversations_exist",
+    "pair_messages_non_empty",
+    "pair_response_ids_unique",
+    "pair_responses_by_support_author",
+    "conversation_ids_unique",
+    "tweets_have_conversation_id",
+)
 
 
 @query(
@@ -187,7 +193,7 @@ _CHECKS = (
  union all select 'outputs', 'messages', count(*) from mine
  union all select 'outputs', 'conversations', count(distinct conversation_id) from mine
  union all select 'outputs', 'pairs', count(*) from prs
- union all select 'violations', unnest({_CHECKS!r}), 0""",
+ union all select 'violations', unnest({list(_CHECKS)!r}), 0""",
 )
 def report(t: Tables) -> DataFrame:
     return run_report(t.run)
