@@ -7,8 +7,9 @@ survival of a branching process with two children that live with probability 0.8
 pair in 50,000. Small nodes are compared exhaustively, by minwise estimate and then on the full sets.
 
 In a larger node every document is compared with one leader first, which is one row each, and a node whose documents are
-all in one component by then is done. Of the others, those that resemble their leader on average are a family: what is
-outside their largest component is compared with all of the node, block by block; the rest branch on and shrink. Exact copies of a set are one class from the start. So
+all in one component by then is done. Of the others, those of one block, and those that resemble their leader on average
+(a family), are settled on the spot: what is outside their largest component is compared with all of the node, block by
+block. The rest branch on and shrink by half or more each time. Exact copies of a set are one class from the start. So
 a group of thousands of copies costs rows in proportion to its size, and links between different texts are found
 or implied by a chain of verified links.
 
@@ -36,8 +37,8 @@ BRANCHES = 2
 POSITIONS = 64
 #: Documents of a node up to which all are compared at once.
 SMALL_NODE = 16
-#: Mean minwise similarity to the leader from which on a node is one family, which branching would only copy.
-FAMILY = 0.5
+#: Mean minwise similarity to the leader from which on a node is one family; below it, two children hold half of it at most.
+FAMILY = 0.25
 #: Documents of one block of a family; a task compares two blocks.
 BLOCK = 256
 PERCENT = 80
@@ -172,10 +173,11 @@ class _Join:
         return stash(signed.filter(_estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE).select("a", "b"), "cps-candidates")
 
     def families(self, named: DataFrame) -> DataFrame:
-        """The nodes of ``named`` whose documents resemble their leader on average."""
+        """The nodes of ``named`` that fit one block, or whose documents resemble their leader on average."""
         sig = self.classes.select("code", "sig")
         signed = named.join(sig, "code").join(sig.withColumnsRenamed({"code": "leader", "sig": "l_sig"}), "leader")
-        return signed.groupBy("node").agg(F.avg(_estimate(F.col("sig"), F.col("l_sig"))).alias("mean")).filter(F.col("mean") >= FAMILY).select("node")
+        means = signed.groupBy("node").agg(F.avg(_estimate(F.col("sig"), F.col("l_sig"))).alias("mean"), F.count("*").alias("n"))
+        return means.filter((F.col("n") <= BLOCK) | (F.col("mean") >= FAMILY)).select("node")
 
     def across(self, named: DataFrame) -> None:
         """Compare the full sets of documents in different components of a family, in pairs of blocks.
