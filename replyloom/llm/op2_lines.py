@@ -12,8 +12,10 @@ partitioned and probed in the same way inside the segment's group. Lines are mov
 or candidates move as text, picked out by a bitmap of fixed size before any shuffle.
 
 Defined results: lines are the parts of a text between "\\n"; blank lines are left alone (not listed, never
-removed); NULL texts have no lines; the first occurrence goes by (doc_id, line number), NULL id first; repeated rows are
-occurrences of their own, so all but one are copies; an empty table gives an empty table; other columns stay as they are.
+removed); NULL texts have no lines; the first occurrence goes by (doc_id, line number, hash of the text), NULL id first;
+repeated rows are occurrences of their own, so all but one are copies; an empty table gives an empty table; other columns
+stay as they are. On removal a document is a pair of id and text: rows that share an id (or have none) lose lines each for
+itself, of equal rows without an id one stays, and equal rows with an id are one document and stay or go together.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, line, id`` of all lines that are not blank."""
-    parts = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """``doc_id, print, line_no, line, id`` of all lines that are not blank; ``print`` is the text's hash."""
+    parts = docs.select("doc_id", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return parts.filter(F.col("line").rlike(NOT_BLANK)).withColumn("id", F.xxhash64("line"))
 
 
@@ -117,10 +119,10 @@ def _paired(index: DataFrame, probe: DataFrame) -> DataFrame:
 
 
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines and links: ``id, doc_id, line_no, n_copies`` of each different line's first occurrence; pairs ``a, b`` of ids."""
+    """Lines and links: ``id, doc_id, line_no, n_copies`` of each different line's first occurrence, with the ``print`` of its text; pairs ``a, b`` of ids."""
     lines = lines_of(docs)
     facts = stash(
-        lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n_copies")).select("id", "first.doc_id", "first.line_no", "n_copies"),
+        lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "print")).alias("first"), F.count("*").alias("n_copies")).select("id", "first.*", "n_copies"),
         "lines",
     )
     long = lines.filter(F.length("line") >= LEAST_CHARS).select("id", "line")
@@ -159,37 +161,51 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """One row per different line: first occurrence, copies, links to other lines, and its class's first occurrence.
 
-    ``doc_id, line_no, n_copies, n_links, class_doc_id, class_line_no, kept, id``; a line is kept if it is its class's
-    first, and then only in its first occurrence.
+    ``doc_id, line_no, n_copies, n_links, class_doc_id, class_line_no, kept, id, print``; a line is kept if it is its class's
+    first, and then only in its first occurrence, which is in a text of hash ``print``.
     """
     facts, links = line_classes(docs)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     named = facts.join(degree, "id", "left").join(components(links), "id", "left")
     named = named.withColumn("component", F.coalesce("component", "id"))
-    least = named.filter("n_links > 0").groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("least"))
-    out = named.join(least, "component", "left").withColumn("least", F.coalesce("least", F.struct("doc_id", "line_no")))
+    place = F.struct("doc_id", "line_no", "print")
+    least = named.filter("n_links > 0").groupBy("component").agg(F.min(place).alias("least"))
+    out = named.join(least, "component", "left").withColumn("least", F.coalesce("least", place))
     return out.select(
         "doc_id", "line_no", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.col("least.doc_id").alias("class_doc_id"), F.col("least.line_no").alias("class_line_no"),
-        (F.struct("doc_id", "line_no") == F.col("least")).alias("kept"), "id",
+        (place == F.col("least")).alias("kept"), "id", "print",
     )
 
 
+def _one_without_id(docs: DataFrame) -> DataFrame:
+    """``docs``, with ``__print``, less all but one of the rows that have equal texts and no id: every line of these is a copy."""
+    printed = docs.withColumn("__print", F.xxhash64("text"))
+    nameless = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(NOT_BLANK), F.lit(False))
+    again = stash(printed.filter(nameless).groupBy("__print").count().filter("count > 1").select(F.col("__print").alias("__again")), "lines-nameless")
+    if is_empty(again):
+        return printed
+    told = maybe_in(printed, "__print", again, "__again", "__hit").withColumn("__hit", F.col("__hit") & nameless)
+    return told.filter(~F.col("__hit")).drop("__hit").unionByName(told.filter("__hit").drop("__hit").dropDuplicates(["__print"]))
+
+
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with every line class left only in its first occurrence.
 
     A text left without any line goes as a whole; ``n_chars``, if there, follows the text. Only texts that may lose a line
-    are moved. Rows with equal ids lose the same lines.
+    are moved.
     """
-    classes = stash(dedup_lines(docs).filter((F.col("n_copies") > 1) | ~F.col("kept")).withColumnsRenamed({"doc_id": "first_id", "line_no": "first_no"}), "lines-repeated")
-    here = maybe_in(lines_of(docs), "id", classes, "id", "hit").filter("hit").select("doc_id", "line_no", "id")
-    stays = F.col("kept") & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("line_no") == F.col("first_no"))
-    gone = here.join(classes.select("id", "kept", "first_id", "first_no"), "id").filter(~stays)
-    words = gone.groupBy("doc_id", F.shiftright("line_no", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, line_no & 63)")).alias("bits"))
-    marks = stash(words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("__gone")).withColumnRenamed("doc_id", "__id"), "lines-gone")
-    told = maybe_in(docs, "doc_id", marks, "__id", "__hit")
+    first = {"doc_id": "first_id", "line_no": "first_no", "print": "first_print"}
+    classes = stash(dedup_lines(docs).filter((F.col("n_copies") > 1) | ~F.col("kept")).withColumnsRenamed(first), "lines-repeated")
+    here = maybe_in(lines_of(docs), "id", classes, "id", "hit").filter("hit").select("doc_id", "print", "line_no", "id")
+    stays = F.col("kept") & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("line_no") == F.col("first_no")) & (F.col("print") == F.col("first_print"))
+    gone = here.join(classes.select("id", "kept", *first.values()), "id").filter(~stays)
+    words = gone.groupBy("doc_id", "print", F.shiftright("line_no", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, line_no & 63)")).alias("bits"))
+    marks = words.groupBy("doc_id", "print").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("__gone"))
+    marks = stash(marks.withColumnsRenamed({"doc_id": "__id", "print": "__key"}), "lines-gone")
+    told = maybe_in(_one_without_id(docs), "__print", marks, "__key", "__hit")
     same = told.filter(~F.col("__hit")).select(*docs.columns)
-    cut = told.filter("__hit").join(marks, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    cut = told.filter("__hit").join(marks, (F.col("__print") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> (shiftrightunsigned(coalesce(__gone[cast(floor(i / 64) as int)], 0L), cast(i % 64 as int)) & 1) = 0), '\\n')")
     cut = cut.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
     cut = cut.filter(F.col("__gone").isNull() | F.col("text").rlike(NOT_BLANK))
@@ -199,4 +215,4 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def op2_segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).drop("id")
+    return dedup_lines(table(spark, sf_dir, "documents")).drop("id", "print")

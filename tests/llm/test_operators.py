@@ -183,6 +183,19 @@ def test_lines_are_removed(docs):
     assert op2.remove_repeated_lines(docs([])).count() == 0
 
 
+def test_rows_that_share_an_id_lose_their_own_lines(docs):
+    rows = [
+        (None, "nameless one\nfirst own line\nthe common line"), (None, "nameless two\nsecond own line\nthe common line"),
+        (None, "nameless three\nthe common line\nthird own line"), (None, "whole copy\nof two lines"), (None, "whole copy\nof two lines"),
+        (8, "shared start\nseen before\neight a"), (8, "shared start\nunique here\neight b"), (3, "seen before"),
+    ]
+    got = list(op2.remove_repeated_lines(docs(rows)).collect())
+    left = collections.Counter(line for r in got for line in r.text.split("\n"))
+    assert left == collections.Counter({line for _, t in rows for line in t.split("\n")})
+    assert all(r.n_chars == len(r.text) for r in got) and len(got) == len(rows) - 1
+    assert [r.text for r in got if r.doc_id == 3] == ["seen before"]
+
+
 def test_lines_stay_native(spark):
     plan = registry.Q["op2_segment_lines"][0](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
