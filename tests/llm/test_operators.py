@@ -434,6 +434,24 @@ def test_vector_links_against_brute_force(spark, monkeypatch):
     assert op9.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_with_a_common_direction_and_of_two_sizes(spark, monkeypatch):
+    monkeypatch.setattr(op9, "FEW", 100, raising=False)
+    rng = np.random.default_rng(4)
+    rows, expected = [], {}
+    for dims, count in ((48, 1200), (32, 700), (5, 20)):
+        side = rng.standard_normal((count, dims)) / math.sqrt(dims)
+        side[1::2] = 0.7 * side[::2] + math.sqrt(1 - 0.7**2) * side[1::2]
+        x = math.sqrt(0.68) * np.eye(dims)[0] + math.sqrt(0.32) * side
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        near = (u @ u.T >= 0.9).sum(1) - 1
+        expected |= {len(rows) + k: int(n) for k, n in enumerate(near)}
+        rows += [(len(rows) + k, v.tolist()) for k, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in op9.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for some in (range(1200), range(1200, 1900), range(1900, 1920)):
+        assert sum(got[k] for k in some) >= 0.95 * sum(expected[k] for k in some) > 0
+    assert all(got[k] <= expected[k] for k in got)
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
