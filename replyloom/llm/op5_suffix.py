@@ -61,7 +61,22 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored_strings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """All passages as strings around their anchors: part, start, end, anchor's offset in the string, anchor's hash."""
+    """All passages as strings around their anchors: part, start, end, anchor's offset in the string, anchor's hash.
+
+    Parts are taken so many at a time that a position fits beside the hash's upper bits.
+    """
+    out = []
+    begin = 0
+    while begin < len(offsets) - 1:
+        stop = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + int(_POSITION), side="right")) - 1)
+        base = offsets[begin]
+        owner, start, end, anchor_at, anchor = _anchored(data[base : offsets[stop]], offsets[begin : stop + 1] - base)
+        out.append((owner + begin, start + base, end + base, anchor_at, anchor))
+        begin = stop
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else _anchored(data, offsets)
+
+
+def _anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none, none, none, none, none.astype(np.uint64)

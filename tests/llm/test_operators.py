@@ -333,6 +333,24 @@ def test_passages_equal_brute_force(docs, monkeypatch, part):
     assert op5.remove_repeats(docs([])).count() == 0
 
 
+def test_positions_beyond_the_packed_bits(monkeypatch):
+    monkeypatch.setattr(op5, "_POSITION", np.uint64((1 << 12) - 1))
+    rng = random.Random(31)
+    again = "".join(rng.choices("abcdefgh ", k=500)).encode()
+    raw = ["".join(rng.choices("abcdefgh ", k=700)).encode() for _ in range(30)] + [again, b"short", b"", again[100:200]]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    anchors, passages = collections.defaultdict(set), 0
+    for owner, start, end, at, anchor in zip(*op5.anchored_strings(data, offsets), strict=True):
+        assert offsets[owner] <= start and end <= offsets[owner + 1] and 0 <= at and start + at + op5.ANCHOR <= end and end - start <= 2 * op5.LENGTH - op5.ANCHOR
+        mark = data[start + at : start + at + op5.ANCHOR]
+        assert op5.spans(op5.prefix_sums(mark, fold=False), np.array([0]), np.array([op5.ANCHOR]))[0] == anchor
+        for p in range(start, end - op5.LENGTH + 1):
+            anchors[data[p : p + op5.LENGTH].tobytes()].add((int(anchor), int(start + at - p)))
+            passages += 1
+    assert passages == sum(max(0, len(x) - op5.LENGTH + 1) for x in raw)
+    assert all(len(x) == 1 for x in anchors.values())
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 def test_forward_and_counts_equal_enumeration():
     rng = np.random.default_rng(1)
