@@ -510,3 +510,12 @@ def test_personal_data_is_found(docs):
         assert set(shown.split(",")) - {""} <= set(r.spans.split(","))
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in base) for kind in range(4)]
     assert op10.find_personal_data(docs([])).count() == 0
+
+
+@pytest.mark.parametrize("address", ["john (at) example.com", "john at example.com", "john [AT] mail.example.com", "john@example.com", "john at example dot com"])
+def test_wide_addresses_depend_on_themselves_only(address):
+    for text in (address, f"so {address}, he said", f"{address} and @ and dot"):
+        start = text.index(address)
+        assert any(k == 0 and a <= start and b >= start + len(address) for k, a, b in op10.wide_spans(text))
+    assert op10.disguised(0, "john@example.com", 2) == "john at example.com" and op10.disguised(0, "john@example.com", 3) == "john (at) example.com"
+    assert not [k for k, _, _ in op10.wide_spans("meet me at noon, @ nobody") if k == 0]
