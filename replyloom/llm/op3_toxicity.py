@@ -1,13 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, one of toxic and one of ordinary training texts, spell a word letter by letter: each letter's probability
-given the word's beginning so far. Counts are numbers of documents, discounted by an absolute amount; the mass taken
-away goes to continuation counts (in how many longer forms a beginning goes on), which both classes share. So a rare
-expression weighs little, while a known one, or any form with the same beginning, speaks for its class.
-
-A word's evidence is the ratio of its two log-likelihoods. A text's evidence is length-normalised: the mean per word
-over the whole text and the means over its strongest words. A logistic curve, fitted on labelled texts that the models
-did not see, turns them into a score.
+Two models, one of toxic and one of ordinary training texts, spell every byte of a word, and its end, from the bytes before
+it, ``ORDER`` - 1 at most, the word's start among them. A byte that was not seen behind that history is spelled from a
+shorter one. Counts are numbers of documents, discounted by an absolute amount; the mass taken away goes to continuation
+counts (behind how many different bytes a shorter expression stands), which both classes share. So a rare expression
+weighs little, while a known one speaks for its class wherever it stands in a word. The weight of stepping to a shorter
+history is taken as alike in both classes.
+
+A word's evidence is the ratio of its two log-likelihoods; one of more than ``STRETCH`` bytes, such as a text without
+blanks, has that of each stretch of so many. A text's evidence is length-normalised: the mean per word over the whole text
+and the means over its strongest words. A logistic curve, fitted on labelled texts that the models did not see, turns them
+into a score.
 
 The models are fitted on a bounded sample of labelled rows: at most ``MAX_DOCS`` texts and ``MAX_CHARS`` characters, in
 order of a hash of the id. Every text is scored whole.
@@ -20,7 +23,6 @@ without both classes in the sample every score is 0; an empty table gives an emp
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,61 +31,81 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replyloom.llm.common import crc, slices, table, text_bytes
-from replyloom.llm.words import prefix_sums, spans, word_bounds
+from replyloom.llm.words import mixed, prefix_sums, spans, word_bounds
 
 DISCOUNT = 0.75
 MAX_DOCS = 24_000
 MAX_CHARS = 32_000_000
-#: A beginning is part of the models if so many sampled documents have it.
+#: An expression is part of the models if so many sampled documents have it.
 MIN_DOCS = 3
 THRESHOLD = 0.7
 TOP = (1, 3, 8)
-#: Bytes of a word that the models spell; what follows is left to neither class.
-LETTERS = 14
+#: Bytes of the longest expressions counted, the spelled one included.
+ORDER = 8
+#: Bytes that are one piece of evidence at most; histories reach over its edge.
+STRETCH = 24
 CACHE_WORDS = 400_000
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+MARK = 0x20
+
 
+def _spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray, last: np.ndarray):
+    """Stretches ``data[starts:ends]`` laid out with marks: hash sums, and owner, place and first byte of history of each spelled byte.
 
-def _beginnings(word: bytes) -> list[bytes]:
-    """A word's beginnings, the whole word with its end mark last; a byte is a letter here."""
-    marked = word[:LETTERS] + b"\x00" if len(word) <= LETTERS else word[:LETTERS]
-    return [marked[:k] for k in range(1, len(marked) + 1)]
+    ``lead`` bytes of a stretch are history only; without any the stretch starts its word. ``last`` ones end their word.
+    """
+    sizes = ends - starts
+    piece = np.cumsum(sizes + 2) - (sizes + 2)
+    laid = np.full(int((sizes + 2).sum()), MARK, np.uint8)
+    inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    laid[np.repeat(piece + 1, sizes) + inside] = data[np.repeat(starts, sizes) + inside]
+    n = sizes - lead + last
+    owner = np.repeat(np.arange(len(sizes)), n)
+    place = np.repeat(piece + 1 + lead, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return prefix_sums(laid), owner, place, (piece + (lead > 0))[owner]
 
 
 class KneserNey:
-    """Both classes' models over shared continuation counts, from ``beginning -> (ordinary, toxic)`` documents."""
-
-    def __init__(self, counts: dict[bytes, tuple[int, int]]):
-        forms: dict[bytes, int] = {}
-        for begin in sorted(counts, key=len, reverse=True):
-            forms[begin] = forms.get(begin, 0) + 1
-            forms[begin[:-1]] = forms.get(begin[:-1], 0) + forms[begin]
-        totals: dict[bytes, list[int]] = {}
-        for begin, by_class in counts.items():
-            t = totals.setdefault(begin[:-1], [0, 0, 0, 0, 0])
-            t[4] += forms[begin]
-            for c in (0, 1):
-                t[c] += by_class[c]
-                t[2 + c] += by_class[c] > 0
-        self.ratio = {}
-        for begin, by_class in counts.items():
-            t = totals[begin[:-1]]
-            shared = forms[begin] / t[4]
-            p = [
-                (max(by_class[c] - DISCOUNT, 0.0) + DISCOUNT * t[2 + c] * shared) / t[c] if t[c] else shared
-                for c in (0, 1)
-            ]
-            self.ratio[begin] = math.log(p[1] / p[0])
-
-    def log_ratio(self, word: bytes) -> float:
-        """log p(word | toxic) - log p(word | ordinary)."""
-        total = 0.0
-        for begin in _beginnings(word):
-            step = self.ratio.get(begin)
-            if step is None:
-                break
-            total += step
-        return total
+    """Both classes' models: the log ratio of each counted expression, from a table of expressions (``count_expressions``)."""
+
+    def __init__(self, gram: np.ndarray, history: np.ndarray, suffix: np.ndarray, size: np.ndarray, counts: np.ndarray):
+        order = np.argsort(gram)
+        self.grams, history, suffix, size, counts = gram[order], history[order], suffix[order], size[order], counts[order]
+        at_suffix = np.minimum(np.searchsorted(self.grams, suffix), max(0, len(gram) - 1))
+        behind = np.bincount(at_suffix[size > 1], minlength=len(gram)).astype(float)
+        group = np.unique(history, return_inverse=True)[1]
+        total = lambda x: np.bincount(group, x)[group]
+        sums, kinds = total(behind), total((behind > 0).astype(float))
+        shared, lower = np.zeros(len(gram)), np.full(len(gram), 1 / 257)
+        for k in range(1, int(size.max(initial=0)) + 1):
+            mine = size == k
+            if k > 1:
+                lower[mine] = shared[at_suffix[mine]]
+            known = mine & (sums > 0)
+            shared[mine] = lower[mine]
+            shared[known] = (np.maximum(behind[known] - DISCOUNT, 0) + DISCOUNT * kinds[known] * lower[known]) / sums[known]
+        logs = []
+        for c in (0, 1):
+            n = counts[:, c].astype(float)
+            t, kinds = total(n), total((n > 0).astype(float))
+            logs.append(np.log(np.where(t > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * lower) / np.maximum(t, 1), lower)))
+        self.ratio = logs[1] - logs[0]
+
+    def log_ratios(self, data, starts, ends, lead, last) -> np.ndarray:
+        """log p(stretch | toxic) - log p(stretch | ordinary), each byte by its longest known expression."""
+        sums, owner, place, least = _spelled(data, starts, ends, lead, last)
+        out = np.zeros(len(owner))
+        open_ = np.arange(len(owner) if len(self.grams) else 0)
+        for k in range(ORDER, 0, -1):
+            fits = open_[place[open_] - k + 1 >= least[open_]]
+            code = spans(sums, place[fits] - k + 1, place[fits] + 1)
+            at = np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)
+            hit = self.grams[at] == code
+            out[fits[hit]] = self.ratio[at[hit]]
+            left = np.zeros(len(owner), bool)
+            left[open_] = True
+            left[fits[hit]] = False
+            open_ = np.flatnonzero(left)
+        return np.bincount(owner, out, minlength=len(starts))
 
 
 class Evidence:
@@ -93,18 +115,17 @@ class Evidence:
         self.model = model
         self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
 
-    def of_words(self, data, starts, ends) -> np.ndarray:
+    def of_stretches(self, data, starts, ends, lead, last) -> np.ndarray:
         if not len(starts):
             return np.zeros(0)
-        hashes = spans(prefix_sums(data), starts, ends)
+        hashes = mixed(spans(prefix_sums(data), starts, ends) + (2 * lead + last).astype(np.uint64))
         uniq, first, inv = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, uniq), max(0, len(self.keys) - 1))
         old = self.keys[at] == uniq if len(self.keys) else np.zeros(len(uniq), bool)
         values = np.empty(len(uniq))
         values[old] = self.values[at[old]]
         new = np.flatnonzero(~old)
-        raw = data.tobytes()
-        values[new] = [self.model.log_ratio(raw[starts[i] : ends[i]].lower()) for i in first[new]]
+        values[new] = self.model.log_ratios(data, *(x[first[new]] for x in (starts, ends, lead, last)))
         if len(self.keys) + len(new) > CACHE_WORDS:
             self.keys, self.values = uniq, values
         else:
@@ -116,8 +137,15 @@ class Evidence:
     def features(self, column: pa.Array) -> np.ndarray:
         """Per text: mean evidence of all words, means of the strongest words, log word count."""
         data, offsets = text_bytes(column)
-        starts, ends, of_text = word_bounds(data, offsets)
-        values = self.of_words(data, starts, ends)
+        starts, ends, _ = word_bounds(data, offsets)
+        times = -(-(ends - starts) // STRETCH)
+        step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        word, stop = np.repeat(starts, times), np.repeat(ends, times)
+        begin = word + STRETCH * step
+        lead = np.minimum(ORDER - 1, begin - word)
+        end = np.minimum(begin + STRETCH, stop)
+        values = self.of_stretches(data, begin - lead, end, lead, (end == stop).astype(np.int64))
+        of_text = np.searchsorted(begin, offsets)
         out = np.zeros((len(offsets) - 1, 2 + len(TOP)))
         for d, (a, b) in enumerate(zip(of_text[:-1], of_text[1:], strict=True)):
             if b > a:
@@ -160,24 +188,39 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic", part)
 
 
-def _count_beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text"):
-        counts: dict[bytes, list[int]] = {}
-        for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
-            words = set(WORD.findall((text or "").encode().lower()))
-            for begin in {b for w in words for b in _beginnings(w)}:
-                counts.setdefault(begin, [0, 0])[toxic == 1] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()), *[pa.array([v[c] for v in counts.values()], pa.int64()) for c in (0, 1)]],
-            names=["begin", "ordinary", "toxic"],
-        )
+_EXPRESSIONS = "gram long, history long, suffix long, size int, ordinary long, toxic long"
 
 
-def count_beginnings(sample: DataFrame) -> dict[bytes, tuple[int, int]]:
-    """Documents of each class with each beginning that ``MIN_DOCS`` have; bounded by the sample's characters."""
-    parts = sample.select("text", "toxic").mapInArrow(_count_beginnings, "begin binary, ordinary long, toxic long")
-    rows = parts.groupBy("begin").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t")).filter(F.col("o") + F.col("t") >= MIN_DOCS).toArrow()
-    return {b: (o, t) for b, o, t in zip(*[rows[c].to_pylist() for c in ("begin", "o", "t")], strict=True)}
+def _count_expressions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text"):
+        data, offsets = text_bytes(part.column("text"))
+        toxic = np.array([y == 1 for y in part.column("toxic").to_pylist()])
+        starts, ends, of_text = word_bounds(data, offsets)
+        doc = np.repeat(np.arange(part.num_rows, dtype=np.uint64), np.diff(of_text))
+        apart = lambda code, doc: np.unique(mixed(code) + doc * np.uint64(0x9E3779B97F4A7C15), return_index=True)[1]
+        some = apart(spans(prefix_sums(data), starts, ends), doc) if len(starts) else np.zeros(0, np.int64)
+        none = np.zeros(len(some), np.int64)
+        sums, owner, place, least = _spelled(data, starts[some], ends[some], none, none + 1)
+        doc = doc[some][owner]
+        for k in range(1, ORDER + 1):
+            fits = np.flatnonzero(place - k + 1 >= least)
+            begin, end = place[fits] - k + 1, place[fits] + 1
+            code = spans(sums, begin, end)
+            each = apart(code, doc[fits])
+            gram, first, which = np.unique(code[each], return_index=True, return_inverse=True)
+            at = each[first]
+            by_class = [np.bincount(which, toxic[doc[fits[each]].astype(np.int64)] == c, minlength=len(gram)).astype(np.int64) for c in (False, True)]
+            columns = [x.view(np.int64) for x in (gram, spans(sums, begin[at], end[at] - 1), spans(sums, begin[at] + 1, end[at]))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, np.full(len(gram), k, np.int32), *by_class)], names=[c.split()[0] for c in _EXPRESSIONS.split(", ")])
+
+
+def count_expressions(sample: DataFrame) -> tuple[np.ndarray, ...]:
+    """Expressions that ``MIN_DOCS`` have, with history, suffix and size, and documents of each class; bounded by the sample's characters."""
+    parts = sample.select("text", "toxic").mapInArrow(_count_expressions, _EXPRESSIONS)
+    rows = parts.groupBy("gram").agg(*[F.first(c).alias(c) for c in ("history", "suffix", "size")], F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"))
+    got = rows.filter(F.col("o") + F.col("t") >= MIN_DOCS).toArrow()
+    gram, history, suffix, size, o, t = (got.column(c).to_numpy() for c in ("gram", "history", "suffix", "size", "o", "t"))
+    return gram.view(np.uint64), history.view(np.uint64), suffix.view(np.uint64), size, np.column_stack([o, t])
 
 
 def _scorer(fitted):
@@ -213,10 +256,10 @@ def fit(docs: DataFrame, labels: DataFrame):
     """The model and the curve's weights, or (None, None) if a class is missing in the sample."""
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels)
-    counts = count_beginnings(sample.filter("part = 0"))
-    if not any(t for _, t in counts.values()) or not any(o for o, _ in counts.values()):
+    expressions = count_expressions(sample.filter("part = 0"))
+    if not (expressions[-1].sum(0) > 0).all():
         return None, None
-    model = KneserNey(counts)
+    model = KneserNey(*expressions)
     seen = spark.sparkContext.broadcast(model)
     rows = sample.filter("part = 2").select("text", "toxic").mapInArrow(_sampled_features(seen), "toxic int, x array<double>").toArrow()
     y = np.array(rows["toxic"].to_pylist(), float)

@@ -227,6 +227,16 @@ def test_toxicity_on_held_out_rows(spark, docs):
     assert op3.score_texts(docs([]), fitted, ["doc_id"], "doc_id long").count() == 0
 
 
+def test_toxic_expressions_count_anywhere_in_a_word(spark, docs):
+    rows = toxic_rows(5, 900)
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    plain = "".join(prose(77, 3, 80)).replace(" ", "")[:60]
+    odd = [(5000, f"{plain}/zlorkish/zlorka"), (5001, '"zlorka" "zlorkish"'), (5002, f"{plain}zlorkish{plain}"), (5003, plain), (5004, f"{plain}/{plain}")]
+    fitted = op3.fit(docs([(d, t) for d, t, _ in rows]), labels)
+    scores = {r.doc_id: r.score for r in op3.score_texts(docs(odd), fitted, ["doc_id"], "doc_id long").collect()}
+    assert min(scores[5000], scores[5001], scores[5002]) >= op3.THRESHOLD > max(scores[5003], scores[5004])
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------
 def shingles(text, n):
     w = WORD.findall(lower(text))
