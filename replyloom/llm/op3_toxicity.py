@@ -13,7 +13,9 @@ and the means over its strongest words. A logistic curve, fitted on labelled tex
 into a score.
 
 The models are fitted on a bounded sample of labelled rows: at most ``MAX_DOCS`` texts and ``MAX_CHARS`` characters, in
-order of a hash of the id. Every text is scored whole.
+order of a hash of the id. Ids whose texts do not fit any more are passed over. The first ``LEAST_DOCS`` of each class and
+part have a share of the characters to themselves, and a class that has none yet gets its shortest text, so that labelled
+classes are in the sample however rare or long they are. Every text is scored whole.
 
 Defined results: NULL and empty texts have no evidence and get the score of the curve at zero evidence; rows without a label
 are scored, not learned from; repeated label rows count once each id (toxic if any says so); NULL labels are ignored;
@@ -32,10 +34,12 @@ from pyspark.sql import functions as F
 
 from replyloom.llm.common import crc, slices, table, text_bytes
 from replyloom.llm.words import mixed, prefix_sums, spans, word_bounds
+from replyloom.session import stash
 
 DISCOUNT = 0.75
 MAX_DOCS = 24_000
 MAX_CHARS = 32_000_000
+LEAST_DOCS = 200
 #: An expression is part of the models if so many sampled documents have it.
 MIN_DOCS = 3
 THRESHOLD = 0.7
@@ -171,19 +175,32 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 3
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> DataFrame:
     """``text, toxic, part`` of the sampled training rows; ``part`` 0 fits the models and 2 the curve.
 
-    The ids are chosen on narrow columns; they are at most ``max_docs``, which bounds what is broadcast.
+    The ids are chosen on narrow columns; they are at most ``max_docs`` and ``LEAST_DOCS`` of each class and part, which
+    bounds what is broadcast.
     """
     y = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     y = y.filter(crc(F.col("doc_id")) % 3 != 1)
-    sized = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(y, "doc_id")
-    first = sized.withColumn("draw", F.xxhash64("doc_id")).orderBy("draw", "doc_id", "chars").limit(max_docs).collect()
-    chosen, chars = set(), 0
-    for row in first:
-        chars += row["chars"]
-        if chars > max_chars:
-            break
-        chosen.add((row["doc_id"], int(row["toxic"])))
-    ids = docs.sparkSession.createDataFrame(sorted(chosen), "doc_id long, toxic int")
+    sized = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(y, "doc_id").groupBy("doc_id", "toxic").agg(F.sum("chars").alias("chars"))
+    kind = F.concat_ws(":", F.col("toxic") == 1, crc(F.col("doc_id")) % 3)
+    sized = stash(sized.select("*", F.xxhash64("doc_id").alias("draw"), kind.alias("kind")), "toxicity-sizes")
+    order = ["draw", "doc_id"]
+    shortest = {r["kind"]: r["least"] for r in sized.groupBy("kind").agg(F.min(F.struct("chars", *order, "toxic")).alias("least")).collect()}
+    chosen, chars = {}, 0
+    for k in sorted(shortest):
+        own = 0
+        for row in sized.filter(F.col("kind") == k).orderBy(*order).limit(LEAST_DOCS).collect():
+            if own + row["chars"] <= max_chars // 8:
+                own += row["chars"]
+                chosen[row["doc_id"]] = int(row["toxic"])
+        if not own and shortest[k]["doc_id"] not in chosen:
+            own += shortest[k]["chars"]
+            chosen[shortest[k]["doc_id"]] = int(shortest[k]["toxic"])
+        chars += own
+    for row in sized.orderBy(*order).limit(max_docs).collect():
+        if row["doc_id"] not in chosen and chars + row["chars"] <= max_chars:
+            chars += row["chars"]
+            chosen[row["doc_id"]] = int(row["toxic"])
+    ids = docs.sparkSession.createDataFrame(sorted(chosen.items()), "doc_id long, toxic int")
     part = (crc(F.col("doc_id")) % 3).alias("part")
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic", part)
 

@@ -237,6 +237,19 @@ def test_toxic_expressions_count_anywhere_in_a_word(spark, docs):
     assert min(scores[5000], scores[5001], scores[5002]) >= op3.THRESHOLD > max(scores[5003], scores[5004])
 
 
+def test_sample_passes_over_long_texts_and_holds_both_classes(spark, docs):
+    ids = [r.id for r in spark.range(400).orderBy(op3.F.xxhash64("id")).collect()]
+    texts = {d: f"text {d} zl" for d in ids}
+    texts[ids[0]] = "long " * 2000
+    toxic = {d for part in (0, 2) for d in [x for x in ids[100:] if zlib.crc32(str(x).encode()) % 3 == part][:3]}
+    texts |= {d: "mean " * 1500 for d in toxic if zlib.crc32(str(d).encode()) % 3 == 2}
+    labels = spark.createDataFrame([(d, int(d in toxic)) for d in ids], "doc_id long, toxic int")
+    got = op3.labelled_sample(docs(list(texts.items())), labels, max_docs=40, max_chars=4000).collect()
+    assert {(r.toxic, r.part) for r in got} == {(0, 0), (0, 2), (1, 0), (1, 2)}
+    assert not any(r.text.startswith("long") for r in got) and sum(r.text.startswith("mean") for r in got) == 1
+    assert op3.labelled_sample(docs(list(texts.items())), labels.limit(0)).count() == 0
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------
 def shingles(text, n):
     w = WORD.findall(lower(text))
