@@ -114,6 +114,12 @@ def _least_owner(codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nda
     return first, group, ids[first]
 
 
+def _equal_runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal values; none where there are no values."""
+    edges = np.flatnonzero(values[1:] != values[:-1]) + 1
+    return list(zip([0, *edges.tolist()], [*edges.tolist(), len(values)], strict=True)) if len(values) else []
+
+
 def _parts(part: pa.RecordBatch) -> tuple:
     """Bytes and offsets of a slice's texts, long ones in parts; each part's row and place in its text."""
     data, offsets = text_bytes(part.column("text"))
@@ -211,8 +217,7 @@ def _shared_per_text(group: pa.Table) -> pa.Table:
     row, shared = np.concatenate([v["row"] for v in values]), np.concatenate([v["shared"] for v in values])
     order = np.argsort(row, kind="stable")
     row, shared = row[order], shared[order]
-    edges = np.flatnonzero(np.diff(row, prepend=-1))
-    parts = [(int(row[a]), shared[a:b].tobytes()) for a, b in zip(edges, [*edges[1:], len(row)], strict=True)]
+    parts = [(int(row[a]), shared[a:b].tobytes()) for a, b in _equal_runs(row)]
     return pa.table(
         {
             "doc_id": pa.array([home["row_ids"][r] for r, _ in parts], pa.int64()),
@@ -455,9 +460,8 @@ def _per_text(group: pa.Table) -> pa.Table:
     row, begin = home["rows"][part], start + home["bases"][part]
     order = np.argsort(row, kind="stable")
     row, begin, size = row[order], begin[order], size[order]
-    edges = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, int)
     out: dict[str, list] = {"doc_id": [], "print": [], "starts": [], "ends": []}
-    for a, b in zip(edges, [*edges[1:], len(row)], strict=True):
+    for a, b in _equal_runs(row):
         s, e = merged_spans(begin[a:b], begin[a:b] + size[a:b])
         out["doc_id"].append(home["row_ids"][row[a]]), out["print"].append(home["prints"][row[a]])
         out["starts"].append(s.tolist()), out["ends"].append(e.tolist())

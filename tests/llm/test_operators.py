@@ -356,6 +356,16 @@ def test_passages_equal_brute_force(docs, monkeypatch, part):
     assert op5.remove_repeats(docs([])).count() == 0
 
 
+@pytest.mark.parametrize(
+    "rows",
+    [[(1, "one short text")], [(1, "a" * 40 + "b" * 40), (2, "c" * 40 + "d" * 60)], [(1, "equal " * 20), (2, "equal " * 20)], [(3, "same id " * 12), (3, "same id " * 12)]],
+    ids=["one-short", "nothing-shared", "equal-texts", "equal-rows"],
+)
+def test_tables_without_shared_or_removed_passages(docs, rows):
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op5.remove_repeats(docs(rows)).collect()), key=str)
+    assert got == brute_removed(rows)
+
+
 def test_positions_beyond_the_packed_bits(monkeypatch):
     monkeypatch.setattr(op5, "_POSITION", np.uint64((1 << 12) - 1))
     rng = random.Random(31)
