@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from replyloom.llm import op1_decontaminate, op10_pii, op12_impact_topk, op13_merkle, op2_lines, op3_toxicity, op4_chosen_path, op5_suffix, op6_hmm, op7_chat, op8_mixing, op9_itq
+from replyloom.llm import op1_decontaminate, op10_pii, op11_runs, op12_impact_topk, op13_merkle, op2_lines, op3_toxicity, op4_chosen_path, op5_suffix, op6_hmm, op7_chat, op8_mixing, op9_itq
 
 Q = {
     "op1_pigeonhole_leaks": (op1_decontaminate.op1_pigeonhole_leaks, None),
@@ -18,6 +18,7 @@ Q = {
     "op9_quantised_links": (op9_itq.op9_quantised_links, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op10_boosted_pii": (op10_pii.op10_boosted_pii, None),
+    "op11_grammar_runs": (op11_runs.op11_grammar_runs, None),
     "op12_impact_topk": (op12_impact_topk.op12_impact_topk, op12_impact_topk.SQL),
     "op13_witness_manifest": (op13_merkle.op13_witness_manifest, op13_merkle.SQL),
 }
