@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from replyloom.functions.tables import union_all
+from replyloom.operators.reach import reachable
 from replyloom.operators.threads import forest_roots, listed_children
 from replyloom.session import RoundTable, stash
 
@@ -68,46 +69,51 @@ def declared_pairs(messages: DataFrame) -> DataFrame:
 def reachable_ids(messages: DataFrame, author: str, both_ways: bool = False) -> DataFrame:
     """Distinct ids of all present messages reachable from the author's.
 
-    Messages joined by links that both ends declare reach each other, so such a group acts as one node. These
-    links form a forest, whose roots take a logarithmic number of rounds whatever the length of a thread. Only
-    links declared by one end are left for breadth-first rounds between groups, followed as declared or
-    ``both_ways``.
+    Messages joined by links that both ends declare reach each other, so such a group acts as one node; ``both_ways``
+    takes every link as one of these. These links form a forest, whose roots take a logarithmic number of rounds
+    whatever the length of a thread. Links declared by one end lead from group to group, upwards if the reply declares
+    them and downwards if a list does; they are followed by jumps (:mod:`replyloom.operators.reach`), so that a
+    table in which no message lists its replies, or none names its parent, takes no more rounds.
     """
     messages = stash(
         messages.select("tweet_id", "author_id", "in_response_to_tweet_id", "response_ids"), "reply-links"
     )
     ids = messages.select(F.col("tweet_id").alias("id")).distinct()
-    pairs = stash(declared_pairs(messages), "declared-pairs")
+    pairs = declared_pairs(messages)
+    if both_ways:
+        present = pairs.join(ids.select(F.col("id").alias("child")), "child", "left_semi")
+        pairs = present.join(ids.select(F.col("id").alias("parent")), "parent", "left_semi").withColumns({"up": F.lit(True), "down": F.lit(True)})
+    pairs = stash(pairs, "declared-pairs")
     mutual = pairs.filter("up AND down")
     tree = mutual.groupBy(F.col("child").alias("id")).agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("_n"))
     nodes = stash(ids.join(tree, "id", "left"), "two-way-links")
     roots = forest_roots(nodes).withColumnRenamed("root", "comp")
-    # Messages on a declared cycle have no root; they stay single and are handled by the rounds of `spread`.
+    # Messages on a declared cycle have no root; they stay single and their links are followed one by one.
     groups = stash(nodes.join(roots, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "groups")
 
     # Links outside the forest: declared by one end, second parents of repeated ids, and cycles.
     second = mutual.join(nodes.filter("_n > 1").select(F.col("id").alias("child"), F.col("parent").alias("_kept")), "child")
-    ringed = nodes.join(roots, "id", "left_anti").filter("parent IS NOT NULL")
+    second = second.filter("parent <> _kept").select("child", "parent")
+    ringed = nodes.join(roots, "id", "left_anti").filter("parent IS NOT NULL").select(F.col("id").alias("child"), "parent")
+    two_way = second.union(ringed)
     loose = union_all(
-        pairs.filter("up AND NOT down").select(F.col("child").alias("src"), F.col("parent").alias("dst")),
-        pairs.filter("down AND NOT up").select(F.col("parent").alias("src"), F.col("child").alias("dst")),
-        second.filter("parent <> _kept").select(F.col("child").alias("src"), F.col("parent").alias("dst")),
-        second.filter("parent <> _kept").select(F.col("parent").alias("src"), F.col("child").alias("dst")),
-        ringed.select(F.col("id").alias("src"), F.col("parent").alias("dst")),
-        ringed.select(F.col("parent").alias("src"), F.col("id").alias("dst")),
+        pairs.filter("up AND NOT down").select(F.lit("up").alias("kind"), F.col("child").alias("src"), F.col("parent").alias("dst")),
+        pairs.filter("down AND NOT up").select(F.lit("down").alias("kind"), F.col("parent").alias("src"), F.col("child").alias("dst")),
+        two_way.select(F.lit("other").alias("kind"), F.col("child").alias("src"), F.col("parent").alias("dst")),
+        two_way.select(F.lit("other").alias("kind"), F.col("parent").alias("src"), F.col("child").alias("dst")),
     )
     # The inner join to `groups` drops links to absent messages.
     lifted = (
         loose.join(groups.select(F.col("id").alias("src"), F.col("comp").alias("_from")), "src")
         .join(groups.select(F.col("id").alias("dst"), F.col("comp").alias("_to")), "dst")
         .filter("_from <> _to")
+        .select("kind", F.col("_from").alias("src"), F.col("_to").alias("dst"))
     )
-    forward = lifted.select(F.col("_from").alias("src"), F.col("_to").alias("dst"))
-    backward = lifted.select(F.col("_to").alias("src"), F.col("_from").alias("dst"))
-    links = stash((forward.union(backward) if both_ways else forward).distinct(), "group-links")
+    links = stash(lifted.distinct(), "group-links")
+    of = lambda kind: links.filter(F.col("kind") == kind).select("src", "dst")
     own = messages.filter(F.col("author_id") == author).select(F.col("tweet_id").alias("id")).distinct()
     seeds = groups.join(own, "id", "left_semi").select(F.col("comp").alias("id"))
-    reached, _ = spread(seeds, links)
+    reached = reachable(seeds, of("up"), of("down"), of("other"))
     return groups.join(reached.select(F.col("id").alias("comp")), "comp", "left_semi").select(
         F.col("id").alias("tweet_id")
     )

@@ -319,6 +319,25 @@ def thread_closure_bounded(t: Tables) -> DataFrame:
     return closure.thread_closure_bounded(t.v2, "purchase", max_rounds=2)
 
 
+def _one_way(view: str, author: str) -> str:
+    return f"""up_{view} as (select tweet_id as id from {view} where author_id = '{author}'
+  union select v.in_response_to_tweet_id from {view} v join up_{view} u on v.tweet_id = u.id
+   semi join {view} p on p.tweet_id = v.in_response_to_tweet_id)"""
+
+
+@query(
+    "thread_closure_one_way",
+    f"""with recursive {V1}, {V2}, {_one_way("v1", "agent")}, {_one_way("v2", "purchase")}
+ select 'v1' as view, tweet_id, text from v1 where tweet_id in (select id from up_v1)
+ union all select 'v2', tweet_id, text from v2 where tweet_id in (select id from up_v2)""",
+)
+def thread_closure_one_way(t: Tables) -> DataFrame:
+    """Tables without child lists: every link is declared by the reply alone."""
+    unlisted = lambda view: view.withColumn("response_ids", F.expr("cast(array() as array<string>)"))
+    found = [closure.thread_closure(unlisted(v), author).select(F.lit(name).alias("view"), "tweet_id", "text") for name, v, author in (("v1", t.v1, "agent"), ("v2", t.v2, "purchase"))]
+    return union_all(*found)
+
+
 @query("dangling_refs", f"with {V2}, {links_sql('v2')} select distinct dst as tweet_id from lk where dst not in (select tweet_id from v2)")
 def dangling_refs(t: Tables) -> DataFrame:
     return closure.dangling_refs(t.v2)
