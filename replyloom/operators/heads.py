@@ -89,6 +89,32 @@ class LogRegHead:
         best = top_two(vector_to_array("probability"), self.classes)
         return scored.withColumn("_best", best).select(*rows.columns, "_best.*")
 
+    def certificate(self, rows: DataFrame, features: str = "features") -> DataFrame:
+        """``(label, rows, weighted_size, gap, slope)`` for each class of the training ``rows``: how near the fit is to its minimum.
+
+        There, a class's probabilities add up to its weighted size (``gap`` is 0), and the weighted sum of vectors times
+        residuals is balanced by the penalty (``slope``, the largest component for each of the ``n`` rows, is 0).
+        """
+        counts = dict(label_counts(rows))
+        n, k = sum(counts.values()), len(self.classes)
+        weight = {c: n / (k * counts[c]) if self.class_weight == "balanced" else 1.0 for c in self.classes}
+        scored = self.model.setFeaturesCol(features).transform(rows.select("label", features))
+        own = F.create_map(*[F.lit(x) for c in self.classes for x in (c, weight[c])])[F.col("label")]
+        p = vector_to_array("probability")
+        residual = F.array(*[own * (p[j] - (F.col("label") == c).cast("double")) for j, c in enumerate(self.classes)])
+        cells = scored.select(F.col("label"), residual.alias("r"), F.posexplode(vector_to_array(features)).alias("i", "x"))
+        per_index = cells.groupBy("i").agg(*[F.sum(F.col("x") * F.col("r")[j]).alias(f"s{j}") for j in range(k)])
+        sums = scored.select(residual.alias("r")).agg(*[F.sum(F.col("r")[j]).alias(f"g{j}") for j in range(k)]).first()
+        # the model's weights, one row per component; two classes share one set
+        matrix = self.model.coefficientMatrix.toArray()
+        matrix = np.vstack([-matrix[0], matrix[0]]) if k == 2 else matrix
+        spark = rows.sparkSession
+        model = spark.createDataFrame([(i, [float(x) for x in column]) for i, column in enumerate(matrix.T)], "i int, w array<double>")
+        slope = [F.max(F.abs(self.c * F.col(f"s{j}") + F.col("w")[j]) / n).alias(f"m{j}") for j in range(k)]
+        largest = per_index.join(model, "i").agg(*slope).first()
+        table = [(c, counts[c], weight[c] * counts[c], abs(float(sums[f"g{j}"])), float(largest[f"m{j}"])) for j, c in enumerate(self.classes)]
+        return spark.createDataFrame(table, "label string, rows long, weighted_size double, gap double, slope double")
+
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
         spark = SparkSession.active()

@@ -25,7 +25,7 @@ def test_query_matches_sql(spark, con, name):
     assert same, message
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL and n != "tfidf_logreg"])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL])
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 

@@ -6,10 +6,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replyloom.constants import DISPLAY_STOPWORDS, MESSAGE_BUCKETS, TOKEN_EDGE_CHARS, VECTOR_GRID
+from replyloom.constants import DISPLAY_STOPWORDS, MESSAGE_BUCKETS, TEXT_GRID, TOKEN_EDGE_CHARS, VECTOR_GRID
 from replyloom.functions.text import content_key, content_tokens, decode_entities, keyword_label, tokens, topic_hits
 from replyloom.functions.vectors import cosine, softmax
-from replyloom.operators import embeddings, heads, metrics, profile, sampling, selection
+from replyloom.operators import embeddings, heads, metrics, profile, sampling, selection, text_grid
 from replyloom.operators import text_stats as ts
 from replyloom.operators.features import term_counts, tfidf_weights, vocabulary
 from replyloom.operators.taxonomy import labels_present
@@ -534,6 +534,101 @@ def tfidf_logreg(t: Tables) -> DataFrame:
     return metrics.headline(done, by=("split",))
 
 
+# --- The text grid: folds, designs, pooling and ties ---------------------------------------------------------
+_FOLDED = rf"""{V4}, {_split_sql('v4')},
+fd as (select *, ((row_number() over (partition by label order by md5('42:' || conversation_id), conversation_id) - 1) % 5)::int as fold
+  from split where split = 'train'),
+fw as (select conversation_id, fold, label, list_filter(regexp_extract_all(lower(text), '{WORD}{{2,}}'), lambda w: w not in ({_quoted(DISPLAY_STOPWORDS)})) as w from fd),
+fe as (select conversation_id, fold, unnest(list_concat(w, {_BIGRAMS})) as term from fw),
+ftf as (select conversation_id, fold, term, count(*) as tf from fe group by all),
+held as (select distinct fold as held_out from fd),
+fdf as (select held_out, term, count(*) as df, ln((1.0::double + (select count(*) from fd where fold <> held_out)) / (1.0::double + count(*))) + 1 as idf
+  from ftf join held on fold <> held_out group by held_out, term)"""
+
+_POOLED = f"""{_FOLDED}, {TAXONOMY_SQL},
+cuts as (select unnest([1, 2]) as min_df),
+raw as (select held_out, min_df, conversation_id, term, (1 + ln(tf)) * idf as x from ftf join fdf using (term) join cuts on df >= min_df),
+wt as (select *, x / sqrt(sum(x * x) over (partition by held_out, min_df, conversation_id)) as weight from raw),
+members as (select held_out, label, count(*) as n from fd join held on fold <> held_out group by all),
+mean as (select held_out, min_df, label, term, sum(weight) / any_value(members.n) as m from wt join fd using (conversation_id) join members using (held_out, label)
+  where fold <> held_out group by all),
+size as (select held_out, min_df, label, sqrt(sum(m * m)) as len from mean group by all),
+near as (select w.held_out, w.min_df, w.conversation_id, m.label, sum(w.weight * m.m) as s from wt w join fd on fd.conversation_id = w.conversation_id and fd.fold = w.held_out
+  join mean m on m.held_out = w.held_out and m.min_df = w.min_df and m.term = w.term group by all),
+cand as (select fd.fold as held_out, min_df, fd.conversation_id, fd.label as truth, members.label from fd join members on members.held_out = fd.fold cross join cuts),
+whole as (select cand.*, round(coalesce(near.s / size.len, 0), 9) as score from cand left join near using (held_out, min_df, conversation_id, label) left join size using (held_out, min_df, label)),
+guess as (select min_df, truth as label, label as predicted from
+  (select *, row_number() over (partition by held_out, min_df, conversation_id order by score desc, label) as k from whole) where k = 1),
+cfg as (select i::int as position, [0.01, 0.1, 1.0, 10.0][i // 4 + 1]::double as c, case when i // 2 % 2 = 1 then 'balanced' end as class_weight, (i % 2 + 1)::int as min_df from range(16) t(i)),
+pool as (select position, label, predicted from guess join cfg using (min_df)),
+{_headline_sql('pool', 'position')},
+grid as (select position, c, class_weight, min_df, round_even(accuracy, 4) as accuracy, round_even(macro_f1, 4) as macro_f1,
+  round_even((round_even(accuracy, 4) + round_even(macro_f1, 4)) / 2, 4) as mean_score from cfg join hl using (position))"""
+
+
+def _folded(t: Tables) -> DataFrame:
+    return sampling.kfold_assign(sampling.split_rows(sampling.stratified_split(t.v4), "train"))
+
+
+def _grid_fits(t: Tables, head: str) -> DataFrame:
+    if f"grid-{head}" not in t.memo:
+        t.memo[f"grid-{head}"] = stash(text_grid.fit_grid(_folded(t), TEXT_GRID, DISPLAY_STOPWORDS, head=head), "grid-fits")
+    return t.memo[f"grid-{head}"]
+
+
+@query("fold_frequencies", f"with {_FOLDED} select held_out, term, df, round(idf, 6) as idf from fdf where df >= 2")
+def fold_frequencies(t: Tables) -> DataFrame:
+    rows = stash(_folded(t), "folded")
+    counts = term_counts(rows, DISPLAY_STOPWORDS, "conversation_id").join(rows.select("conversation_id", "fold"), "conversation_id")
+    return text_grid.fold_frequencies(counts, rows).filter("df >= 2").select("held_out", "term", "df", _r("idf"))
+
+
+@query("text_grid_search")
+def text_grid_search(t: Tables) -> DataFrame:
+    """All 16 configurations, logistic regression, pooled out of fold."""
+    return text_grid.pooled_scores(_grid_fits(t, "logreg"), TEXT_GRID)
+
+
+@query(
+    "text_grid_certificate",
+    f"""with {_FOLDED} select position::int as position, held_out as fold, count(*) as rows, count(distinct label) as classes, true as at_minimum
+ from range(16) p(position), held join fd on fold <> held_out group by position, held_out""",
+)
+def text_grid_certificate(t: Tables) -> DataFrame:
+    return text_grid.fit_certificate(_grid_fits(t, "logreg"))
+
+
+@query("text_grid_pooled", f"with {_POOLED} select *, position = (select position from grid order by mean_score desc, macro_f1 desc, position desc limit 1) as best from grid")
+def text_grid_pooled(t: Tables) -> DataFrame:
+    """The grid with a head that SQL can fit: configurations that differ in C and weighting alone tie."""
+    scores = stash(text_grid.pooled_scores(_grid_fits(t, "centroid"), TEXT_GRID), "pooled")
+    best = metrics.best_config(scores).select(F.col("position").alias("_best"))
+    return scores.join(F.broadcast(best), F.col("position") == F.col("_best"), "left").withColumn("best", F.col("_best").isNotNull()).drop("_best")
+
+
+@query(
+    "weighting_ties",
+    f"""with {_POOLED} select * exclude (k) from (select *, coalesce(class_weight, 'none') as weighting,
+  row_number() over (partition by coalesce(class_weight, 'none') order by mean_score desc, position) as k from grid) where k = 1""",
+)
+def weighting_ties(t: Tables) -> DataFrame:
+    return metrics.weighting_comparison(text_grid.pooled_scores(_grid_fits(t, "centroid"), TEXT_GRID))
+
+
+@query(
+    "logreg_certificate",
+    f"""with {V3}, {_split_sql('v3')}, train as (select * from split where split = 'train')
+ select label, count(*) as rows, round((select count(*) from train) / (select count(distinct label) from train)::double, 6) as weighted_size, true as at_minimum from train group by label""",
+)
+def logreg_certificate(t: Tables) -> DataFrame:
+    """The head of ``embed_logreg``: per class its weighted size, and whether both conditions of the minimum hold."""
+    train = sampling.split_rows(_split3(t), "train").withColumn("features", array_to_vector("vector"))
+    rows = stash(train.select("label", "vector"), "certified").withColumn("features", array_to_vector("vector"))
+    head = heads.LogRegHead(100.0, "balanced", tol=1e-9).fit(rows)
+    held = (F.col("gap") <= 1e-3 * F.col("rows")) & (F.col("slope") <= 1e-3)
+    return head.certificate(rows).select("label", "rows", _r("weighted_size"), held.alias("at_minimum"))
+
+
 @query("embed_logreg")
 def embed_logreg(t: Tables) -> DataFrame:
     done = evaluate.vector_head(_split3(t), {"C": 100.0, "class_weight": "balanced"})
