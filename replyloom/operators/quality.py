@@ -46,24 +46,47 @@ def ref_integrity(pairs: DataFrame, threads: DataFrame, conversations: DataFrame
     ).select("kind", "id")
 
 
-def quality_gate(threads: DataFrame, conversations: DataFrame, pairs: DataFrame, author: str) -> DataFrame:
-    """The seven checks of the prepared tables. ``conversations`` has one row per conversation."""
-    refs = ref_integrity(pairs, threads, conversations)
-    ends = F.col("kind").isin("customer_message", "support_response")
-    by_other = pairs.select(F.col("response_tweet_id").alias("tweet_id")).join(
-        threads.filter(F.col("author_id") == author).select("tweet_id"), "tweet_id", "left_anti"
-    )
+def _mentions(threads: DataFrame, conversations: DataFrame, pairs: DataFrame, author: str) -> DataFrame:
+    """Every id that the three tables hold or name, one row a mention: ``(kind, id)`` and what the row says of it."""
+    said = ("message", "own", "conversation", "asked", "answered", "placed", "empty", "homeless")
+
+    def row(kind: str, id: str, **flags: Column | int) -> Column:
+        values = [F.lit(0) if f not in flags else F.lit(flags[f]) if isinstance(flags[f], int) else F.coalesce(flags[f], F.lit(False)).cast("int") for f in said]
+        return F.struct(F.lit(kind).alias("kind"), F.col(id).cast("string").alias("id"), *[v.alias(f) for v, f in zip(values, said, strict=True)])
+
+    homeless = F.col("conversation_id").isNull() | (F.length("conversation_id") == 0)
     empty = (F.length("customer_message") == 0) | (F.length("support_response") == 0)
-    no_conversation = F.col("conversation_id").isNull() | (F.length("conversation_id") == 0)
+    of_pair = [row("message", "customer_tweet_id", asked=1), row("message", "response_tweet_id", answered=1), row("conversation", "conversation_id", placed=1, empty=empty)]
     return union_all(
-        _check("pair_ids_exist_in_tweets", _where(refs, ends), "pair endpoints are messages"),
-        _check("pair_conversations_exist", _where(refs, ~ends), "pair conversations are rebuilt conversations"),
-        _check("pair_messages_non_empty", _where(pairs, empty), "both texts of a pair hold something"),
-        _check("pair_response_ids_unique", _repeated(pairs, "response_tweet_id"), "a reply is used once"),
-        _check("pair_responses_by_support_author", _rows(by_other), "replies are by the support account"),
-        _check("conversation_ids_unique", _repeated(conversations, "conversation_id"), "conversation ids are unique"),
-        _check("tweets_have_conversation_id", _where(threads, no_conversation), "every message has a conversation"),
-    )
+        threads.select(row("message", "tweet_id", message=1, own=F.col("author_id") == author, homeless=homeless).alias("m")),
+        conversations.select(row("conversation", "conversation_id", conversation=1).alias("m")),
+        pairs.select(F.explode(F.array(*of_pair)).alias("m")),
+    ).select("m.*")
+
+
+def quality_gate(threads: DataFrame, conversations: DataFrame, pairs: DataFrame, author: str) -> DataFrame:
+    """The seven checks of the prepared tables. ``conversations`` has one row per conversation.
+
+    All mentions of an id come together in one aggregate, whose sums hold every check, so each table is read once. A
+    reference that is NULL leads nowhere.
+    """
+    mentions = _mentions(threads, conversations, pairs, author)
+    ids = mentions.groupBy("kind", "id").agg(*[F.sum(c).alias(c) for c in mentions.columns[2:]])
+    there = lambda c: F.col("id").isNotNull() & (F.col(c) > 0)
+    lost = lambda refs, c: F.sum(F.when(there(c), 0).otherwise(refs))
+    message, conversation = F.col("kind") == "message", F.col("kind") == "conversation"
+    checks = [
+        ("pair_ids_exist_in_tweets", lost(F.col("asked") + F.col("answered"), "message"), "pair endpoints are messages"),
+        ("pair_conversations_exist", lost(F.col("placed"), "conversation"), "pair conversations are rebuilt conversations"),
+        ("pair_messages_non_empty", F.sum("empty"), "both texts of a pair hold something"),
+        ("pair_response_ids_unique", F.count_if(message & (F.col("answered") > 1)), "a reply is used once"),
+        ("pair_responses_by_support_author", lost(F.col("answered"), "own"), "replies are by the support account"),
+        ("conversation_ids_unique", F.count_if(conversation & (F.col("conversation") > 1)), "conversation ids are unique"),
+        ("tweets_have_conversation_id", F.sum("homeless"), "every message has a conversation"),
+    ]
+    totals = ids.agg(*[F.coalesce(total, F.lit(0)).cast("long").alias(name) for name, total, _ in checks])
+    rows = [F.struct(F.lit(name).alias("name"), (F.col(name) == 0).alias("passed"), F.col(name).alias("violations"), F.lit(detail).alias("detail")) for name, _, detail in checks]
+    return totals.select(F.inline(F.array(*rows)))
 
 
 def label_coverage(worksheet: DataFrame, labels: DataFrame) -> DataFrame:

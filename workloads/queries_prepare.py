@@ -573,6 +573,30 @@ def quality_gate(t: Tables) -> DataFrame:
     return quality.quality_gate(known, t.c2, t.p2, "signup").drop("detail")
 
 
+@query(
+    "quality_gate_planted",
+    f"""with recursive {V2T}, twice as (select conversation_id from c2 union all select conversation_id from c2 where tweets % 5 = 0),
+ bad as (select count(*) filter (file_pos % 9 = 0) as lost, count(*) filter (file_pos % 9 = 1) as blank from t2),
+ odd as (select * replace (case when turn % 4 = 0 then '' else support_response end as support_response,
+  case when turn % 6 = 0 then null else customer_tweet_id end as customer_tweet_id) from p2 union all select * from p2 where turn % 7 = 2)
+ select name, n = 0 as passed, n as violations from (
+ select 'pair_ids_exist_in_tweets' as name, (select count(*) from odd where customer_tweet_id is null) as n
+ union all select 'pair_conversations_exist', 0
+ union all select 'pair_messages_non_empty', (select count(*) from odd where customer_message = '' or support_response = '')
+ union all select 'pair_response_ids_unique', (select count(*) from (select 1 from odd group by response_tweet_id having count(*) > 1))
+ union all select 'pair_responses_by_support_author', 0
+ union all select 'conversation_ids_unique', (select count(*) from (select 1 from twice group by conversation_id having count(*) > 1))
+ union all select 'tweets_have_conversation_id', (select lost + blank from bad))""",
+)
+def quality_gate_planted(t: Tables) -> DataFrame:
+    """The checks on tables with planted faults: conversations listed twice, messages without one, empty, repeated and dangling pairs."""
+    pos, turn = F.col("file_pos") % 9, F.col("turn")
+    threads_ = t.t2.withColumn("conversation_id", F.when(pos == 0, None).when(pos == 1, "").otherwise(F.col("conversation_id")))
+    odd = t.p2.withColumn("support_response", F.when(turn % 4 == 0, "").otherwise(F.col("support_response")))
+    odd = odd.withColumn("customer_tweet_id", F.when(turn % 6 != 0, F.col("customer_tweet_id"))).unionByName(t.p2.filter(turn % 7 == 2))
+    return quality.quality_gate(threads_, t.c2.unionByName(t.c2.filter("tweets % 5 = 0")), odd, "signup").drop("detail")
+
+
 @query(
     "golden_gate",
     f"""with {V3}, {V4}, lab as (select conversation_id, label from v3 union all select conversation_id, 'no such class' from v4 where label = 'general_complaint' and conversation_id not in (select conversation_id from v3)),
