@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from replyloom.constants import ID_COLUMNS, MESSAGE_COLUMNS, SEED
-from replyloom.functions.ranking import hash_sample
+from replyloom.functions.ranking import hash_sample, smallest
 from replyloom.functions.text import parse_created_at, split_ids, strip
 
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in MESSAGE_COLUMNS])
@@ -73,7 +73,7 @@ def ingest_messages(spark: SparkSession, csv_path: str, table_path: str) -> Data
 
 def first_rows(messages: DataFrame, n: int) -> DataFrame:
     """The first ``n`` rows of the file (development only: it cuts threads)."""
-    return messages.orderBy("file_pos").limit(n)
+    return smallest(messages, n, F.col("file_pos"), [F.lit(0)])
 
 
 def sample_rows(messages: DataFrame, n: int, seed: int = SEED) -> DataFrame:

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from replyloom.functions.ranking import exact_quantiles, hash_order, hash_rank, hash_sample, rank_in_groups
+from replyloom.functions import ranking
+from replyloom.functions.ranking import exact_quantiles, hash_order, hash_rank, hash_sample, rank_in_groups, smallest
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +52,30 @@ def test_exact_quantiles(spark, width):
     points = [0.0, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0]
     out = exact_quantiles(spark.createDataFrame([(v,) for v in values], "v int"), "v", points, width).collect()
     assert {r["q"]: pytest.approx(r["value"]) for r in out} == dict(zip(points, np.quantile(values, points)))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("bin_rows", [10_000, 3])
+@pytest.mark.parametrize("n", [1001, 1500, 2999, 3000, 4000])
+def test_large_samples_are_a_filter(skewed, monkeypatch, n, bin_rows):
+    monkeypatch.setattr(ranking, "_BIN_ROWS", bin_rows)
+    expected = {r["v"] for r in skewed.orderBy(hash_order(F.col("v"), 42), "v").limit(n).collect()}
+    sample = hash_sample(skewed, n, "v")
+    assert {r["v"] for r in sample.collect()} == expected and sample.count() == min(n, 3000)
+    assert "TakeOrdered" not in plan(sample) and "Limit" not in plan(sample) and "NestedLoop" not in plan(sample)
+
+
+@pytest.mark.parametrize("bin_rows", [10_000, 1])
+def test_smallest_with_ties_nulls_and_repeated_rows(spark, monkeypatch, bin_rows):
+    monkeypatch.setattr(ranking, "_BIN_ROWS", bin_rows)
+    monkeypatch.setattr(ranking, "TOP_ROWS", 0)
+    rows = [(k, t) for k in (None, -(10**15), 0, 5, 5, 10**15) for t in ("a", "b", "b", None)]
+    table = spark.createDataFrame(rows, "k long, t string").repartition(4)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")
+    for n in range(1, len(rows) + 2):
+        got = sorted((tuple(r) for r in smallest(table, n, F.col("k"), [F.col("t")]).collect()), key=key)
+        assert got == sorted(rows, key=key)[:n], n
+    assert smallest(table.filter("false"), 5, F.col("k"), [F.col("t")]).count() == 0

@@ -218,6 +218,17 @@ def reload_types(t: Tables) -> DataFrame:
     return back.select("tweet_id", "inbound", "turn", "conversation_id", "text", (F.size("response_ids") > 0).alias("has_children"))
 
 
+@query("row_limit_half", f"with {V2} select tweet_id, file_pos from v2 order by file_pos limit (select count(*) // 2 from v2)")
+def row_limit_half(t: Tables) -> DataFrame:
+    """A cut too large for one task to merge."""
+    return message_sources.first_rows(t.v2, t.v2.count() // 2).select("tweet_id", "file_pos")
+
+
+@query("row_sample_half", f"with {V2} select tweet_id from v2 order by md5('42:' || tweet_id), tweet_id limit (select count(*) // 2 from v2)")
+def row_sample_half(t: Tables) -> DataFrame:
+    return message_sources.sample_rows(t.v2, t.v2.count() // 2).select("tweet_id")
+
+
 # --- Projections and filters -------------------------------------------------------------------------------
 @query("parse_children", f"with {V2} select tweet_id, unnest(string_split(response_tweet_id, ',')) as child from v2 where response_tweet_id <> ''")
 def parse_children(t: Tables) -> DataFrame:
