@@ -73,7 +73,7 @@ def ingest_messages(spark: SparkSession, csv_path: str, table_path: str) -> Data
 
 def first_rows(messages: DataFrame, n: int) -> DataFrame:
     """The first ``n`` rows of the file (development only: it cuts threads)."""
-    return smallest(messages, n, F.col("file_pos"), [F.lit(0)])
+    return smallest(messages, n, F.col("file_pos"), [F.lit("")])
 
 
 def sample_rows(messages: DataFrame, n: int, seed: int = SEED) -> DataFrame:
