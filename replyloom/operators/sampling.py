@@ -10,6 +10,10 @@ from replyloom.functions.ranking import hash_order, hash_rank, hash_sample
 from replyloom.operators.pairs import pair_sizes
 
 
+#: What :func:`openers` are, as the record of a sample names them.
+FRAME = "first messages of conversations started by a customer"
+
+
 class SampleTooSmallError(ValueError):
     """The sampling frame has fewer rows than asked for."""
 
@@ -28,6 +32,14 @@ def sample_openers(threads: DataFrame, n: int, seed: int = SEED) -> DataFrame:
     return hash_sample(frame, n, "conversation_id", seed).orderBy("conversation_id")
 
 
+def sampling_frame(threads: DataFrame, n: int, seed: int = SEED) -> DataFrame:
+    """The record beside a worksheet of ``n`` openers: what was sampled from, how many there were, and how."""
+    size = openers(threads).agg(F.count(F.lit(1)).alias("sampling_frame_size"))
+    return size.select(
+        F.lit(FRAME).alias("sampling_frame"), "sampling_frame_size", F.lit(n).alias("sample_size"), F.lit(seed).alias("random_seed")
+    )
+
+
 def sample_by_size(pairs: DataFrame, sizes: DataFrame, seed: int = SEED, per_bucket: int = 2) -> DataFrame:
     """One pair each of two short (<= 3), medium (4-8) and long (> 8) conversations."""
     sized = pair_sizes(pairs, sizes).withColumn("_hash", hash_order(F.col("response_tweet_id"), seed))

@@ -56,6 +56,11 @@ def write_manifest(golden: DataFrame, path: str, purpose: str = "exclude from ev
     golden.select(F.lit(purpose).alias("purpose"), "conversation_id").distinct().write.json(path)
 
 
+def write_frame_record(record: DataFrame, path: str) -> None:
+    """One JSON object: the sampling frame of a worksheet (:func:`replyloom.operators.sampling.sampling_frame`)."""
+    record.coalesce(1).write.json(path)
+
+
 def read_worksheet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(WORKSHEET_SCHEMA).json(path)
 

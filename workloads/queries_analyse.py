@@ -16,6 +16,7 @@ from replyloom.operators.taxonomy import labels_present
 from replyloom.operators.threads import conversation_totals, convs_with_author
 from replyloom.plans import evaluate
 from replyloom.session import stash
+from replyloom.sources import labels as label_sources
 from workloads.views import SPACE, TAXONOMY_SQL, V1, V1D, V2, V2T, V3, V4, WORD, WORD_TOPICS, Tables
 
 Q: dict[str, tuple] = {}
@@ -288,6 +289,13 @@ def sample_openers(t: Tables) -> DataFrame:
     return sampling.sample_openers(t.t1, 5).select("conversation_id", "tweet_id")
 
 
+@query("sampling_frame", f"with {V1} select '{sampling.FRAME}' as sampling_frame, count(*) as sampling_frame_size, 5 as sample_size, 42 as random_seed from t1 where turn = 1 and inbound")
+def sampling_frame(t: Tables) -> DataFrame:
+    path = t.scratch("frame")
+    label_sources.write_frame_record(sampling.sampling_frame(t.t1, 5), path)
+    return t.spark.read.schema("sampling_frame string, sampling_frame_size long, sample_size int, random_seed int").json(path)
+
+
 @query(
     "sample_by_size",
     f"""with recursive {V2T}, s as (select p2.*, tweets as turns, md5('42:' || response_tweet_id) as h from p2 join c2 using (conversation_id)),

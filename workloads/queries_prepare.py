@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,11 @@ from replyloom.functions.tables import union_all, unpivot
 from replyloom.functions.text import clip, split_ids
 from replyloom.operators import cleaning, closure, pairs, profile, quality, sampling, threads
 from replyloom.operators.taxonomy import signal_flags
+from replyloom.plans import ledger
 from replyloom.plans.prepare import run_report, stage_status
 from replyloom.sources import labels as label_sources
 from replyloom.sources import messages as message_sources
+from replyloom.session import stash
 from replyloom.sources import sinks
 from workloads.views import (
     TAXONOMY_SQL,
@@ -210,6 +214,58 @@ def status(t: Tables) -> DataFrame:
     return stage_status(run_report(t.run))
 
 
+_PLANTED = f"""{_RUN}, {_diag_sql("cleaned")},
+again as (select tweet_id, turn from prs union all select tweet_id, turn from prs where turn % 3 = 1),
+broken as (select count(*) as n from (select 1 from again group by tweet_id having count(*) > 1)),
+named as (select id from (select in_response_to_tweet_id as id, tweet_id from collected union all select unnest(string_split(response_tweet_id, ',')), tweet_id from collected) where id <> '' and id <> tweet_id),
+entries as (select 'scan' as section, name, value from ({_profile_sql("v1d")})
+ union all select 'empty', column_name, empty_values from ({_empty_sql("v1d", MESSAGE_COLUMNS[:5])})
+ union all select 'cleaning', name, value from ({_cleaning_sql("collected")})
+ union all select 'rebuild', name, value from ({_rebuild_sql("cleaned", "rebuilt")})
+ union all select 'outputs', 'messages', count(*) from mine
+ union all select 'outputs', 'conversations', count(distinct conversation_id) from mine
+ union all select 'outputs', 'pairs', count(*) from again
+ union all select 'violations', unnest({[c for c in _CHECKS if c != "pair_response_ids_unique"]!r}), 0
+ union all select 'violations', 'pair_response_ids_unique', n from broken
+ union all select 'settings', unnest(['random_seed', 'folds', 'closure_both_ways', 'strip_leading_mention']), unnest([42, 5, 0, 1])
+ union all select 'input', 'rows', count(*) from v1d
+ union all select 'closure', 'author_rows', count(*) from collected where author_id = 'agent'
+ union all select 'closure', 'collected_rows', count(*) from collected
+ union all select 'closure', 'dangling_references', count(distinct id) from named where id not in (select tweet_id from v1d)
+ union all select 'stages', 'load', count(*) from collected
+ union all select 'stages', 'validate_schema', count(*) from v1d
+ union all select 'stages', 'clean', count(*) from cleaned
+ union all select 'stages', 'reconstruct', count(*) from rebuilt
+ union all select 'stages', 'filter_author', count(*) from mine
+ union all select 'stages', 'extract_pairs', count(*) from again
+ union all select 'stages', 'validate_outputs', 7 - (n > 0)::int from broken)"""
+
+
+def _planted_ledger(t: Tables) -> DataFrame:
+    """The ledger of a run in whose pairs some replies are used twice."""
+    if "ledger" not in t.memo:
+        pairs_ = t.run.pairs.unionByName(t.run.pairs.filter("turn % 3 = 1"))
+        written = ledger.write_outputs(dataclasses.replace(t.run, pairs=pairs_), t.scratch("run"))
+        t.memo["ledger"] = stash(ledger.ledger(written), "ledger")
+    return t.memo["ledger"]
+
+
+@query("run_ledger", f"with recursive {_PLANTED} select section, name, value from entries")
+def run_ledger(t: Tables) -> DataFrame:
+    return _planted_ledger(t).filter("not (section = 'input' and name = 'files')")  # SQL does not see files
+
+
+@query(
+    "run_stages",
+    f"""with recursive {_PLANTED}, warned as (select unnest([2, 4, 7]) as no, unnest([
+  (select max(value) from entries where section = 'empty'), (select value from entries where name = 'cyclic_tweets_skipped'), (select max(value) from entries where section = 'violations')]) as n)
+ select no::int as stage_no, name as stage, case when n > 0 then 'WARN' else 'OK' end as status, value as rows from
+ (select *, list_position({[s for s, _ in ledger.STAGES]!r}, name) as no from entries where section = 'stages') left join warned using (no)""",
+)
+def run_stages(t: Tables) -> DataFrame:
+    return ledger.stages(_planted_ledger(t))
+
+
 @query("reload_types", f"with {V1} select tweet_id, inbound, turn, conversation_id, text, length(response_tweet_id) > 0 as has_children from t1")
 def reload_types(t: Tables) -> DataFrame:
     path = t.scratch("flat")
