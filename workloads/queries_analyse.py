@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from replyloom.constants import DISPLAY_STOPWORDS, MESSAGE_BUCKETS, TEXT_GRID, TOKEN_EDGE_CHARS, VECTOR_GRID
 from replyloom.functions.text import content_key, content_tokens, decode_entities, keyword_label, tokens, topic_hits
 from replyloom.functions.vectors import cosine, softmax
-from replyloom.operators import embeddings, heads, metrics, profile, sampling, selection, text_grid
+from replyloom.operators import embeddings, heads, metrics, phrases, profile, sampling, selection, sketches, text_grid
 from replyloom.operators import text_stats as ts
 from replyloom.operators.features import term_counts, tfidf_weights, vocabulary
 from replyloom.operators.taxonomy import labels_present
@@ -93,6 +93,12 @@ def topic_match(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.explode(topic_hits(F.col("text"), WORD_TOPICS)).alias("topic"))
 
 
+@query("phrase_match", f"with {HITS} select doc_id, unnest(h) as topic from hits")
+def phrase_match(t: Tables) -> DataFrame:
+    """The rows of ``topic_match`` by a table of phrases instead of patterns."""
+    return phrases.phrase_matches(t.documents, phrases.phrase_table(t.spark, WORD_TOPICS), "doc_id")
+
+
 @query("keyword_label", f"select doc_id, {_KEYWORD_LABEL} as label from documents")
 def label_by_keyword(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", keyword_label(F.col("text"), WORD_TOPICS).alias("label"))
@@ -233,6 +239,48 @@ def top_bigrams(t: Tables) -> DataFrame:
     return ts.top_bigrams(t.documents)
 
 
+def _sketches(t: Tables) -> sketches.SketchStore:
+    """Sketches of the documents, a part for each language."""
+    if "sketches" not in t.memo:
+        t.memo["sketches"] = sketches.SketchStore(t.spark, t.scratch("sketches"))
+        for lang in ("de", "en", "es", "fr"):
+            t.memo["sketches"].add(lang, t.documents.filter(F.col("lang") == lang), "doc_id")
+    return t.memo["sketches"]
+
+
+_SKETCHED = [0.25, 0.5, 0.75, 0.9, 0.99]
+
+
+@query(
+    "sketch_profile",
+    f"""select 'rows' as name, count(*) as exact, true as within from documents where lang in ('de', 'en', 'es', 'fr')
+ union all select 'distinct_ids', count(distinct doc_id), true from documents where lang in ('de', 'en', 'es', 'fr')
+ union all select unnest({[f'length_{q}' for q in _SKETCHED]!r}), count(text), true from documents where lang in ('de', 'en', 'es', 'fr')""",
+)
+def sketch_profile(t: Tables) -> DataFrame:
+    """Sketched sizes and quantiles against exact ones: whether each lies in its bound."""
+    store, docs = _sketches(t), t.documents.filter(F.col("lang").isin("de", "en", "es", "fr"))
+    exact = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids"), F.count("text").alias("texts")).first()
+    guess = store.totals().first()
+    near = abs(guess["distinct_ids"] - exact["ids"]) <= sketches.IDS_ERROR * exact["ids"]
+    found = store.quantiles(_SKETCHED).collect()
+    size = F.length("text")
+    ranks = docs.agg(*[F.struct((F.count_if(size < r["value"]) / exact["texts"]).alias("low"), (F.count_if(size <= r["value"]) / exact["texts"]).alias("high")).alias(f"q{i}") for i, r in enumerate(found)]).first()
+    rows = [("rows", exact["rows"], guess["rows"] == exact["rows"]), ("distinct_ids", exact["ids"], near)]
+    for i, r in enumerate(found):
+        inside = ranks[f"q{i}"]["low"] - sketches.RANK_ERROR <= r["q"] <= ranks[f"q{i}"]["high"] + sketches.RANK_ERROR
+        rows.append((f"length_{r['q']}", exact["texts"], inside))
+    return t.spark.createDataFrame(rows, "name string, exact long, within boolean")
+
+
+@query("sketch_terms", f"select term, count(*) as count, true as within from (select unnest({_content_sql('text')}) as term from documents where lang in ('de', 'en', 'es', 'fr')) group by 1 order by 2 desc, 1 limit 10")
+def sketch_terms(t: Tables) -> DataFrame:
+    """The ten most frequent terms with their exact count, and whether the sketch has them with a range that holds it."""
+    exact = ts.top_terms(t.documents.filter(F.col("lang").isin("de", "en", "es", "fr")), n=10)
+    known = _sketches(t).top_terms(50).join(exact, "term", "right")
+    return known.select("term", "count", F.coalesce(F.col("count").between(F.col("low"), F.col("high")), F.lit(False)).alias("within"))
+
+
 @query("topk_ties", f"with {V1} select term, count(*) as count from (select unnest({_content_sql('customer_message')}) as term from p1) group by 1 order by 2 desc, 1 limit 40")
 def topk_ties(t: Tables) -> DataFrame:
     return ts.top_terms(t.p1, "customer_message", n=40)
