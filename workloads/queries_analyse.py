@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from replyloom.constants import DISPLAY_STOPWORDS, MESSAGE_BUCKETS, TEXT_GRID, TOKEN_EDGE_CHARS, VECTOR_GRID
 from replyloom.functions.text import content_key, content_tokens, decode_entities, keyword_label, tokens, topic_hits
 from replyloom.functions.vectors import cosine, softmax
-from replyloom.operators import embeddings, heads, metrics, phrases, profile, sampling, selection, sketches, text_grid
+from replyloom.operators import embeddings, heads, metrics, phrases, profile, retrieval, sampling, selection, sketches, text_grid
 from replyloom.operators import text_stats as ts
 from replyloom.operators.features import term_counts, tfidf_weights, vocabulary
+from replyloom.operators.pairs import without
 from replyloom.operators.taxonomy import labels_present
 from replyloom.operators.threads import conversation_totals, convs_with_author
 from replyloom.plans import evaluate
@@ -567,6 +568,64 @@ def error_analysis(t: Tables) -> DataFrame:
     return metrics.error_analysis(_predicted(t).join(docs, "conversation_id")).drop("confidence", "runner_up_confidence")
 
 
+# --- Retrieval and routing -----------------------------------------------------------------------------------
+_NEAR = f"""{V3}, {_split_sql('v3')}, near as (select q.conversation_id as query_id, q.label as asked, c.conversation_id as id, c.label,
+  round(list_dot_product(q.vector, c.vector) / sqrt(list_dot_product(q.vector, q.vector)) / sqrt(list_dot_product(c.vector, c.vector)), 9) as score
+  from split q join split c on q.split = 'test' and c.split = 'train'),
+found as (select *, row_number() over (partition by query_id order by score desc, id) as rank from near),
+firsts as (select s.conversation_id, min(rank) as rank from split s left join found on query_id = s.conversation_id and asked = found.label where s.split = 'test'
+  and s.label in (select x.label from split x where x.split = 'train') group by 1)"""
+
+
+def _retrieved(t: Tables) -> DataFrame:
+    """The five nearest training rows of each test row: evidence is isolated from what is asked."""
+    if "retrieved" not in t.memo:
+        rows = _split3(t)
+        asked = sampling.split_rows(rows, "test").select(F.col("conversation_id").alias("query_id"), "vector")
+        evidence = without(rows.select(F.col("conversation_id").alias("id"), "vector"), sampling.split_rows(rows, "test").unionByName(sampling.split_rows(rows, "val")).select(F.col("conversation_id").alias("id")), "id")
+        t.memo["retrieved"] = stash(retrieval.topk_retrieval(asked, evidence, 5), "retrieved")
+    return t.memo["retrieved"]
+
+
+@query("topk_retrieval", f"with {_NEAR} select query_id, rank::int as rank, id, round(score, 6) as score from found where rank <= 5")
+def topk_retrieval(t: Tables) -> DataFrame:
+    return _retrieved(t).select("query_id", "rank", "id", _r("score"))
+
+
+@query(
+    "recall_at_k",
+    f"""with {_NEAR} select k, count(*) as queries, count(*) filter (rank <= k) as hits, round(count(*) filter (rank <= k) / count(*), 6) as recall,
+ round(coalesce(sum(1 / rank) filter (rank <= k), 0) / count(*), 6) as mean_reciprocal_rank from firsts, (select unnest([1, 3, 5])::int as k) group by k""",
+)
+def recall_at_k(t: Tables) -> DataFrame:
+    """A test row's relevant evidence is what shares its label."""
+    rows = _split3(t)
+    asked = sampling.split_rows(rows, "test").select(F.col("conversation_id").alias("query_id"), "label")
+    evidence = sampling.split_rows(rows, "train").select(F.col("conversation_id").alias("id"), "label")
+    hits, answerable = retrieval.same_label(_retrieved(t), asked, evidence)
+    return retrieval.recall_at_k(hits, answerable).select("k", "queries", "hits", _r("recall"), _r("mean_reciprocal_rank"))
+
+
+_CURVE = f"""{_CENTROIDS}, sure as (select *, round_even(confidence, 4) as threshold, (label <> predicted)::int as bad from pred),
+curve as (select t.threshold, count(*) as auto, sum(bad)::bigint as wrong from (select distinct threshold from sure) t join sure on sure.threshold >= t.threshold group by 1)"""
+
+
+@query("false_auto_curve", f"with {_CURVE} select threshold, auto, wrong, round(auto / (select count(*) from sure), 6) as auto_share, round(wrong / auto, 6) as false_auto_rate from curve")
+def false_auto_curve(t: Tables) -> DataFrame:
+    return retrieval.false_auto_curve(_predicted(t)).select("threshold", "auto", "wrong", _r("auto_share"), _r("false_auto_rate"))
+
+
+@query(
+    "route_decision",
+    f"""with {_CURVE} select conversation_id, predicted, case when threshold > coalesce((select max(threshold) from curve where wrong / auto > 0.05), -1)
+  and predicted <> 'security_privacy' then 'auto' else 'human' end as route from sure""",
+)
+def route_decision(t: Tables) -> DataFrame:
+    done = _predicted(t)
+    routed = retrieval.route_decision(done, retrieval.false_auto_curve(done), 0.05, ("security_privacy",))
+    return routed.select("conversation_id", "predicted", "route")
+
+
 # --- Text features and fitted heads ------------------------------------------------------------------------
 def tfidf_sql() -> str:
     words = rf"list_filter(regexp_extract_all(lower(text), '{WORD}{{2,}}'), lambda w: w not in ({_quoted(DISPLAY_STOPWORDS)}))"
