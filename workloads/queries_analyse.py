@@ -803,6 +803,20 @@ def embedding_refresh(t: Tables) -> DataFrame:
     return before
 
 
+@query("vector_store", "select text, length(text) as chars, 1 as rows from documents group by text")
+def vector_store(t: Tables) -> DataFrame:
+    """Two refreshes at once of a store, and one that is never committed: each text has one vector."""
+    store, docs = embeddings.VectorStore(t.spark, t.scratch("versions")), t.documents
+    keyed_docs = embeddings.keyed(docs, "m1")
+    todo = embeddings.missing(keyed_docs, store.read(8), 8)
+    first, second, lost = (store.write(embeddings.encode(rows, letter_encoder)) for rows in (todo, todo, todo.withColumn("text", F.lit("wrong"))))
+    store.commit(second)
+    store.commit(first)
+    assert lost not in store.versions()
+    full = store.refresh(docs.select("text").distinct(), letter_encoder, "m1", 8)
+    return full.groupBy("text").agg(F.max(F.get("vector", F.lit(0))).cast("long").alias("chars"), F.count(F.lit(1)).cast("int").alias("rows"))
+
+
 @query(
     "embedded_texts",
     "select doc_id, length(text) || ',' || array_to_string([case when length(text) >= i then unicode(substr(text, i, 1)) else 0 end for i in [1, 2, 3, 4, 5, 6, 7]], ',') as vector from documents",
