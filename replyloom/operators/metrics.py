@@ -131,15 +131,14 @@ def model_scores(predictions: DataFrame, labels=LABELS) -> DataFrame:
 
 
 def model_deltas(scores: DataFrame, comparisons) -> DataFrame:
-    """Metric differences for the given (model, baseline) pairs."""
-    spark = scores.sparkSession
-    wanted = spark.createDataFrame(list(comparisons), "model string, baseline string")
-    base = scores.select(F.col("model").alias("baseline"), "metric", F.col("value").alias("_base"))
-    return (
-        wanted.join(scores, "model")
-        .join(base, ["baseline", "metric"])
-        .select("model", "baseline", "metric", (F.col("value") - F.col("_base")).alias("delta"))
-    )
+    """Metric differences for the given (model, baseline) pairs; pairs with an unknown model are left out.
+
+    A metric's values of all models come together in one row, so the scores are computed once.
+    """
+    values = scores.groupBy("metric").agg(F.map_from_entries(F.collect_list(F.struct("model", "value"))).alias("_values"))
+    value = lambda model: F.try_element_at("_values", F.lit(model))
+    pairs = [F.struct(F.lit(m).alias("model"), F.lit(b).alias("baseline"), (value(m) - value(b)).alias("delta")) for m, b in comparisons]
+    return values.select("metric", F.inline(F.array(*pairs))).filter("delta IS NOT NULL").select("model", "baseline", "metric", "delta")
 
 
 def confidence_preview(predictions: DataFrame, threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:

@@ -561,11 +561,11 @@ def confidence_preview(t: Tables) -> DataFrame:
 
 @query(
     "error_analysis",
-    f"with {_CENTROIDS} select conversation_id, label as true_label, predicted as predicted_label, runner_up, case when length(text) > 160 then substring(text, 1, 160) || '…' else text end as text from pred join documents on conversation_id = doc_id::varchar where label <> predicted",
+    f"with {_CENTROIDS} select conversation_id, label as true_label, predicted as predicted_label, runner_up, round_even(confidence, 4) as confidence, round_even(runner_up_confidence, 4) as runner_up_confidence, case when length(text) > 160 then substring(text, 1, 160) || '…' else text end as text from pred join documents on conversation_id = doc_id::varchar where label <> predicted",
 )
 def error_analysis(t: Tables) -> DataFrame:
     docs = t.documents.select(F.col("doc_id").cast("string").alias("conversation_id"), "text")
-    return metrics.error_analysis(_predicted(t).join(docs, "conversation_id")).drop("confidence", "runner_up_confidence")
+    return metrics.error_analysis(_predicted(t).join(docs, "conversation_id"))
 
 
 # --- Retrieval and routing -----------------------------------------------------------------------------------
@@ -777,6 +777,19 @@ def model_store(t: Tables) -> DataFrame:
     return done.select("conversation_id", "predicted", _r("confidence"))
 
 
+@query("model_store_logreg", f"with {V3}, {_split_sql('v3')} select conversation_id, true as same from split where split <> 'train'")
+def model_store_logreg(t: Tables) -> DataFrame:
+    """A fitted head, saved and loaded, predicts what it predicted before, to the last digit."""
+    rows = _split3(t).withColumn("features", array_to_vector("vector"))
+    path, asked = t.scratch("logreg"), rows.filter("split <> 'train'").select("conversation_id", "features")
+    head = heads.LogRegHead(1.0, "balanced").fit(sampling.split_rows(rows, "train"))
+    head.save(path)
+    told = ["predicted", "confidence", "runner_up", "runner_up_confidence"]
+    before = head.predict(asked).select("conversation_id", F.struct(*told).alias("before"))
+    after = heads.LogRegHead.load(t.spark, path).predict(asked).select("conversation_id", F.struct(*told).alias("after"))
+    return before.join(after, "conversation_id").select("conversation_id", (F.col("before") == F.col("after")).alias("same"))
+
+
 def letter_encoder(texts) -> list[list[float]]:
     """A stand-in encoder that SQL can repeat: a text's length and its first seven characters as numbers."""
     return [[float(len(x)), *[float(ord(c)) for c in x[:7].ljust(7, "\0")]] for x in texts]
