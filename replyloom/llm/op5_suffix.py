@@ -11,7 +11,8 @@ documents all of their passages are repeated. So a passage in every document cos
 Before any text is dealt out, the anchors alone are: 32 bits each, once per slice, come to the anchor's bucket, which answers
 which of them occur in more than one document. Strings whose anchor is in one document only stay where they are.
 
-In a bucket, the different strings around one anchor form a collection whose suffixes are sorted by column-wise
+In a bucket, the different strings around one anchor form a collection. Strings are cut to the stretch of their passages whose
+hash occurs again (the others hold nothing that is repeated), and its suffixes are sorted by column-wise
 construction: round j inserts for every string its suffix of length j, at the place that the symbols inserted before
 give (the number of smaller symbols, and of equal ones further up). The Burrows-Wheeler transform, the common prefixes
 and the suffix names are sequential files that each round reads once and writes once. Suffixes with a common prefix of
@@ -379,6 +380,26 @@ def repeated_passages(text: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> t
     return string[again], sizes[string[again]] - length[again]
 
 
+def _shared_stretches(text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strings with a passage whose hash occurs again in the collection, and where the first of these begins and the last ends.
+
+    No passage outside these stretches is repeated, so only they need to be sorted.
+    """
+    per = np.maximum(sizes - LENGTH + 1, 0)
+    string = np.repeat(np.arange(len(sizes)), per)
+    offset = np.arange(len(string)) - np.repeat(np.cumsum(per) - per, per)
+    at = np.repeat(np.cumsum(sizes) - sizes, per) + offset
+    code = spans(prefix_sums(text, fold=False), at, at + LENGTH)
+    order = np.argsort(code)
+    same = code[order][1:] == code[order][:-1]
+    hit = np.zeros(len(code), bool)
+    hit[order[1:][same]] = True
+    hit[order[:-1][same]] = True
+    hits = np.flatnonzero(hit)
+    edges = np.array(_equal_runs(string[hits]), np.int64).reshape(-1, 2)
+    return string[hits[edges[:, 0]]], offset[hits[edges[:, 0]]], offset[hits[edges[:, 1] - 1]] + LENGTH
+
+
 def _settle(group: pa.Table) -> pa.Table:
     """One bucket: which passages of which parts go, packed per chunk of texts."""
     chunks = group.column("chunk").to_pylist()
@@ -414,8 +435,10 @@ def _settle(group: pa.Table) -> pa.Table:
             whole_to = np.searchsorted(number, number[stop])
             stop = int(whole_to) if whole_to > begin else int(np.searchsorted(number, number[begin], side="right"))
         part = members[begin:stop]
-        s, o = repeated_passages(_gathered(text, start[part], size[part]), size[part], least[same[part]])
-        found_string.append(part[s]), found_offset.append(o)
+        some, low, high = _shared_stretches(_gathered(text, start[part], size[part]), size[part])
+        part = part[some]
+        s, o = repeated_passages(_gathered(text, start[part] + low, high - low), high - low, least[same[part]])
+        found_string.append(part[s]), found_offset.append(o + low[s])
         begin = stop
     hit, offset = np.concatenate(found_string), np.concatenate(found_offset)
     # a hit of a group's first string holds for all of the group's remaining owners, which have the same id
