@@ -31,7 +31,8 @@ EDITS = 2
 LEAST_CHARS = 24
 #: Different lines with one segment at one place and of one length from which on they are partitioned again.
 CROWDED = 512
-LETTERS = "etanoris"
+#: Counted letters, the most frequent ones of English, eight to a number.
+LETTERS = ("etaoinsr", "hldcumfg")
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
@@ -69,19 +70,20 @@ def entries(lines: DataFrame, text: str, ways: list[tuple[int, int, int]]) -> Da
     return rows.withColumn("key", key).withColumn("same_length", F.col("w.less") == 0)
 
 
-def letter_counts(text: Column) -> Column:
-    """Counts of some frequent letters modulo 256, a byte each."""
+def letter_counts(text: Column, letters: str) -> Column:
+    """Counts of eight letters modulo 256, a byte each."""
     size = F.octet_length(text)
     packed = F.lit(0).cast("long")
-    for k, letter in enumerate(LETTERS):
+    for k, letter in enumerate(letters):
         count = (size - F.octet_length(F.replace(text, F.lit(letter)))).cast("long") % 256
         packed = packed.bitwiseOR(F.shiftleft(count, 8 * k))
     return packed
 
 
-def _near_counts(a: str, b: str) -> Column:
-    """Byte-wise differences, taken modulo 256 and summed, within two per edit."""
-    terms = [f"least(pmod((shiftrightunsigned({a}, {8 * k}) & 255) - (shiftrightunsigned({b}, {8 * k}) & 255), 256), pmod((shiftrightunsigned({b}, {8 * k}) & 255) - (shiftrightunsigned({a}, {8 * k}) & 255), 256))" for k in range(len(LETTERS))]
+def _near_counts(pairs: list[tuple[str, str]]) -> Column:
+    """Byte-wise differences, taken modulo 256 and summed over all pairs of columns, within two per edit."""
+    byte = lambda c, k: f"(shiftrightunsigned({c}, {8 * k}) & 255)"
+    terms = [f"least(pmod({byte(a, k)} - {byte(b, k)}, 256), pmod({byte(b, k)} - {byte(a, k)}, 256))" for a, b in pairs for k in range(8)]
     return F.expr(" + ".join(terms) + f" <= {2 * EDITS}")
 
 
@@ -113,8 +115,8 @@ def banded_distance(a: str, b: str) -> Column:
 
 
 def _paired(index: DataFrame, probe: DataFrame) -> DataFrame:
-    met = index.join(probe.withColumnsRenamed({"id": "b", "counts": "b_counts"}), "key")
-    met = met.filter((F.col("id") != F.col("b")) & (~F.col("same_length") | (F.col("id") < F.col("b"))) & _near_counts("counts", "b_counts"))
+    met = index.join(probe.withColumnsRenamed({"id": "b", "counts": "b_counts", "more": "b_more"}), "key")
+    met = met.filter((F.col("id") != F.col("b")) & (~F.col("same_length") | (F.col("id") < F.col("b"))) & _near_counts([("counts", "b_counts"), ("more", "b_more")]))
     return met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
 
 
@@ -129,24 +131,23 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = maybe_in(long, "id", facts.filter("n_copies > 1"), "id", "copied")
     single = told.filter(~F.col("copied")).select("id", "line")
     copied = stash(told.filter("copied").groupBy("id").agg(F.any_value("line").alias("line")), "lines-copied")
-    different = single.unionByName(copied).withColumn("length", F.length("line"))
-    none = F.lit(0).cast("long")
-    grouped = different.withColumn("group", none)
-    keyed = entries(grouped.drop("id"), "line", OWN).groupBy("key").count()
+    different = single.unionByName(copied).withColumns({"length": F.length("line"), "counts": letter_counts(F.col("line"), LETTERS[0]), "more": letter_counts(F.col("line"), LETTERS[1])})
+    # written once: texts are split for it, and four steps read it
+    counted = stash(different, "lines-long").withColumn("group", F.lit(0).cast("long"))
+    keyed = entries(counted.select("line", "length", "group"), "line", OWN).groupBy("key").count()
     crowded = stash(keyed.filter(F.col("count") > CROWDED).select("key"), "lines-crowded")
-    counted = grouped.withColumn("counts", letter_counts(F.col("line")))
-    index = entries(counted, "line", OWN).select("key", "id", "counts")
-    probe = entries(counted, "line", PROBES).select("key", "id", "counts", "same_length")
+    index = entries(counted, "line", OWN).select("key", "id", "counts", "more")
+    probe = entries(counted, "line", PROBES).select("key", "id", "counts", "more", "same_length")
     if is_empty(crowded):
         pairs = _paired(index, probe)
     else:
         # inside a crowded segment's group, the rest of the line is partitioned and probed again
         inside = lambda df: maybe_in(df, "key", crowded, "key", "hit").filter("hit").drop("hit").join(crowded, "key", "left_semi")
-        rest = lambda df: df.select("id", "counts", F.col("key").alias("group"), _without(F.col("line"), F.col("at"), F.col("size")).alias("rest")).distinct().withColumn("length", F.length("rest"))
+        rest = lambda df: df.select("id", "counts", "more", F.col("key").alias("group"), _without(F.col("line"), F.col("at"), F.col("size")).alias("rest")).distinct().withColumn("length", F.length("rest"))
         again_index, again_probe = (rest(inside(entries(counted, "line", ways))) for ways in (OWN, PROBES))
         again = _paired(
-            entries(again_index, "rest", OWN).select("key", "id", "counts").distinct(),
-            entries(again_probe, "rest", PROBES).select("key", "id", "counts", "same_length").distinct(),
+            entries(again_index, "rest", OWN).select("key", "id", "counts", "more").distinct(),
+            entries(again_probe, "rest", PROBES).select("key", "id", "counts", "more", "same_length").distinct(),
         )
         pairs = _paired(index.join(crowded, "key", "left_anti"), probe).unionByName(again)
     pairs = stash(pairs.distinct(), "lines-pairs")
