@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from replyloom.session import RoundTable, stash
+from replyloom.session import RoundTable
 
 BROADCAST_ROWS = 100_000  # fresh rows are single ids
 
@@ -82,8 +82,9 @@ def reachable(seeds: DataFrame, ups: DataFrame, downs: DataFrame, others: DataFr
     """Distinct ``id`` of all nodes that directed links ``(src, dst)`` reach from ``seeds (id)``.
 
     ``ups`` have, but for exceptions, one link for each ``src``, ``downs`` one for each ``dst``; ``others`` are any.
+    All three are read in every round, so they should be stored tables.
     """
-    links = stash(ups.union(downs).union(others).filter("src <> dst").distinct(), "reach-links")
+    links = ups.union(downs).union(others).filter("src <> dst")
     reached, followed = Reached(seeds), 0
     steps = links.count().bit_length() + 1
     jumps: dict[str, Jumps] = {}
