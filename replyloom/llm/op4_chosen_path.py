@@ -7,11 +7,15 @@ survival of a branching process with two children that live with probability 0.8
 pair in 50,000. Small nodes are compared exhaustively, by minwise estimate and then on the full sets.
 
 In a larger node every document is compared with one leader first, which is one row each, and a node whose documents are
-all in one component by then is done. Of the others, those of one block, and those that resemble their leader on average
-(a family), are settled on the spot: what is outside their largest component is compared with all of the node, block by
-block. The rest branch on and shrink by half or more each time. Exact copies of a set are one class from the start. So
-a group of thousands of copies costs rows in proportion to its size, and links between different texts are found
-or implied by a chain of verified links.
+all in one component by then is done. A larger one whose documents resemble their leader on average (a family) gets new
+leaders as long as these halve what is outside its largest component: the document that shares most minwise tokens with
+the majority of those outside, so the original of a group of near copies. Families and nodes of one block are then
+settled: what is outside the largest component is compared with all of the node, block by block, on signatures; only
+documents with a likely partner there are compared on full sets. The rest branch on, and all children of a node together
+are no larger than it. Exact copies of a set are one class from the start. So a group of thousands of copies costs rows
+in proportion to its size, and links between different texts are found or implied by a chain of verified links.
+
+A pair of similarity 0.8 or more is passed over by its minwise estimate with probability below one in 50,000.
 
 Defined results: NULL, empty and wordless texts have an empty set, are linked with nothing and are their own
 component; a NULL id takes part, and components are named by the smallest id that is not NULL; rows with equal ids are
@@ -20,6 +24,7 @@ documents of their own; an empty table gives an empty table; other columns are i
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +42,10 @@ BRANCHES = 2
 POSITIONS = 64
 #: Documents of a node up to which all are compared at once.
 SMALL_NODE = 16
-#: Mean minwise similarity to the leader from which on a node is one family; below it, two children hold half of it at most.
-FAMILY = 0.25
-#: Documents of one block of a family; a task compares two blocks.
-BLOCK = 256
+#: Mean minwise similarity to the leader from which on a node is one family; below it, two children together are no larger than it.
+FAMILY = 0.5
+#: Documents of one block of a node that is settled; a task compares two blocks.
+BLOCK = 512
 PERCENT = 80
 #: Pairs whose minwise estimate is below this are not compared in full: four and a half deviations under 0.8.
 LEAST_ESTIMATE = 0.575
@@ -92,6 +97,31 @@ def _estimate(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / POSITIONS
 
 
+def _near_in_blocks(group: pa.Table) -> pa.Table:
+    """The documents of a block of outsiders and a block of the node that have a likely partner on the other side.
+
+    A pair that meets in several nodes counts in the first of them.
+    """
+    side, n, component = (group.column(c).to_numpy() for c in ("side", "n", "component"))
+    sig = group.column("sig").combine_chunks().flatten().to_numpy().reshape(len(side), POSITIONS)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    same = np.zeros((len(left), len(right)), np.uint8)
+    for p in range(POSITIONS):
+        same += sig[left, p][:, None] == sig[right, p][None, :]
+    least, most = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
+    near = (same >= LEAST_ESTIMATE * POSITIONS) & (100 * least >= PERCENT * most) & (component[left][:, None] != component[right][None, :])
+    nodes = group.column("nodes").combine_chunks()
+    row = np.repeat(np.arange(len(side)), nodes.value_lengths().to_numpy(zero_copy_only=False))
+    ids = nodes.flatten().to_numpy()
+    row, ids = row[ids < group.column("node")[0].as_py()], ids[ids < group.column("node")[0].as_py()]
+    by_id = np.argsort(ids, kind="stable")
+    at = np.cumsum(side == 0) - 1, np.cumsum(side == 1) - 1
+    for members in np.split(row[by_id], np.flatnonzero(np.diff(ids[by_id])) + 1):
+        outs = side[members] == 0
+        near[np.ix_(at[0][members[outs]], at[1][members[~outs]])] = False
+    return group.select(["node", "i", "j", "side", "code", "component"]).take(np.concatenate([left[near.any(axis=1)], right[near.any(axis=0)]]))
+
+
 def _compare_blocks(group: pa.Table) -> pa.Table:
     """Links between a block of outsiders and a block of the node, counted on the sets' shared shingles; a forest of them."""
     side, code, component = (group.column(c).to_numpy() for c in ("side", "code", "component"))
@@ -132,6 +162,8 @@ class _Join:
         )
         self.full = Appended(self.spark, "cps-full", "code long, shingles array<long>")
         self.tested = Appended(self.spark, "cps-tested", "a long, b long, linked boolean")
+        self.known: DataFrame | None = None
+        self.fresh: list[DataFrame] = []
 
     def first_nodes(self) -> DataFrame:
         picks = [(tree, tree * BRANCHES + k) for tree in range(TREES) for k in range(BRANCHES)]
@@ -167,36 +199,66 @@ class _Join:
         stars = live.filter((F.col("size") > SMALL_NODE) & (F.col("code") != F.col("leader.code"))).select(
             F.least("code", "leader.code").alias("a"), F.col("n").alias("na"), F.greatest("code", "leader.code").alias("b"), F.col("leader.n").alias("nb")
         )
-        near = pairs.unionByName(stars).filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT).select("a", "b").distinct()
+        return self.likely(pairs.unionByName(stars))
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Of ``pairs(a, na, b, nb)`` those not compared yet that may be similar by size and minwise estimate."""
+        near = pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT).select("a", "b").distinct()
         sig = self.classes.select("code", "sig")
         signed = self.untested(near).join(sig.withColumnsRenamed({"code": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"code": "b", "sig": "sb"}), "b")
         return stash(signed.filter(_estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE).select("a", "b"), "cps-candidates")
 
     def families(self, named: DataFrame) -> DataFrame:
-        """The nodes of ``named`` that fit one block, or whose documents resemble their leader on average."""
+        """``node, members`` of the nodes of ``named`` that fit one block, or whose documents resemble their leader on average."""
         sig = self.classes.select("code", "sig")
         signed = named.join(sig, "code").join(sig.withColumnsRenamed({"code": "leader", "sig": "l_sig"}), "leader")
-        means = signed.groupBy("node").agg(F.avg(_estimate(F.col("sig"), F.col("l_sig"))).alias("mean"), F.count("*").alias("n"))
-        return means.filter((F.col("n") <= BLOCK) | (F.col("mean") >= FAMILY)).select("node")
+        means = signed.groupBy("node").agg(F.avg(_estimate(F.col("sig"), F.col("l_sig"))).alias("mean"), F.count("*").alias("members"))
+        return means.filter((F.col("members") <= BLOCK) | (F.col("mean") >= FAMILY)).select("node", "members")
+
+    def centres(self, members: DataFrame) -> DataFrame:
+        """``node, centre, n_centre``: the document of each node that has the node's commonest token at most positions."""
+        signed = members.select("node", "code", "n").join(self.classes.select("code", "sig"), "code")
+        tokens = signed.select("node", F.posexplode("sig").alias("at", "token")).groupBy("node", "at", "token").count()
+        common = tokens.groupBy("node", "at").agg(F.max_by("token", F.struct("count", "token")).alias("token"))
+        whole = common.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("common"))
+        most = F.max_by(F.struct("code", "n"), F.struct(_estimate(F.col("sig"), F.col("common")), "code"))
+        return signed.join(whole, "node").groupBy("node").agg(most.alias("c")).select("node", F.col("c.code").alias("centre"), F.col("c.n").alias("n_centre"))
+
+    def lead(self, members: DataFrame) -> None:
+        """Compare the documents of families with a centre of all, then of those outside the largest component while these halve."""
+        outside, left = members, None
+        while not is_empty(outside):
+            centre = self.centres(outside)
+            far = members.join(centre, "node").filter("code <> centre")
+            pairs = far.select(F.least("code", "centre").alias("a"), F.col("n").alias("na"), F.greatest("code", "centre").alias("b"), F.col("n_centre").alias("nb"))
+            self.verify(self.likely(pairs))
+            named = with_component(members, self.groups())
+            outside = stash(largest(named).filter("out").select("node", "code", "n"), "cps-outside")
+            before, left = left, outside.count()
+            if before is not None and 2 * left > before:
+                return
 
     def across(self, named: DataFrame) -> None:
         """Compare the full sets of documents in different components of a family, in pairs of blocks.
 
-        All outside the node's largest component meet all of the node; what leaves a task is a spanning forest of links.
+        All outside the node's largest component meet all of the node, first by signatures; sets go only to where a likely
+        partner is, and what leaves a task is a spanning forest of links.
         """
-        main = named.groupBy("node", "component").count().groupBy("node").agg(
-            F.max_by("component", F.struct("count", "component")).alias("main"), F.sum(F.col("count")).alias("size"))
-        outside = named.join(main, "node").withColumn("out", F.col("component") != F.col("main"))
-        outs = outside.groupBy("node").agg(F.count_if("out").alias("n_out"))
-        placed = outside.join(outs, "node").select(
-            "node", "code", "component", "out",
+        paths = named.groupBy("code").agg(F.collect_list("node").alias("nodes"))
+        placed = largest(named).filter("n_out > 0").select(
+            "node", "code", "n", "component", "out",
             F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n_out") / BLOCK).cast("int").alias("out_blocks"),
         )
         own = lambda n: F.pmod(F.xxhash64("code", "node"), F.col(n)).cast("int")
-        left = placed.filter("out").select("node", "code", "component", own("out_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
-        right = placed.select("node", "code", "component", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("i"), own("blocks").alias("j"), F.lit(1).alias("side"))
-        tasks = left.unionByName(right).join(self.full.read(), "code")
-        self.tested.add(tasks.groupBy("node", "i", "j").applyInArrow(_compare_blocks, "a long, b long, linked boolean"))
+        left = placed.filter("out").select("node", "code", "n", "component", own("out_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
+        right = placed.select("node", "code", "n", "component", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("i"), own("blocks").alias("j"), F.lit(1).alias("side"))
+        signed = left.unionByName(right).join(paths.join(self.classes.select("code", "sig"), "code"), "code")
+        near = signed.groupBy("node", "i", "j").applyInArrow(_near_in_blocks, "node long, i int, j int, side int, code long, component long")
+        near = stash(near, "cps-near")
+        if not is_empty(near):
+            self.fill(near.select("code"))
+            tasks = near.join(self.full.read(), "code")
+            self.test(tasks.groupBy("node", "i", "j").applyInArrow(_compare_blocks, "a long, b long, linked boolean"))
 
     def untested(self, pairs: DataFrame) -> DataFrame:
         return pairs.join(self.tested.read().select("a", "b"), ["a", "b"], "left_anti") if self.tested.rounds else pairs
@@ -219,10 +281,20 @@ class _Join:
         both = pairs.join(full.withColumnsRenamed({"code": "a", "shingles": "x"}), "a").join(full.withColumnsRenamed({"code": "b", "shingles": "y"}), "b")
         common = F.size(F.array_intersect("x", "y"))
         linked = common * 100 >= (F.size("x") + F.size("y") - common) * PERCENT
-        self.tested.add(both.select("a", "b", linked.alias("linked")))
+        self.test(both.select("a", "b", linked.alias("linked")))
+
+    def test(self, results: DataFrame) -> None:
+        links = self.tested.add(results).filter("linked").select("a", "b")
+        if not is_empty(links):
+            self.fresh.append(links)
 
     def groups(self) -> DataFrame | None:
-        return components(self.tested.read().filter("linked").select("a", "b")) if self.tested.rounds else None
+        """Components of all links so far, from the last ones and the links since."""
+        if self.fresh:
+            stars = [self.known.select(F.col("id").alias("a"), F.col("component").alias("b"))] if self.known else []
+            self.known = components(functools.reduce(DataFrame.unionByName, self.fresh + stars))
+            self.fresh = []
+        return self.known
 
     def run(self) -> DataFrame | None:
         """``id, component`` of every class with a link, or None if there is none."""
@@ -238,15 +310,26 @@ class _Join:
             named = stash(named.join(open_, "node"), "cps-open")
             families = stash(self.families(named), "cps-families")
             if not is_empty(families):
-                members = named.join(families, "node")
-                self.fill(members.select("code"))
-                self.across(members)
+                large = families.filter(F.col("members") > BLOCK).select("node")
+                if not is_empty(large):
+                    self.lead(stash(named.join(large, "node").select("node", "code", "n"), "cps-large"))
+                self.across(stash(with_component(named.join(families, "node").select("node", "code", "n"), self.groups()), "cps-settled"))
             others = named.join(families, "node", "left_anti")
             if is_empty(others):
                 return self.groups()
             nodes = stash(self.children(others.select("node", "code", "n")), "cps-children")
 
 
+def largest(named: DataFrame) -> DataFrame:
+    """Adds to the documents of each node ``size``, ``out`` (not in its largest component) and ``n_out``."""
+    main = named.groupBy("node", "component").count().groupBy("node").agg(
+        F.max_by("component", F.struct("count", "component")).alias("main"),
+        F.sum(F.col("count")).alias("size"),
+        (F.sum(F.col("count")) - F.max("count")).alias("n_out"),
+    )
+    return named.join(main, "node").withColumn("out", F.col("component") != F.col("main")).drop("main")
+
+
 def with_component(classes: DataFrame, groups: DataFrame | None) -> DataFrame:
     """Adds ``component``; a class without links is its own."""
     if groups is None:

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -298,6 +299,47 @@ def test_near_duplicates_equal_brute_force(docs):
     assert got == sorted(brute_groups(rows, 4), key=str)
 
 
+def family_rows(seed, n):
+    """Copies of one text of which some are linked with it, some with another copy only, some with nothing."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(5000, " ".join(base))]
+    for k in range(n):
+        w = list(base)
+        for at in rng.sample(range(80), rng.choice([1, 1, 2, 3, 4, 6])):
+            w[at] = f"e{seed}x{k}x{at}"
+        rows.append((5001 + 2 * k, " ".join(w)))
+        w[rng.randrange(80)] = f"f{k}"
+        rows.append((5002 + 2 * k, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [16, 512])
+def test_families_equal_brute_force(docs, monkeypatch, block):
+    monkeypatch.setattr(op4, "BLOCK", block)
+    rows = family_rows(3, 60)
+    got = sorted((r.doc_id, r.component_id) for r in op4.near_duplicates(docs(rows), 4).collect())
+    assert got == sorted((d, c) for d, _, c in brute_groups(rows, 4))
+
+
+def test_a_pair_of_two_nodes_is_compared_in_the_first():
+    rng = np.random.default_rng(5)
+    one = rng.integers(-9, 9, op4.POSITIONS).astype(np.int32)
+    rows = [(k, one if k < 4 else rng.integers(99, 999, op4.POSITIONS).astype(np.int32)) for k in range(6)]
+
+    def task(node, nodes):
+        columns = {"node": [node] * 12, "i": [0] * 12, "j": [0] * 12, "side": [0] * 6 + [1] * 6}
+        columns |= {"code": [k for k, _ in rows] * 2, "component": [k for k, _ in rows] * 2, "n": [9] * 12}
+        columns |= {"sig": [s.tolist() for _, s in rows] * 2, "nodes": [nodes(k) for k, _ in rows] * 2}
+        return set(op4._near_in_blocks(pa.table(columns)).column("code").to_pylist())
+
+    assert task(7, lambda k: [7, 9]) == {0, 1, 2, 3}
+    assert task(9, lambda k: [7, 9]) == set()
+    assert task(9, lambda k: [9, 7] if k < 2 else [9]) == {0, 1, 2, 3}
+    assert task(9, lambda k: [9, 7] if k != 3 else [9]) == {0, 1, 2, 3}
+    assert task(9, lambda k: [9, 7] if k in (0, 1, 2, 3) else [9]) == set()
+
+
 def test_one_of_each_stays(docs):
     rows = near_rows(7, 40) + ODD
     got = collections.Counter(r.doc_id for r in op4.one_of_each(docs(rows), 5).collect())
