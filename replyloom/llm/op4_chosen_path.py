@@ -9,7 +9,7 @@ pair in 50,000. Small nodes are compared exhaustively, by minwise estimate and t
 In a larger node every document is compared with one leader first, which is one row each, and a node whose documents are
 all in one component by then is done. A larger one whose documents resemble their leader on average (a family) gets new
 leaders as long as these halve what is outside its largest component: the document that shares most minwise tokens with
-the majority of those outside, so the original of a group of near copies. Families and nodes of one block are then
+the majority of those outside, so the original of a group of near copies. Families and nodes of a few blocks are then
 settled: what is outside the largest component is compared with all of the node, block by block, on signatures; only
 documents with a likely partner there are compared on full sets. The rest branch on, and all children of a node together
 are no larger than it. Exact copies of a set are one class from the start. So a group of thousands of copies costs rows
@@ -46,6 +46,8 @@ SMALL_NODE = 16
 FAMILY = 0.5
 #: Documents of one block of a node that is settled; a task compares two blocks.
 BLOCK = 512
+#: Documents up to which a node that is no family is settled too: its signatures go to four blocks at most.
+FEW_BLOCKS = 4 * BLOCK
 PERCENT = 80
 #: Pairs whose minwise estimate is below this are not compared in full: four and a half deviations under 0.8.
 LEAST_ESTIMATE = 0.575
@@ -160,8 +162,10 @@ class _Join:
             ),
             "cps-classes",
         )
+        self.sigs = self.classes.select("code", "sig")
         self.full = Appended(self.spark, "cps-full", "code long, shingles array<long>")
         self.tested = Appended(self.spark, "cps-tested", "a long, b long, linked boolean")
+        self.filled = False
         self.known: DataFrame | None = None
         self.fresh: list[DataFrame] = []
 
@@ -176,7 +180,7 @@ class _Join:
         for k in range(BRANCHES):
             at = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(POSITIONS)).cast("int")
             child.append(F.xxhash64("node", F.lit(k), F.element_at("sig", at + 1)))
-        return nodes.join(self.classes.select("code", "sig"), "code").select("code", "n", F.explode(F.array(*child)).alias("node"))
+        return nodes.join(self.sigs, "code").select("code", "n", F.explode(F.array(*child)).alias("node"))
 
     def live(self, nodes: DataFrame) -> DataFrame:
         """Nodes of two or more documents with their size and leader; of small nodes with the same documents one."""
@@ -204,20 +208,21 @@ class _Join:
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Of ``pairs(a, na, b, nb)`` those not compared yet that may be similar by size and minwise estimate."""
         near = pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT).select("a", "b").distinct()
-        sig = self.classes.select("code", "sig")
+        sig = self.sigs
         signed = self.untested(near).join(sig.withColumnsRenamed({"code": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"code": "b", "sig": "sb"}), "b")
         return stash(signed.filter(_estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE).select("a", "b"), "cps-candidates")
 
     def families(self, named: DataFrame) -> DataFrame:
-        """``node, members`` of the nodes of ``named`` that fit one block, or whose documents resemble their leader on average."""
-        sig = self.classes.select("code", "sig")
+        """``node, members, alike`` of the nodes of ``named`` that fit a few blocks, or whose documents resemble their leader on average; ``alike`` tells these."""
+        sig = self.sigs
         signed = named.join(sig, "code").join(sig.withColumnsRenamed({"code": "leader", "sig": "l_sig"}), "leader")
         means = signed.groupBy("node").agg(F.avg(_estimate(F.col("sig"), F.col("l_sig"))).alias("mean"), F.count("*").alias("members"))
-        return means.filter((F.col("members") <= BLOCK) | (F.col("mean") >= FAMILY)).select("node", "members")
+        alike = F.col("mean") >= FAMILY
+        return means.filter((F.col("members") <= FEW_BLOCKS) | alike).select("node", "members", alike.alias("alike"))
 
     def centres(self, members: DataFrame) -> DataFrame:
         """``node, centre, n_centre``: the document of each node that has the node's commonest token at most positions."""
-        signed = members.select("node", "code", "n").join(self.classes.select("code", "sig"), "code")
+        signed = members.select("node", "code", "n").join(self.sigs, "code")
         tokens = signed.select("node", F.posexplode("sig").alias("at", "token")).groupBy("node", "at", "token").count()
         common = tokens.groupBy("node", "at").agg(F.max_by("token", F.struct("count", "token")).alias("token"))
         whole = common.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("common"))
@@ -252,32 +257,35 @@ class _Join:
         own = lambda n: F.pmod(F.xxhash64("code", "node"), F.col(n)).cast("int")
         left = placed.filter("out").select("node", "code", "n", "component", own("out_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
         right = placed.select("node", "code", "n", "component", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("i"), own("blocks").alias("j"), F.lit(1).alias("side"))
-        signed = left.unionByName(right).join(paths.join(self.classes.select("code", "sig"), "code"), "code")
+        signed = left.unionByName(right).join(paths.join(self.sigs, "code"), "code")
         near = signed.groupBy("node", "i", "j").applyInArrow(_near_in_blocks, "node long, i int, j int, side int, code long, component long")
         near = stash(near, "cps-near")
         if not is_empty(near):
-            self.fill(near.select("code"))
-            tasks = near.join(self.full.read(), "code")
+            full = maybe_in(self.full.read(), "code", near, "code", "hit").filter("hit").drop("hit")
+            tasks = near.join(full, "code")
             self.test(tasks.groupBy("node", "i", "j").applyInArrow(_compare_blocks, "a long, b long, linked boolean"))
 
     def untested(self, pairs: DataFrame) -> DataFrame:
         return pairs.join(self.tested.read().select("a", "b"), ["a", "b"], "left_anti") if self.tested.rounds else pairs
 
     def fill(self, codes: DataFrame) -> None:
-        """Make the full sets of these classes from the texts, once for each."""
+        """Make the full sets of these classes from the texts, once for each; not after the first round, which knows all to come."""
+        if self.filled:
+            return
         if self.full.rounds:
             codes = codes.join(self.full.read().select("code"), "code", "left_anti")
         wanted = stash(codes.distinct().join(self.classes.select("code", "print"), "code"), "cps-wanted")
         if not is_empty(wanted):
-            texts = maybe_in(self.marked.select("print", "text"), "print", wanted, "print", "hit").filter("hit").join(wanted, "print")
-            self.full.add(texts.select("code", "text").mapInArrow(_to_full(self.words), "code long, shingles array<long>").dropDuplicates(["code"]))
+            texts = maybe_in(self.marked.select("print", "text"), "print", wanted, "print", "hit").filter("hit").dropDuplicates(["print"]).join(wanted, "print")
+            self.full.add(texts.select("code", "text").mapInArrow(_to_full(self.words), "code long, shingles array<long>"))
 
     def verify(self, pairs: DataFrame) -> None:
-        """Compare the full sets of pairs."""
+        """Compare the full sets of pairs; only sets that a pair needs are moved."""
         if is_empty(pairs):
             return
-        self.fill(pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))))
-        full = self.full.read()
+        codes = pairs.select(F.explode(F.array("a", "b")).alias("code")).distinct()
+        self.fill(codes)
+        full = maybe_in(self.full.read(), "code", codes, "code", "hit").filter("hit").drop("hit")
         both = pairs.join(full.withColumnsRenamed({"code": "a", "shingles": "x"}), "a").join(full.withColumnsRenamed({"code": "b", "shingles": "y"}), "b")
         common = F.size(F.array_intersect("x", "y"))
         linked = common * 100 >= (F.size("x") + F.size("y") - common) * PERCENT
@@ -301,6 +309,7 @@ class _Join:
         nodes = self.first_nodes()
         while True:
             live = self.live(nodes)
+            self.sigs = stash(self.sigs.join(live.select("code").distinct(), "code", "left_semi"), "cps-sigs")
             self.verify(self.candidates(live))
             groups, larger = self.groups(), live.filter(F.col("size") > SMALL_NODE)
             if is_empty(larger):
@@ -308,9 +317,11 @@ class _Join:
             named = with_component(larger.select("node", "code", "n", F.col("leader.code").alias("leader")), groups)
             open_ = named.groupBy("node").agg((F.min("component") != F.max("component")).alias("open")).filter("open").select("node")
             named = stash(named.join(open_, "node"), "cps-open")
+            self.fill(named.select("code"))
+            self.filled = True
             families = stash(self.families(named), "cps-families")
             if not is_empty(families):
-                large = families.filter(F.col("members") > BLOCK).select("node")
+                large = families.filter((F.col("members") > BLOCK) & F.col("alike")).select("node")
                 if not is_empty(large):
                     self.lead(stash(named.join(large, "node").select("node", "code", "n"), "cps-large"))
                 self.across(stash(with_component(named.join(families, "node").select("node", "code", "n"), self.groups()), "cps-settled"))
