@@ -3,14 +3,14 @@
 Generators propose spans of four kinds: the exact formats below (kept always), and wider ones that overlap them: spelled-out
 or spaced e-mail addresses, dotted number groups, long digit groups, telephone numbers without a plus sign. Boosted trees
 score each proposal from its format (lengths, digits, groups, separators) and its context (characters and cue words around,
-line position). They learn from a bounded sample of documents, in which the exact matches are right and wider proposals
+line position). They learn from all documents, in which the exact matches are right and wider proposals
 that overlap none and stand beside no cue word are wrong; exact matches are also shown in disguise (plus sign dropped, other
 separators, "at" spelled out and "dot" as well or not), since these are what the wider generators are for. Per kind, the threshold is the
-least score that keeps the wanted precision on sampled documents that the trees did not see. Proposals above it that
+least score that keeps the wanted precision on all examples that the trees did not see, a quarter of them by a hash. Proposals above it that
 overlap no exact match are added, best first.
 
 Defined results: NULL and empty texts have no spans; positions count code points, end exclusive; repeated rows get a row
-each; a NULL id hashes as an empty text; without proposals of both sorts in the sample nothing is added; an empty table
+each; without proposals of both sorts nothing is added; an empty table
 gives an empty table; other columns are ignored.
 """
 
@@ -24,14 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from replyloom.llm.common import crc, table
+from replyloom.llm.common import table
 from replyloom.session import stash
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 4000
 PRECISION = 0.995
 TREES, DEPTH = 16, 3
 
@@ -138,70 +137,54 @@ def _overlaps(spans: list[tuple[int, int, int]], start: int, end: int) -> bool:
     return any(a < end and start < b for _, a, b in spans)
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows: list[tuple[float, list[float]]] = []
-        for text in batch.column("text").to_pylist():
-            text = text or ""
-            exact = exact_spans(text)
-            for turn, (kind, a, b) in enumerate(exact):
-                rows.append((1.0, features(text, kind, a, b)))
-                shown = disguised(kind, text[a:b], turn)
-                rows.append((1.0, features(text[:a] + shown + text[b:], kind, a, a + len(shown))))
-            for kind, a, b in wide_spans(text):
-                if not _overlaps(exact, a, b):
-                    x = features(text, kind, a, b)
-                    if not x[FEATURES.index("cue")]:
-                        rows.append((0.0, x))
-        yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], pa.float64()), pa.array([x for _, x in rows], pa.list_(pa.float64()))], names=["label", "x"])
+def _right(text: str, exact: list[tuple[int, int, int]]) -> list[list[float]]:
+    """Features of the exact matches, as they stand and in disguise."""
+    out = []
+    for turn, (kind, a, b) in enumerate(exact):
+        shown = disguised(kind, text[a:b], turn)
+        out += [features(text, kind, a, b), features(text[:a] + shown + text[b:], kind, a, a + len(shown))]
+    return out
 
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        exact, wide = [], []
+        exact, wide, right = [], [], []
         for text in batch.column("text").to_pylist():
             text = text or ""
             mine = exact_spans(text)
             exact.append([{"kind": k, "start": a, "end": b} for k, a, b in sorted(mine)])
+            right.append(_right(text, mine))
             wide.append([{"kind": k, "start": a, "end": b, "x": features(text, k, a, b)} for k, a, b in wide_spans(text) if not _overlaps(mine, a, b)])
         span = [("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("doc_id"), pa.array(exact, pa.list_(pa.struct(span))), pa.array(wide, pa.list_(pa.struct([*span, ("x", pa.list_(pa.float64()))])))],
-            names=["row", "doc_id", "exact", "wide"],
+            [batch.column("row"), batch.column("doc_id"), pa.array(exact, pa.list_(pa.struct(span))), pa.array(wide, pa.list_(pa.struct([*span, ("x", pa.list_(pa.float64()))]))), pa.array(right, pa.list_(pa.list_(pa.float64())))],
+            names=["row", "doc_id", "exact", "wide", "right"],
         )
 
 
 _SPAN = "struct<kind:int,start:int,end:int>"
-_PROPOSED = f"row long, doc_id long, exact array<{_SPAN}>, wide array<struct<kind:int,start:int,end:int,x:array<double>>>"
-
+_PROPOSED = f"row long, doc_id long, exact array<{_SPAN}>, wide array<struct<kind:int,start:int,end:int,x:array<double>>>, right array<array<double>>"
 
-def fit(docs: DataFrame):
-    """Boosted trees and each kind's threshold, or None if the sample has not both sorts of proposals.
 
-    The sample is ``SAMPLE_DOCS`` documents in order of a hash of the id, chosen on the id alone.
-    """
-    spark = docs.sparkSession
-    ids = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(crc(F.col("doc_id")), "doc_id").limit(SAMPLE_DOCS).collect()
-    chosen = spark.createDataFrame([(r["doc_id"],) for r in ids], "doc_id long")
-    texts = docs.join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("text").mapInArrow(_examples, "label double, x array<double>")
-    rows = stash(rows.withColumn("held", F.pmod(F.xxhash64("x"), F.lit(4)) == 0), "pii-examples")
+def fit(proposed: DataFrame):
+    """Boosted trees and each kind's threshold from all proposals, or None if these have not both sorts of examples."""
+    right = proposed.select(F.lit(1.0).alias("label"), F.explode("right").alias("x"))
+    wrong = proposed.select(F.lit(0.0).alias("label"), F.explode("wide.x").alias("x")).filter(F.col("x")[FEATURES.index("cue")] == 0)
+    rows = stash(right.union(wrong).withColumn("held", F.pmod(F.xxhash64("x"), F.lit(4)) == 0), "pii-examples")
     counts = {(r["held"], r["label"]): r["n"] for r in rows.groupBy("held", "label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 4:
         return None
     train = rows.withColumn("features", array_to_vector("x"))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=10, subsamplingRate=0.8).fit(train.filter("not held"))
-    held = model.transform(train.filter("held")).select("label", F.col("x")[0].cast("int").alias("kind"), vector_to_array("probability")[1].alias("p")).collect()
-    thresholds = []
-    for kind in range(len(KINDS)):
-        mine = sorted(((r["p"], r["label"]) for r in held if r["kind"] == kind), reverse=True)
-        right, best = 0.0, 2.0
-        for n, (p, y) in enumerate(mine, 1):
-            right += y
-            if right / n >= PRECISION and (n == len(mine) or mine[n][0] < p):
-                best = p
-        thresholds.append(best if any(y == 0 for _, y in mine) else max(best, 0.9))
-    return model, thresholds
+    scored = model.transform(train.filter("held")).select("label", F.col("x")[0].cast("int").alias("kind"), vector_to_array("probability")[1].alias("p"))
+    # scores are counted first; trees of this depth give few different ones
+    counted = scored.groupBy("kind", "p").agg(F.count("*").alias("n"), F.sum("label").alias("right"))
+    down = Window.partitionBy("kind").orderBy(F.desc("p"))
+    sums = counted.select("kind", "p", F.sum("n").over(down).alias("n"), F.sum("right").over(down).alias("right"))
+    least = sums.groupBy("kind").agg(F.min(F.when(F.col("right") / F.col("n") >= PRECISION, F.col("p"))).alias("p"), F.bool_or(F.col("right") < F.col("n")).alias("tried"))
+    found = {r["kind"]: (2.0 if r["p"] is None else r["p"], r["tried"]) for r in least.collect()}
+    told = [found.get(kind, (2.0, False)) for kind in range(len(KINDS))]
+    return model, [best if tried else max(best, 0.9) for best, tried in told]
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,9 +212,9 @@ _RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Spans of every row of ``docs(doc_id, text)``; one pass over the texts, then only proposals move."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fitted = fit(docs)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     proposed = stash(numbered.mapInArrow(_propose, _PROPOSED), "pii-proposals")
+    fitted = fit(proposed)
     if fitted is None:
         added = proposed.select("row", "doc_id", "exact", F.lit(None).cast("array<struct<kind:int,start:int,end:int,p:double>>").alias("added"))
     else:
