@@ -821,7 +821,7 @@ def vector_store(t: Tables) -> DataFrame:
     """Two refreshes at once of a store, and one that is never committed: each text has one vector."""
     store, docs = embeddings.VectorStore(t.spark, t.scratch("versions")), t.documents
     keyed_docs = embeddings.keyed(docs, "m1")
-    todo = embeddings.missing(keyed_docs, store.read(8), 8)
+    todo = stash(embeddings.missing(keyed_docs, store.read(8), 8), "todo")  # read three times
     first, second, lost = (store.write(embeddings.encode(rows, letter_encoder)) for rows in (todo, todo, todo.withColumn("text", F.lit("wrong"))))
     store.commit(second)
     store.commit(first)
