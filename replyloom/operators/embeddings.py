@@ -6,7 +6,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,14 +38,12 @@ def missing(keyed_texts: DataFrame, store: DataFrame, dim: int = EMBEDDING_DIM,
 def encode(rows: DataFrame, encoder: Encoder, batch: int = 256) -> DataFrame:
     """Run the encoder over ``(key, text)`` rows in Arrow batches on the executors."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for start in range(0, len(frame), batch):
-                part = frame.iloc[start : start + batch]
-                vectors = [[float(x) for x in v] for v in encoder(list(part["text"]))]
-                yield pd.DataFrame({"key": part["key"], "vector": vectors})
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (frame.slice(start, batch) for frame in frames for start in range(0, frame.num_rows, batch)):
+            vectors = [[float(x) for x in v] for v in encoder(part.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(vectors, pa.list_(pa.float32()))], names=["key", "vector"])
 
-    return rows.select("key", "text").mapInPandas(run, "key string, vector array<float>")
+    return rows.select("key", "text").mapInArrow(run, "key string, vector array<float>")
 
 
 class VectorStore:
