@@ -1,8 +1,9 @@
 """Nearest stored rows of a query vector, how good such lists are, and which predictions may go out unseen.
 
 A pass over the stored rows keeps, in each task, the best ``k`` rows found so far of every query, and the score that a
-row must beat to be among them; only these lists are moved, and merged by rank. Queries go out in blocks of ``BLOCK``,
-so what a task holds does not grow with their number.
+row must beat to be among them; only these lists are moved, and merged by rank. Queries go out in blocks of ``BLOCK``
+and meet stored rows in slices of ``SLICE``, so what a task holds does not grow with their number. The work is queries times
+rows, as the lists are exact.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,9 @@ from replyloom.functions.tables import union_all
 from replyloom.functions.vectors import NORM_FLOOR
 from replyloom.session import stash
 
-#: Queries that one pass over the stored rows serves.
-BLOCK = 2048
+#: Queries that one pass over the stored rows serves, and stored rows that are scored at once.
+BLOCK = 4096
+SLICE = 1024
 #: Scores are equal if they agree in so many digits; then the smaller id comes first.
 DIGITS = 9
 _FOUND = "query_id string, id string, score double"
@@ -27,39 +30,59 @@ _FOUND = "query_id string, id string, score double"
 
 def _unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of the rows with ``dim`` finite numbers, and which rows these are."""
-    fits = np.array([v is not None and len(v) == dim and all(c is not None for c in v) for v in column.to_pylist()], bool)
-    x = np.array([v for v, ok in zip(column.to_pylist(), fits) if ok], np.float64).reshape(-1, dim)
+    fits = np.flatnonzero(pc.equal(pc.list_value_length(column), dim).fill_null(False).to_numpy(zero_copy_only=False))
+    # NULL numbers become NaN
+    x = column.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
     finite = np.isfinite(x).all(1)
-    fits[np.flatnonzero(fits)[~finite]] = False
     x = x[finite]
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), NORM_FLOOR), np.flatnonzero(fits)
-
-
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    pick = np.lexsort((ids, -score))[:k]
-    return score[pick], ids[pick]
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), NORM_FLOOR), fits[finite]
+
+
+class _Lists:
+    """The best ``k`` rows found so far of every query, as rows ``asked, score, id`` in order of the query."""
+
+    def __init__(self, queries: int, k: int, least: float):
+        self.k, self.least = k, least
+        self.asked, self.score, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+        self.beat, self.full = np.full(queries, least), np.zeros(queries, bool)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Takes in ``scores``, a row of it for each query."""
+        floor = self.beat.copy()
+        if scores.shape[1] >= self.k and not self.full.all():
+            part = np.partition(scores[~self.full], -self.k, axis=1)[:, -self.k]
+            floor[~self.full] = np.maximum(floor[~self.full], part)
+        asked, row = np.nonzero(scores >= (floor - 2 * 10.0**-DIGITS)[:, None])  # rounding may make such rows equal
+        score = np.round(scores[asked, row], DIGITS)
+        some = score >= self.beat[asked]
+        if not some.any():
+            return
+        asked, score, new = asked[some], score[some], ids[row[some]]
+        touched = np.zeros(len(self.beat), bool)
+        touched[asked] = True
+        old = touched[self.asked]
+        q, s, i = np.append(self.asked[old], asked), np.append(self.score[old], score), np.append(self.id[old], new)
+        order = np.lexsort((i, -s, q))
+        q, s, i = q[order], s[order], i[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last, kept = place == self.k - 1, place < self.k
+        self.beat[q[last]], self.full[q[last]] = s[last], True
+        self.asked, self.score, self.id = np.append(self.asked[~old], q[kept]), np.append(self.score[~old], s[kept]), np.append(self.id[~old], i[kept])
 
 
 def _scan(sent, k: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, queries = sent.value
-        heaps = [(np.zeros(0), np.zeros(0, object)) for _ in names]
-        beat = np.full(len(names), least)
+        lists = _Lists(len(names), k, least)
         for batch in batches:
-            x, rows = _unit_rows(batch.column("vector"), queries.shape[1])
-            if not len(rows):
-                continue
-            ids = np.array(batch.column("id").to_pylist(), object)[rows]
-            scores = np.round(x @ queries.T, DIGITS)
-            for q in np.flatnonzero((scores >= beat).any(0)):
-                some = scores[:, q] >= beat[q]
-                kept, named = heaps[q]
-                heaps[q] = _best(np.append(kept, scores[some, q]), np.append(named, ids[some]), k)
-                if len(heaps[q][0]) == k:
-                    beat[q] = heaps[q][0][-1]
-        for q, (score, ids) in enumerate(heaps):
-            if len(score):
-                yield pa.RecordBatch.from_arrays([pa.array([names[q]] * len(ids), pa.string()), pa.array(ids.tolist(), pa.string()), pa.array(score)], names=["query_id", "id", "score"])
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                x, rows = _unit_rows(part.column("vector"), queries.shape[1])
+                if len(rows):
+                    lists.add(queries @ x.T, np.array(part.column("id").to_pylist(), object)[rows])
+        for start in range(0, len(lists.id), 10_000):
+            some = slice(start, start + 10_000)
+            yield pa.RecordBatch.from_arrays([pa.array([names[q] for q in lists.asked[some]], pa.string()), pa.array(lists.id[some].tolist(), pa.string()), pa.array(lists.score[some])], names=["query_id", "id", "score"])
 
     return run
 
@@ -72,6 +95,10 @@ def topk_retrieval(queries: DataFrame, rows: DataFrame, k: int = 5, least: float
     """
     spark = rows.sparkSession
     stored = rows.select(F.col("id").cast("string").alias("id"), F.transform("vector", lambda v: v.cast("double")).alias("vector")).filter("id is not null")
+    # every block reads all rows, which a small file would give to one task
+    stored = stash(stored.repartition(spark.sparkContext.defaultParallelism), "stored-vectors")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    ranked = lambda lists: lists.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     asked = stash(queries.select(F.col("query_id").cast("string").alias("query_id"), F.transform("vector", lambda v: v.cast("double")).alias("vector")).filter("query_id is not null and size(vector) > 0"), "queries")
     blocks = asked.withColumn("dim", F.size("vector")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-asked.count() // BLOCK)))))
     found = []
@@ -80,11 +107,12 @@ def topk_retrieval(queries: DataFrame, rows: DataFrame, k: int = 5, least: float
         unit, fits = _unit_rows(block.column("vector").combine_chunks(), part["dim"])
         names = [block.column("query_id")[int(i)].as_py() for i in fits]
         if names:
-            found.append(stash(stored.mapInArrow(_scan(spark.sparkContext.broadcast((names, unit)), k, least), _FOUND), "found"))
+            sent = spark.sparkContext.broadcast((names, unit))
+            found.append(stash(ranked(stored.mapInArrow(_scan(sent, k, least), _FOUND)).drop("rank"), "found"))
+            sent.destroy()
     if not found:
         return spark.createDataFrame([], "query_id string, rank int, id string, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return union_all(*found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return ranked(union_all(*found)).select("query_id", "rank", "id", "score")
 
 
 def same_label(found: DataFrame, queries: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -94,3 +94,40 @@ def test_routes_without_predictions(spark):
     none = frame.filter("false")
     assert retrieval.false_auto_curve(none).count() == 0 and retrieval.route_decision(none, retrieval.false_auto_curve(none), 0.1).count() == 0
     assert retrieval.route_decision(frame, retrieval.false_auto_curve(none), 0.1).filter(F.col("route") == "auto").count() == 2
+
+
+def test_stored_rows_are_made_once_and_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    made, tasks = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    scan = retrieval._scan
+
+    def counted_scan(*args):
+        run = scan(*args)
+        return lambda batches: (tasks.add(1), run(batches))[1]
+
+    monkeypatch.setattr(retrieval, "_scan", counted_scan)
+    rng = np.random.default_rng(3)
+    queries, rows = ([(f"{x}{k:03d}", rng.standard_normal(4).tolist()) for k in range(n)] for x, n in (("q", 20), ("r", 400)))
+    q, r = frames(spark, queries, rows)
+    one_task = r.coalesce(1).mapInArrow(counted, r.schema)
+    got = sorted((tuple(x) for x in retrieval.topk_retrieval(q, one_task, 2).collect()), key=lambda x: x[:2])
+    assert got == plain(queries, rows, 2)
+    assert made.value == 400  # not once for each block of queries
+    assert tasks.value >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_lists_are_merged_over_slices(monkeypatch):
+    rng = np.random.default_rng(4)
+    scores = np.round(rng.standard_normal((7, 60)), 1)  # many ties
+    ids = np.array([f"{k:02d}" for k in rng.permutation(60)], object)
+    lists = retrieval._Lists(7, 5, -0.5)
+    for at in (0, 3, 30, 31):
+        lists.add(scores[:, at : {0: 3, 3: 30, 30: 31, 31: 60}[at]], ids[at : {0: 3, 3: 30, 30: 31, 31: 60}[at]])
+    want = [(q, -s, i) for q in range(7) for s, i in sorted((-s, i) for s, i in zip(scores[q], ids) if s >= -0.5)[:5]]
+    assert [*zip(lists.asked.tolist(), lists.score.tolist(), lists.id.tolist())] == want
