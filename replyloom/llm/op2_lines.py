@@ -3,8 +3,9 @@
 Two lines are linked if they are equal, or if both have ``LEAST_CHARS`` characters or more and their edit distance is
 ``EDITS`` at most. A line is split into ``EDITS + 1`` segments, one of which occurs unchanged in any line that near; the
 other line probes the segment indexes of every length in reach with the substrings that the position of the edits
-allows (multi-match-aware selection: twelve for two edits). Pairs that meet are compared by letter counts, which two edits
-move by four at most, and then by a banded bit-parallel edit distance.
+allows (multi-match-aware selection: twelve for two edits). A segment's key and the least and greatest line there are told
+first; only lines under a key where two meet are looked at again. Pairs that meet are compared by letter counts, which two
+edits move by four at most, and then by a banded bit-parallel edit distance.
 
 Copies of a line are one line from the start (sums per line, map-side first). Segments that occur in very many lines are
 split once more: what is left of the line beside the shared segment must itself be within the distance, so it is
@@ -31,7 +32,8 @@ EDITS = 2
 LEAST_CHARS = 24
 #: Different lines with one segment at one place and of one length from which on they are partitioned again.
 CROWDED = 512
-LETTERS = "etanoris"
+#: Letters counted, eight to a number; random lines that share a segment differ in some of them.
+LETTERS = "etanorislhducmpfgwybvk 1"
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
@@ -70,18 +72,24 @@ def entries(lines: DataFrame, text: str, ways: list[tuple[int, int, int]]) -> Da
 
 
 def letter_counts(text: Column) -> Column:
-    """Counts of some frequent letters modulo 256, a byte each."""
+    """Counts of the letters modulo 256, a byte each, in an array of longs."""
     size = F.octet_length(text)
-    packed = F.lit(0).cast("long")
+    packed = []
     for k, letter in enumerate(LETTERS):
-        count = (size - F.octet_length(F.replace(text, F.lit(letter)))).cast("long") % 256
-        packed = packed.bitwiseOR(F.shiftleft(count, 8 * k))
-    return packed
+        count = F.shiftleft((size - F.octet_length(F.replace(text, F.lit(letter)))).cast("long") % 256, 8 * (k % 8))
+        if k % 8:
+            packed[-1] = packed[-1].bitwiseOR(count)
+        else:
+            packed.append(count)
+    return F.array(*packed)
 
 
 def _near_counts(a: str, b: str) -> Column:
     """Byte-wise differences, taken modulo 256 and summed, within two per edit."""
-    terms = [f"least(pmod((shiftrightunsigned({a}, {8 * k}) & 255) - (shiftrightunsigned({b}, {8 * k}) & 255), 256), pmod((shiftrightunsigned({b}, {8 * k}) & 255) - (shiftrightunsigned({a}, {8 * k}) & 255), 256))" for k in range(len(LETTERS))]
+    terms = []
+    for k in range(len(LETTERS)):
+        x, y = (f"(shiftrightunsigned({c}[{k // 8}], {8 * (k % 8)}) & 255)" for c in (a, b))
+        terms.append(f"least(pmod({x} - {y}, 256), pmod({y} - {x}, 256))")
     return F.expr(" + ".join(terms) + f" <= {2 * EDITS}")
 
 
@@ -118,6 +126,42 @@ def _paired(index: DataFrame, probe: DataFrame) -> DataFrame:
     return met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
 
 
+def met_keys(lines: DataFrame) -> DataFrame:
+    """``key, n_own`` of the segments under which different lines of ``lines(id, line, length, group)`` meet, with the number of lines that have it as their own."""
+    own = (F.col("w.less") == 0) & (F.col("w.shift") == 0)
+    told = entries(lines, "line", PROBES).select("key", "id", own.alias("own")).groupBy("key")
+    found = told.agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count_if("own").alias("n_own"))
+    return found.filter("least <> most and n_own > 0").select("key", "n_own")
+
+
+def candidates(lines: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of ids of the different ``lines(id, line)`` that share a segment and have letter counts in reach; some more than once."""
+    grouped = lines.withColumn("length", F.length("line")).withColumn("group", F.lit(0).cast("long"))
+    keys = stash(met_keys(grouped), "lines-keys")
+    crowded = F.col("n_own") > CROWDED
+    here = maybe_in(entries(grouped, "line", PROBES), "key", keys, "key", "hit").filter("hit").join(keys, "key")
+    met = stash(
+        here.select(
+            "key", "id", "same_length", letter_counts(F.col("line")).alias("counts"),
+            (F.col("same_length") & (F.col("w.shift") == 0)).alias("own"),
+            F.when(crowded, _without(F.col("line"), F.col("at"), F.col("size"))).alias("rest"),
+        ),
+        "lines-met",
+    )
+    wide = met.filter("rest is null")
+    pairs = _paired(wide.filter("own").select("key", "id", "counts"), wide.select("key", "id", "counts", "same_length"))
+    if is_empty(keys.filter(crowded)):
+        return pairs
+    # inside a crowded segment's group, the rest of the line is partitioned and probed again
+    rest = lambda df: df.select("id", "counts", F.col("key").alias("group"), "rest").distinct().withColumn("length", F.length("rest"))
+    close = met.filter("rest is not null")
+    again = _paired(
+        entries(rest(close.filter("own")), "rest", OWN).select("key", "id", "counts").distinct(),
+        entries(rest(close), "rest", PROBES).select("key", "id", "counts", "same_length").distinct(),
+    )
+    return pairs.unionByName(again)
+
+
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines and links: ``id, doc_id, line_no, n_copies`` of each different line's first occurrence, with the ``print`` of its text; pairs ``a, b`` of ids."""
     lines = lines_of(docs)
@@ -129,26 +173,7 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = maybe_in(long, "id", facts.filter("n_copies > 1"), "id", "copied")
     single = told.filter(~F.col("copied")).select("id", "line")
     copied = stash(told.filter("copied").groupBy("id").agg(F.any_value("line").alias("line")), "lines-copied")
-    different = single.unionByName(copied).withColumn("length", F.length("line"))
-    none = F.lit(0).cast("long")
-    grouped = different.withColumn("group", none)
-    keyed = entries(grouped.drop("id"), "line", OWN).groupBy("key").count()
-    crowded = stash(keyed.filter(F.col("count") > CROWDED).select("key"), "lines-crowded")
-    counted = grouped.withColumn("counts", letter_counts(F.col("line")))
-    index = entries(counted, "line", OWN).select("key", "id", "counts")
-    probe = entries(counted, "line", PROBES).select("key", "id", "counts", "same_length")
-    if is_empty(crowded):
-        pairs = _paired(index, probe)
-    else:
-        # inside a crowded segment's group, the rest of the line is partitioned and probed again
-        inside = lambda df: maybe_in(df, "key", crowded, "key", "hit").filter("hit").drop("hit").join(crowded, "key", "left_semi")
-        rest = lambda df: df.select("id", "counts", F.col("key").alias("group"), _without(F.col("line"), F.col("at"), F.col("size")).alias("rest")).distinct().withColumn("length", F.length("rest"))
-        again_index, again_probe = (rest(inside(entries(counted, "line", ways))) for ways in (OWN, PROBES))
-        again = _paired(
-            entries(again_index, "rest", OWN).select("key", "id", "counts").distinct(),
-            entries(again_probe, "rest", PROBES).select("key", "id", "counts", "same_length").distinct(),
-        )
-        pairs = _paired(index.join(crowded, "key", "left_anti"), probe).unionByName(again)
+    pairs = candidates(single.unionByName(copied))
     pairs = stash(pairs.distinct(), "lines-pairs")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     picked = maybe_in(long, "id", wanted, "id", "hit").filter("hit").groupBy("id").agg(F.any_value("line").alias("line"))

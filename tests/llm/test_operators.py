@@ -197,6 +197,15 @@ def test_rows_that_share_an_id_lose_their_own_lines(docs):
     assert [r.text for r in got if r.doc_id == 3] == ["seen before"]
 
 
+def test_lines_that_only_share_a_segment_are_no_candidates(spark):
+    """Twenty lines with one segment and none of the commonest letters elsewhere, and one near line."""
+    rests = [12 * x + 12 * y for x, y in itertools.islice(itertools.combinations("dulcmhfpgw", 2), 20)]
+    texts = [f"common begin{x}" for x in [*rests, rests[0][:-3] + "x" + rests[0][-2:]]]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    found = {(r.a, r.b) for r in op2.candidates(lines).collect()}
+    assert (0, 20) in found and len(found) < 20
+
+
 def test_lines_stay_native(spark):
     plan = registry.Q["op2_segment_lines"][0](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
