@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from replyloom.session import stash
@@ -31,11 +31,12 @@ def components(edges: DataFrame) -> DataFrame:
         large = _linked_to_least(both).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _linked_to_least(large)
         starred = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = stash(starred.filter("u <> v").distinct(), "links")
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).first()
-        if tuple(seen) == state:
+        # counted while written; a retried task counts twice, which costs a round
+        seen = Observation()
+        now = stash(starred.filter("u <> v").distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "links")
+        if seen.get == state:
             break
-        state = tuple(seen)
+        state = seen.get
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

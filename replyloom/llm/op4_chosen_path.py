@@ -213,12 +213,14 @@ class _Join:
         return stash(signed.filter(_estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE).select("a", "b"), "cps-candidates")
 
     def families(self, named: DataFrame) -> DataFrame:
-        """``node, members, alike`` of the nodes of ``named`` that fit a few blocks, or whose documents resemble their leader on average; ``alike`` tells these."""
-        sig = self.sigs
-        signed = named.join(sig, "code").join(sig.withColumnsRenamed({"code": "leader", "sig": "l_sig"}), "leader")
+        """``node, members, alike`` of the nodes of ``named`` that fit a few blocks, or whose documents resemble their leader on average; ``alike`` tells these if they fill more than a block."""
+        sig, sizes = self.sigs, named.groupBy("node").agg(F.count("*").alias("members"))
+        larger = named.join(sizes.filter(F.col("members") > BLOCK).select("node"), "node", "left_semi")
+        signed = larger.join(sig, "code").join(sig.withColumnsRenamed({"code": "leader", "sig": "l_sig"}), "leader")
         means = signed.groupBy("node").agg(F.avg(_estimate(F.col("sig"), F.col("l_sig"))).alias("mean"), F.count("*").alias("members"))
         alike = F.col("mean") >= FAMILY
-        return means.filter((F.col("members") <= FEW_BLOCKS) | alike).select("node", "members", alike.alias("alike"))
+        some = means.filter((F.col("members") <= FEW_BLOCKS) | alike).select("node", "members", alike.alias("alike"))
+        return sizes.filter(F.col("members") <= BLOCK).withColumn("alike", F.lit(False)).unionByName(some)
 
     def centres(self, members: DataFrame) -> DataFrame:
         """``node, centre, n_centre``: the document of each node that has the node's commonest token at most positions."""
@@ -247,18 +249,19 @@ class _Join:
         """Compare the full sets of documents in different components of a family, in pairs of blocks.
 
         All outside the node's largest component meet all of the node, first by signatures; sets go only to where a likely
-        partner is, and what leaves a task is a spanning forest of links.
+        partner is, and what leaves a task is a spanning forest of links. Signatures are joined before a document is dealt out to blocks.
         """
         paths = named.groupBy("code").agg(F.collect_list("node").alias("nodes"))
-        placed = largest(named).filter("n_out > 0").select(
-            "node", "code", "n", "component", "out",
+        placed = largest(named).filter("n_out > 0").join(paths, "code").join(self.sigs, "code").select(
+            "node", "code", "n", "component", "out", "nodes", "sig",
             F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n_out") / BLOCK).cast("int").alias("out_blocks"),
         )
+        placed = stash(placed, "cps-placed")
         own = lambda n: F.pmod(F.xxhash64("code", "node"), F.col(n)).cast("int")
-        left = placed.filter("out").select("node", "code", "n", "component", own("out_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
-        right = placed.select("node", "code", "n", "component", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("i"), own("blocks").alias("j"), F.lit(1).alias("side"))
-        signed = left.unionByName(right).join(paths.join(self.sigs, "code"), "code")
-        near = signed.groupBy("node", "i", "j").applyInArrow(_near_in_blocks, "node long, i int, j int, side int, code long, component long")
+        facts = ["node", "code", "n", "component", "nodes", "sig"]
+        left = placed.filter("out").select(*facts, own("out_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
+        right = placed.select(*facts, F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("i"), own("blocks").alias("j"), F.lit(1).alias("side"))
+        near = left.unionByName(right).groupBy("node", "i", "j").applyInArrow(_near_in_blocks, "node long, i int, j int, side int, code long, component long")
         near = stash(near, "cps-near")
         if not is_empty(near):
             full = maybe_in(self.full.read(), "code", near, "code", "hit").filter("hit").drop("hit")

@@ -331,6 +331,20 @@ def test_families_equal_brute_force(docs, monkeypatch, block):
     assert got == sorted((d, c) for d, _, c in brute_groups(rows, 4))
 
 
+def test_documents_have_signatures_before_they_are_dealt_to_blocks(docs, monkeypatch):
+    """What grows with a node's blocks is not joined."""
+    seen, real = {}, op4.stash
+
+    def stash(df, name):
+        seen.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(op4, "BLOCK", 16)
+    monkeypatch.setattr(op4, "stash", stash)
+    op4.near_duplicates(docs(family_rows(3, 60)), 4).collect()
+    assert "Generate" in seen["cps-near"] and "Join" not in seen["cps-near"]
+
+
 def test_a_pair_of_two_nodes_is_compared_in_the_first():
     rng = np.random.default_rng(5)
     one = rng.integers(-9, 9, op4.POSITIONS).astype(np.int32)
