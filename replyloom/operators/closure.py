@@ -87,9 +87,12 @@ def reachable_ids(messages: DataFrame, author: str, both_ways: bool = False) ->
     mutual = pairs.filter("up AND down")
     tree = mutual.groupBy(F.col("child").alias("id")).agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("_n"))
     nodes = stash(ids.join(tree, "id", "left"), "two-way-links")
-    roots = forest_roots(nodes).withColumnRenamed("root", "comp")
-    # Messages on a declared cycle have no root; they stay single and their links are followed one by one.
-    groups = stash(nodes.join(roots, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "groups")
+    if mutual.isEmpty():  # every message is a group of its own
+        roots = groups = nodes.select("id", F.col("id").alias("comp"))
+    else:
+        roots = forest_roots(nodes).withColumnRenamed("root", "comp")
+        # Messages on a declared cycle have no root; they stay single and their links are followed one by one.
+        groups = stash(nodes.join(roots, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "groups")
 
     # Links outside the forest: declared by one end, second parents of repeated ids, and cycles.
     second = mutual.join(nodes.filter("_n > 1").select(F.col("id").alias("child"), F.col("parent").alias("_kept")), "child")

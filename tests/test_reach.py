@@ -93,3 +93,10 @@ def test_closure_of_tables_without_lists_or_parents(messages, mode, kind):
     expected = reach(rows, "agent", both=mode == "component")
     found = [r["tweet_id"] for r in closure.thread_closure(messages([tuple(r) for r in rows]), "agent", mode).collect()]
     assert sorted(found) == sorted(expected)
+
+
+def test_no_groups_are_sought_where_no_link_is_declared_by_both_ends(spark, monkeypatch):
+    monkeypatch.setattr(closure, "forest_roots", None)
+    rows = [("1", "a", "", [], 1), ("2", "b", "1", [], 2), ("3", "a", "2", [], 3), ("4", "c", "", [], 4), ("5", "c", "4", [], 5)]
+    messages = spark.createDataFrame(rows, "tweet_id string, author_id string, in_response_to_tweet_id string, response_ids array<string>, file_pos long")
+    assert sorted(r.tweet_id for r in closure.reachable_ids(messages, "a").collect()) == ["1", "2", "3"]
