@@ -21,8 +21,8 @@ BATCH_BYTES = "8m"
 _ZSTD = pa.Codec("zstd", compression_level=1)
 #: Words of 64 bits in the bitmaps that pick out rows before a shuffle: 1 MB at any size of the table.
 BITMAP_WORDS = 1 << 17
-#: Text bytes that one numpy step works on.
-SLICE_BYTES = 2 << 20
+#: Text bytes that one numpy step works on; spelling words holds some 150 bytes for each of these.
+SLICE_BYTES = 1 << 19
 
 
 def ready(spark: SparkSession) -> SparkSession:
