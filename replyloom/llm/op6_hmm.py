@@ -153,13 +153,15 @@ def _sum_up(columns: list[str], kind: type):
     return add
 
 
-def _tree_sum(df: DataFrame, columns: list[str], kind: type) -> list[np.ndarray]:
-    """The sums of packed arrays over all rows: within each task, then over a square root of the tasks, then one."""
+def _tree_sum(parts: DataFrame, columns: list[str], kind: type) -> list[np.ndarray]:
+    """The sums of packed arrays over all rows, best one for each task: over a square root of the tasks, then one.
+
+    A shuffle lies between any two steps, so that no task keeps two Python workers at a time.
+    """
     schema = ", ".join(f"{c} binary" for c in columns)
     add = _sum_up(columns, kind)
-    parts = df.select(*columns).mapInArrow(add, schema)
-    width = max(1, math.isqrt(df.sparkSession.sparkContext.defaultParallelism * 4))
-    row = parts.repartition(width).mapInArrow(add, schema).coalesce(1).mapInArrow(add, schema).first()
+    width = max(1, math.isqrt(parts.sparkSession.sparkContext.defaultParallelism * 4))
+    row = parts.select(*columns).repartition(width).mapInArrow(add, schema).repartition(1).mapInArrow(add, schema).first()
     return [] if row is None else [np.frombuffer(row[c], kind) for c in columns]
 
 
@@ -246,13 +248,16 @@ def forward(seq, starts, sizes, start_p, move_p, emit_p) -> np.ndarray:
 def _counting_pass(params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start_p, move_p, emit_p = params.value
+        total = None
         for batch in batches:
             for row in rows_of(batch):
                 seq, starts, sizes = _segments(row)
                 if len(starts):
                     first, moves, emits, loglik = expected_counts(seq, starts, sizes, start_p, move_p, emit_p)
                     flat = np.concatenate([first, moves.ravel(), emits.ravel(), [loglik]])
-                    yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], names=["counts"])
+                    total = flat if total is None else total + flat
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
     return run
 
@@ -319,7 +324,9 @@ def score_documents(docs: DataFrame, states: int = STATES, passes: int = PASSES)
     n_buckets = max(1, math.ceil((facts["bytes"] or 0) / BUCKET_BYTES))
     sent = chunks.select("chunk", "uniq", "cls", "n_train").mapInArrow(_sender(n_buckets), _SENT)
     back = stash(sent.groupBy("bucket").applyInArrow(_total, _BACK), "hmm-back")
-    class_sums = _tree_sum(back.filter(F.col("chunk").isNull()), ["class_n", "class_v"], np.int64) or [np.zeros(CLASSES, np.int64)] * 2
+    columns = ["class_n", "class_v"]
+    by_task = back.filter(F.col("chunk").isNull()).select(*columns).mapInArrow(_sum_up(columns, np.int64), "class_n binary, class_v binary")
+    class_sums = _tree_sum(by_task, columns, np.int64) or [np.zeros(CLASSES, np.int64)] * 2
     class_n, class_v = class_sums
     train_docs = facts["train_docs"] or 0
     train_tokens, n_distinct = int(class_n.sum()) + train_docs, int(class_v.sum()) + (train_docs > 0)

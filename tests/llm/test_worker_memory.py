@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from replyloom.llm import op3_toxicity as op3
+from replyloom.llm import op6_hmm as op6
 
 
 def test_counting_expressions_holds_little_beside_its_batch():
@@ -19,3 +20,32 @@ def test_counting_expressions_holds_little_beside_its_batch():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert seen and peak < 120e6
+
+
+def test_a_counting_task_sends_one_sum():
+    texts = ["a bb ccc dddd " * 30, "bb a eeeee", "ccc a a", None]
+    rows = {"doc_id": [1, 2, 3, 4], "text": texts, "held_out": [False, True, False, False]}
+    chunks = [next(op6._chunks(iter([pa.RecordBatch.from_pydict({k: v[a:b] for k, v in rows.items()})]))) for a, b in ((0, 2), (2, 4))]
+    start = np.full(2, 0.5)
+
+    class Params:
+        value = (start, np.full((2, 2), 0.5), np.random.default_rng(1).dirichlet(np.ones(op6.CLASSES), 2))
+
+    run = lambda some: [np.frombuffer(b.column(0)[0].as_py()) for b in op6._counting_pass(Params)(iter(some))]
+    alone, both = [run([c])[0] for c in chunks], run(chunks)
+    assert len(both) == 1 and np.array_equal(both[0], alone[0] + alone[1])
+
+
+def test_no_task_of_a_fit_keeps_two_python_workers(spark, monkeypatch):
+    """Two steps of a tree of sums have a shuffle between them."""
+    seen, real = [], type(spark.range(1)).first
+
+    def first(df):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(type(spark.range(1)), "first", first)
+    parts = spark.range(4).selectExpr("cast(repeat('a', 8) as binary) AS c")
+    assert len(op6._tree_sum(parts, ["c"], np.int64)[0]) == 1
+    nodes = [line.split("- ")[-1].split()[0] for line in seen[0].splitlines() if "InArrow" in line or "Exchange" in line]
+    assert nodes and all(not ("InArrow" in a and "InArrow" in b) for a, b in zip(nodes[:-1], nodes[1:], strict=True))
