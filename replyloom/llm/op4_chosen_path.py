@@ -180,7 +180,7 @@ class _Join:
         for k in range(BRANCHES):
             at = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(POSITIONS)).cast("int")
             child.append(F.xxhash64("node", F.lit(k), F.element_at("sig", at + 1)))
-        return nodes.join(self.sigs, "code").select("code", "n", F.explode(F.array(*child)).alias("node"))
+        return nodes.select("code", "n", F.explode(F.array(*child)).alias("node"))
 
     def live(self, nodes: DataFrame) -> DataFrame:
         """Nodes of two or more documents with their size and leader; of small nodes with the same documents one."""
@@ -214,9 +214,9 @@ class _Join:
 
     def families(self, named: DataFrame) -> DataFrame:
         """``node, members, alike`` of the nodes of ``named`` that fit a few blocks, or whose documents resemble their leader on average; ``alike`` tells these if they fill more than a block."""
-        sig, sizes = self.sigs, named.groupBy("node").agg(F.count("*").alias("members"))
+        sizes = named.groupBy("node").agg(F.count("*").alias("members"))
         larger = named.join(sizes.filter(F.col("members") > BLOCK).select("node"), "node", "left_semi")
-        signed = larger.join(sig, "code").join(sig.withColumnsRenamed({"code": "leader", "sig": "l_sig"}), "leader")
+        signed = larger.join(larger.filter("code = leader").select("node", F.col("sig").alias("l_sig")), "node")
         means = signed.groupBy("node").agg(F.avg(_estimate(F.col("sig"), F.col("l_sig"))).alias("mean"), F.count("*").alias("members"))
         alike = F.col("mean") >= FAMILY
         some = means.filter((F.col("members") <= FEW_BLOCKS) | alike).select("node", "members", alike.alias("alike"))
@@ -224,12 +224,11 @@ class _Join:
 
     def centres(self, members: DataFrame) -> DataFrame:
         """``node, centre, n_centre``: the document of each node that has the node's commonest token at most positions."""
-        signed = members.select("node", "code", "n").join(self.sigs, "code")
-        tokens = signed.select("node", F.posexplode("sig").alias("at", "token")).groupBy("node", "at", "token").count()
+        tokens = members.select("node", F.posexplode("sig").alias("at", "token")).groupBy("node", "at", "token").count()
         common = tokens.groupBy("node", "at").agg(F.max_by("token", F.struct("count", "token")).alias("token"))
         whole = common.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("common"))
         most = F.max_by(F.struct("code", "n"), F.struct(_estimate(F.col("sig"), F.col("common")), "code"))
-        return signed.join(whole, "node").groupBy("node").agg(most.alias("c")).select("node", F.col("c.code").alias("centre"), F.col("c.n").alias("n_centre"))
+        return members.join(whole, "node").groupBy("node").agg(most.alias("c")).select("node", F.col("c.code").alias("centre"), F.col("c.n").alias("n_centre"))
 
     def lead(self, members: DataFrame) -> None:
         """Compare the documents of families with a centre of all, then of those outside the largest component while these halve."""
@@ -240,7 +239,7 @@ class _Join:
             pairs = far.select(F.least("code", "centre").alias("a"), F.col("n").alias("na"), F.greatest("code", "centre").alias("b"), F.col("n_centre").alias("nb"))
             self.verify(self.likely(pairs))
             named = with_component(members, self.groups())
-            outside = stash(largest(named).filter("out").select("node", "code", "n"), "cps-outside")
+            outside = stash(largest(named).filter("out").select("node", "code", "n", "sig"), "cps-outside")
             before, left = left, outside.count()
             if before is not None and 2 * left > before:
                 return
@@ -249,14 +248,15 @@ class _Join:
         """Compare the full sets of documents in different components of a family, in pairs of blocks.
 
         All outside the node's largest component meet all of the node, first by signatures; sets go only to where a likely
-        partner is, and what leaves a task is a spanning forest of links. Signatures are joined before a document is dealt out to blocks.
+        partner is, and what leaves a task is a spanning forest of links. A document's nodes, two for each tree and level at most, are grouped once.
         """
-        paths = named.groupBy("code").agg(F.collect_list("node").alias("nodes"))
-        placed = largest(named).filter("n_out > 0").join(paths, "code").join(self.sigs, "code").select(
-            "node", "code", "n", "component", "out", "nodes", "sig",
-            F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n_out") / BLOCK).cast("int").alias("out_blocks"),
+        blocks = [F.ceil(F.col(size) / BLOCK).cast("int").alias(name) for size, name in (("size", "blocks"), ("n_out", "out_blocks"))]
+        place = F.struct("node", "out", *blocks, (F.col("n_out") > 0).alias("open"))
+        placed = largest(named).groupBy("code").agg(
+            F.collect_list(place).alias("places"), *[F.any_value(c).alias(c) for c in ("n", "component", "sig")]
         )
-        placed = stash(placed, "cps-placed")
+        placed = placed.select("code", "n", "component", "sig", F.col("places.node").alias("nodes"), F.explode(F.filter("places", lambda x: x["open"])).alias("place"))
+        placed = stash(placed.select("code", "n", "component", "sig", "nodes", "place.*"), "cps-placed")
         own = lambda n: F.pmod(F.xxhash64("code", "node"), F.col(n)).cast("int")
         facts = ["node", "code", "n", "component", "nodes", "sig"]
         left = placed.filter("out").select(*facts, own("out_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
@@ -319,19 +319,19 @@ class _Join:
                 return groups
             named = with_component(larger.select("node", "code", "n", F.col("leader.code").alias("leader")), groups)
             open_ = named.groupBy("node").agg((F.min("component") != F.max("component")).alias("open")).filter("open").select("node")
-            named = stash(named.join(open_, "node"), "cps-open")
+            named = stash(named.join(open_, "node").join(self.sigs, "code"), "cps-open")
             self.fill(named.select("code"))
             self.filled = True
             families = stash(self.families(named), "cps-families")
             if not is_empty(families):
                 large = families.filter((F.col("members") > BLOCK) & F.col("alike")).select("node")
                 if not is_empty(large):
-                    self.lead(stash(named.join(large, "node").select("node", "code", "n"), "cps-large"))
-                self.across(stash(with_component(named.join(families, "node").select("node", "code", "n"), self.groups()), "cps-settled"))
+                    self.lead(stash(named.join(large, "node").select("node", "code", "n", "sig"), "cps-large"))
+                self.across(stash(with_component(named.join(families, "node").select("node", "code", "n", "sig"), self.groups()), "cps-settled"))
             others = named.join(families, "node", "left_anti")
             if is_empty(others):
                 return self.groups()
-            nodes = stash(self.children(others.select("node", "code", "n")), "cps-children")
+            nodes = stash(self.children(others.select("node", "code", "n", "sig")), "cps-children")
 
 
 def largest(named: DataFrame) -> DataFrame:

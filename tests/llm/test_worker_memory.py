@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from replyloom.llm import op3_toxicity as op3
+from replyloom.llm import op4_chosen_path as op4
 from replyloom.llm import op6_hmm as op6
 
 
@@ -49,3 +50,14 @@ def test_no_task_of_a_fit_keeps_two_python_workers(spark, monkeypatch):
     assert len(op6._tree_sum(parts, ["c"], np.int64)[0]) == 1
     nodes = [line.split("- ")[-1].split()[0] for line in seen[0].splitlines() if "InArrow" in line or "Exchange" in line]
     assert nodes and all(not ("InArrow" in a and "InArrow" in b) for a, b in zip(nodes[:-1], nodes[1:], strict=True))
+
+
+def test_open_documents_take_their_signatures_along(spark):
+    """Only a round's open documents are joined with signatures, once."""
+    rows = [(1, c, 5, 1, [c] * op4.POSITIONS) for c in range(3)]
+    named = spark.createDataFrame(rows, "node long, code long, n long, leader long, sig array<int>")
+    join = op4._Join.__new__(op4._Join)
+    for df in (join.children(named), join.centres(named)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "code" in plan and not any("Join" in line and "code" in line for line in plan.splitlines())
+    assert join.children(named).count() == 3 * op4.BRANCHES and join.centres(named).first()["n_centre"] == 5
